@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import jaccard, mixing, packing, secrets, toxicity
+from riskloom.llm import fingerprints, jaccard, media, mixing, packing, secrets, suffixes, toxicity, warc
 from riskloom.llm._shared import documents, remainder
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
@@ -31,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(documents(spark, sf_dir))
 
@@ -54,5 +63,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_toxicity, op6_jaccard_join, op7_secret_scan, op8_packing)}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = media.probe_media(media.write_media(documents(spark, sf_dir).select("doc_id", "text")))
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("codec="), F.trim("codec")),
+        F.format_string("duration=%.2f", "duration"),
+        F.concat(F.lit("samples="), F.col("samples").cast("string")),
+        F.concat(F.lit("keyframes="), F.col("keyframes").cast("string")),
+        F.concat(F.lit("ranges="), F.col("ranges_crc32").cast("string")),
+    )
+    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_source_mix, op4_toxicity, op5_order_minhash, op6_jaccard_join, op7_secret_scan, op8_packing, op9_media_columns, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
