@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import fingerprints, jaccard, media, mixing, packing, secrets, suffixes, toxicity, warc
+from riskloom.llm import fingerprints, jaccard, media, mixing, ngrams, packing, secrets, suffixes, toxicity, warc
 from riskloom.llm._shared import documents, remainder
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.train_and_score(documents(spark, sf_dir))
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -80,5 +84,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_source_mix, op4_toxicity, op5_order_minhash, op6_jaccard_join, op7_secret_scan, op8_packing, op9_media_columns, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_warc_salvage, op3_source_mix, op4_toxicity, op5_order_minhash, op6_jaccard_join, op7_secret_scan, op8_packing, op9_media_columns, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
