@@ -33,9 +33,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["_doc", "_hash", "_copy"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_hash", F.xxhash64("text", "source"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
     """Rows with a key that any rerun finds again: id, hash of content, and a number for fully equal rows."""
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_hash", F.xxhash64("text", "source"))
     return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy("_hash")))
 
 
@@ -55,45 +58,76 @@ def targets(sources: DataFrame, max_passes: int = 3) -> DataFrame:
     return rows.withColumn("target", F.least("_cap", F.coalesce(met["_share"], F.lit(0.0)) * F.col("_weight"))).drop("_weight", "_cap", "_level", "_share")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once and its expression written once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(u: Column, good: Column, total: Column, draws: Column) -> Column:
     """How many of ``draws`` from ``total`` hit the ``good`` ones, by inversion of ``u`` in the order mode, mode+1, ..., mode-1, ...
 
     Steps stop 9 standard deviations (and 24 more) from the mode; the mass beyond is under 1e-15.
     """
-    good, total, draws = good.cast("double"), total.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), draws + good - total), F.least(good, draws)
-    mode = F.greatest(low, F.least(high, F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")))
-    part = good / F.greatest(total, F.lit(1.0))
-    reach = F.ceil(9 * F.sqrt(draws * part * (1 - part)) + 24).cast("double")
-    up, down = F.least(high - mode, reach), F.least(mode - low, reach)
-    grow = lambda k: (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))  # noqa: E731  p(k+1)/p(k)
-    shrink = lambda k: k * (total - good - draws + k) / ((good - k + 1) * (draws - k + 1))  # noqa: E731  p(k-1)/p(k)
+
+    def grow(p: Column, k: Column) -> Column:  # p(k+1) / p(k)
+        return (p["good"] - k) * (p["draws"] - k) / ((k + 1) * (p["total"] - p["good"] - p["draws"] + k + 1))
+
+    def shrink(p: Column, k: Column) -> Column:  # p(k-1) / p(k)
+        return k * (p["total"] - p["good"] - p["draws"] + k) / ((p["good"] - k + 1) * (p["draws"] - k + 1))
 
     def steps(n: Column) -> Column:
         return F.slice(F.sequence(F.lit(0), n.cast("int")), F.lit(2), n.cast("int"))
 
-    def summed(n: Column, ratio, sign: int) -> Column:
+    def side(p: Column, n: Column, ratio, sign: int) -> Column:
+        """The mass of n steps away from the mode, in units of the mode's."""
         state = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
-        move = lambda a, i: (lambda w: F.struct(w.alias("w"), (a["s"] + w).alias("s")))(a["w"] * ratio(mode + sign * (i - 1)))
-        return F.aggregate(steps(n), state, move)["s"]
 
-    def picked(n: Column, ratio, sign: int, rest: Column) -> Column:
-        """Steps taken until the mass ``rest`` is used up; 0 if never."""
+        def step(a: Column, i: Column) -> Column:
+            w = a["w"] * ratio(p, p["mode"] + sign * (i - 1))
+            return F.struct(w.alias("w"), (a["s"] + w).alias("s"))
+
+        return F.aggregate(steps(n), state, step)["s"]
+
+    def picked(p: Column, n: Column, ratio, sign: int, rest: Column) -> Column:
+        """Steps away from the mode until the mass ``rest`` is used up."""
         state = F.struct(F.lit(1.0).alias("w"), rest.alias("r"), F.lit(0).alias("k"))
-        move = lambda a, i: (lambda w: F.struct(w.alias("w"), (a["r"] - w).alias("r"), F.when((a["k"] == 0) & (a["r"] - w < 0), i).otherwise(a["k"]).alias("k")))(a["w"] * ratio(mode + sign * (i - 1)))
-        return F.aggregate(steps(n), state, move)["k"]
 
-    above, below = summed(up, grow, 1), summed(down, shrink, -1)
-    mass = u * (1 + above + below)
-    out = F.when(mass < 1, mode).when(mass < 1 + above, mode + picked(up, grow, 1, mass - 1)).otherwise(mode - picked(down, shrink, -1, mass - 1 - above))
-    return F.when((draws <= 0) | (good <= 0), 0).when(good >= total, draws).otherwise(out).cast("long")
+        def step(a: Column, i: Column) -> Column:
+            w = a["w"] * ratio(p, p["mode"] + sign * (i - 1))
+            return F.struct(w.alias("w"), (a["r"] - w).alias("r"), (a["k"] + (a["r"] >= 0).cast("int")).alias("k"))
+
+        return F.aggregate(steps(n), state, step)["k"]
+
+    def settle(p: Column) -> Column:
+        above, below = side(p, p["up"], grow, 1), side(p, p["down"], shrink, -1)
+
+        def choose(m: Column) -> Column:
+            at = p["u"] * (1 + m["above"] + m["below"])
+            high = picked(p, p["up"], grow, 1, at - 1)
+            low = picked(p, p["down"], shrink, -1, at - 1 - m["above"])
+            return F.when(at < 1, p["mode"]).when(at < 1 + m["above"], p["mode"] + high).otherwise(p["mode"] - low)
+
+        return _let(F.struct(above.alias("above"), below.alias("below")), choose)
+
+    def placed(p: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), p["draws"] + p["good"] - p["total"]), F.least(p["good"], p["draws"])
+        mode = F.greatest(low, F.least(high, F.floor((p["draws"] + 1) * (p["good"] + 1) / (p["total"] + 2)).cast("double")))
+        part = p["good"] / F.greatest(p["total"], F.lit(1.0))
+        reach = F.ceil(9 * F.sqrt(p["draws"] * part * (1 - part)) + 24).cast("double")
+        own = [p[x].alias(x) for x in ("u", "good", "total", "draws")]
+        return _let(F.struct(*own, mode.alias("mode"), reach.alias("reach"), low.alias("low"), high.alias("high")), lambda q: _let(F.struct(*[q[x].alias(x) for x in ("u", "good", "total", "draws", "mode")], F.least(q["high"] - q["mode"], q["reach"]).alias("up"), F.least(q["mode"] - q["low"], q["reach"]).alias("down")), settle))
+
+    drawn = _let(F.struct(u.alias("u"), good.cast("double").alias("good"), total.cast("double").alias("total"), draws.cast("double").alias("draws")), placed)
+    return F.when((draws <= 0) | (good <= 0), 0).when(good >= total, draws).otherwise(drawn).cast("long")
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(shard, taken: array in the order of ``quotas.quota``) from one row with ``quota``: array<long>. ``shards`` is a power of two."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     nodes = quotas.select(F.lit(1).cast("long").alias("node"), "quota")
-    for _ in range(int(math.log2(shards))):
+    for level in range(int(math.log2(shards))):
+        if level and level % 3 == 0:  # subtrees go on side by side, and the plan stays short
+            nodes = cut(nodes.repartition(min(1 << level, 1024), "node"))
         state = F.struct(total(F.col("quota")).alias("n"), F.floor(total(F.col("quota")) / 2).cast("long").alias("d"), F.array().cast("array<bigint>").alias("out"))
 
         def deal(a: Column, x: Column) -> Column:
@@ -110,14 +144,14 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - shards).alias("shard"), F.col("quota").alias("taken"))
 
 
-def draw(docs: DataFrame, block_words: int = 512, max_passes: int = 3, shard_blocks: int = 16_384, bucket_blocks: int = 20_000, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def draw(docs: DataFrame, block_words: int = 512, max_passes: int = 3, shard_blocks: int = 16_384, bucket_blocks: int = 4_000, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(sized, draws).
 
     ``sized``: a row per document with its key, doc_id, source, size, source_size, target. ``draws``: a row per drawn
     block with the document's key, source, ``pass``, ``first_word``, ``words``, ``shard`` and ``place`` (sort key in the shard).
     """
     spark = docs.sparkSession
-    sized = cut(_keyed(docs.select("doc_id", "text", "source")).select(*KEY, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = cut(_numbered(_hashed(docs).select("_doc", "_hash", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))))
     n_blocks = F.ceil(F.col("size") / block_words).cast("long")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(n_blocks).alias("source_blocks"))
     plan = targets(sources, max_passes).withColumn("_want", F.floor(F.col("target") + 0.5).cast("long"))
@@ -174,7 +208,7 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     ``docs``, and ``mix_shard`` (of the first block) with ``mix_place`` to sort it by."""
     _, draws = draw(docs, **options)
     runs = draws.groupBy(*KEY, "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_runs"), F.min(F.struct("shard", "place")).alias("_at"), F.sum("words").alias("_taken"))
-    rows = _keyed(docs).join(runs, KEY)
+    rows = _numbered(_hashed(docs)).join(runs, KEY)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     chosen = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["words"].cast("int")))), "")
     rows = rows.withColumn("_words", words).withColumn("text", F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(chosen))

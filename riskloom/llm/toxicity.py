@@ -109,13 +109,21 @@ def marginals(unary: np.ndarray, sequence: np.ndarray, edges: np.ndarray) -> tup
     return odds / (1 + odds), forward, backward
 
 
-def _evidence(tok: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """For each feature bucket, log of its document rate among toxic over that among clean documents; 0 if too rare."""
+def _parts(texts: pa.Array, label: np.ndarray) -> Iterator[tuple[Tokens, np.ndarray]]:
+    """Tokens and labels of a sample, a slice of texts at a time: memory does not follow the sample."""
+    data, offsets = texts_of(texts)
+    for i, j in slices(offsets):
+        yield tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), label[i:j]
+
+
+def _evidence(texts: pa.Array, label: np.ndarray) -> np.ndarray:
+    """For each feature bucket, log of its document rate among toxic over that among clean documents; 0 if under 2% of the toxic have it."""
     seen = np.zeros((2, BUCKETS), np.int32)
-    for i in range(len(toxic)):
-        seen[int(toxic[i]), np.unique(tok.features[tok.first[i] : tok.first[i + 1]])] += 1
-    rate = (seen + 0.5) / (np.array([[(~toxic).sum()], [toxic.sum()]]) + 1)
-    return np.where(seen[1] >= 4, np.log(rate[1] / rate[0]), 0)
+    for tok, own in _parts(texts, label):
+        for i in range(len(own)):
+            seen[int(own[i]), np.unique(tok.features[tok.first[i] : tok.first[i + 1]])] += 1
+    rate = (seen + 0.5) / (np.array([[(~label).sum()], [label.sum()]]) + 1)
+    return np.where(seen[1] >= max(4, 0.02 * label.sum()), np.log(rate[1] / rate[0]), 0)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, min_log_ratio: float = 3.0, rounds: int = 30) -> Chain:
@@ -123,29 +131,27 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_log_ratio: float = 3.0, rounds:
     half = np.arange(len(toxic)) % 2 == 0
     if min(toxic.sum(), (~toxic).sum()) < 4:
         return Chain(np.zeros(BUCKETS), -10.0, np.zeros((2, 2)), np.array([-10.0, 0.0, 0.0]))
-
-    def read(rows: np.ndarray) -> tuple[Tokens, np.ndarray]:
-        data, offsets = texts_of(texts.take(pa.array(np.flatnonzero(rows))))
-        return tokens(data, offsets), toxic[rows]
-
-    tok, label = read(half)
-    strong = _evidence(tok, label)
-    doc = np.repeat(np.arange(len(label)), np.diff(tok.first))
-    target = (strong[tok.features].max(1) >= min_log_ratio) & label[doc]
+    sample = lambda rows: (texts.take(pa.array(np.flatnonzero(rows))), toxic[rows])
+    strong = _evidence(*sample(half))
     chain = Chain(np.zeros(BUCKETS), -4.0, np.zeros((2, 2)), np.zeros(3))
-    # Sequences with a marked token, all those of a share of clean documents, and every sequence with a feature that marks.
-    ends = np.append(tok.sequence, len(target))
-    marked = np.add.reduceat((strong[tok.features].max(1) >= min_log_ratio).astype(np.int64), tok.sequence) > 0
-    keep = marked | (np.arange(len(marked)) % 10 == 0)
-    use = np.repeat(keep, np.diff(ends))
-    features, target = tok.features[use], target[use].astype(float)
-    size = np.diff(ends)[keep]
+    # The chain learns from all sequences with a marking feature, and every tenth of the others.
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for tok, label in _parts(*sample(half)):
+        if not len(tok.start):
+            continue
+        marks = strong[tok.features].max(1) >= min_log_ratio
+        size = np.diff(np.append(tok.sequence, len(marks)))
+        keep = (np.add.reduceat(marks.astype(np.int64), tok.sequence) > 0) | (np.arange(len(size)) % 10 == 0)
+        use = np.repeat(keep, size)
+        in_toxic = np.repeat(label, np.diff(tok.first))
+        kept.append((tok.features[use], (marks & in_toxic)[use].astype(float), size[keep]))
+    features, target, size = (np.concatenate(x) for x in zip(*kept, strict=True))
     sequence = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     follows = np.ones(len(target), bool)
     follows[sequence] = False
     into, out_of = np.flatnonzero(follows), np.flatnonzero(follows) - 1
-    pair = lambda p, q: np.array([[(1 - p) * (1 - q), (1 - p) * q], [p * (1 - q), p * q]])
-    observed = pair(target[out_of], target[into]).sum(2)
+    pair = lambda p, q: np.array([[((1 - p) * (1 - q)).sum(), ((1 - p) * q).sum()], [(p * (1 - q)).sum(), (p * q).sum()]])
+    observed = pair(target[out_of], target[into])
     own = np.ones(features.shape, bool)
     own[:, 1:] = features[:, 1:] != features[:, :1]
     flat = features[own]
@@ -159,14 +165,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_log_ratio: float = 3.0, rounds:
         chain.table += 0.7 * slope / np.sqrt(square)
         chain.bias += 0.2 * float(np.sign((target - p).sum())) * min(1.0, abs((target - p).sum()) / (1 + target.sum()))
         # Expected transitions: forward ratio, edge, own potential and backward ratio of the two tokens.
-        a, b = forward[out_of], np.exp(u[into]) * backward[into]
-        joint = np.exp(chain.edges)[:, :, None] * np.array([[np.ones_like(a), b], [a, a * b]])
-        slope_edges = observed - (joint / joint.sum((0, 1))).sum(2) - 0.05 * chain.edges
+        a, b, edge = forward[out_of], np.exp(u[into]) * backward[into], np.exp(chain.edges)
+        whole = edge[0, 0] + edge[0, 1] * b + a * edge[1, 0] + a * b * edge[1, 1]
+        expected = edge * np.array([[(1 / whole).sum(), (b / whole).sum()], [(a / whole).sum(), (a * b / whole).sum()]])
+        slope_edges = observed - expected - 0.05 * chain.edges
         square_edges += slope_edges**2
         chain.edges = chain.edges + 0.2 * slope_edges / np.sqrt(square_edges)
-    tok, label = read(~half)
-    p, _, _ = marginals(chain.unary(tok.features), tok.sequence, chain.edges)
-    chain.curve = _curve(_aggregate(p, tok.first), label)
+    texts_, label = sample(~half)
+    x = [_aggregate(marginals(chain.unary(tok.features), tok.sequence, chain.edges)[0], tok.first) for tok, _ in _parts(texts_, label)]
+    chain.curve = _curve(np.concatenate(x), label)
     return chain
 
 
@@ -195,16 +202,18 @@ def _curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_chars: int = 100_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 100_000) -> Chain:
     """Fits on at most ``max_rows`` labelled texts of at most ``max_chars``: those with the smallest hash of doc_id.
 
-    The bound is the classifier's only limit; scoring has none.
+    The bound is the classifier's only limit; scoring has none. The chosen ids are at most ``max_rows``, so they can be
+    broadcast, and only chosen texts are moved.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(max_rows)
-    sample = (
-        docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(chosen, "doc_id").orderBy("_order", "doc_id", "text").limit(max_rows).select("text", "toxic").toArrow()
-    )
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")
+    if not len(sample):
+        return fit(pa.array([], pa.string()), np.zeros(0, bool))
     return fit(sample["text"].combine_chunks(), np.asarray(sample["toxic"].to_numpy()) > 0)
 
 
