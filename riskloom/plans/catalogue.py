@@ -1,4 +1,6 @@
-"""All registered reference queries and their DuckDB SQL."""
+"""All registered queries over the registry tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from riskloom.plans import ecosystem_reports, risk_reports  # noqa: F401  (each module registers its reports)
+from riskloom.plans.common import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

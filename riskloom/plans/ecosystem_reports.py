@@ -92,12 +92,12 @@ _PAIRS = "FROM lookalikes t JOIN packages a ON a.id = t.package_id JOIN packages
 
 @report("s03a_close_pairs", f"""
     SELECT a.name AS name_a, a.downloads AS downloads_a, b.name AS name_b, b.downloads AS downloads_b, combined, levenshtein, osa, jaro_winkler, keyboard, prefix,
-      CASE WHEN a.downloads > b.downloads * 10 OR b.downloads > a.downloads * 10 THEN 'YES' ELSE 'NO' END AS asymmetric {_PAIRS}
-    WHERE combined >= 80 ORDER BY combined DESC, asymmetric DESC, t.id LIMIT 50""")
+      CASE WHEN a.downloads > b.downloads * 10 OR b.downloads > a.downloads * 10 THEN 'YES' ELSE 'NO' END AS is_asymmetric {_PAIRS}
+    WHERE combined >= 80 ORDER BY combined DESC, is_asymmetric DESC, t.id LIMIT 50""")
 def s03a(r):
     a, b = F.col("downloads_a"), F.col("downloads_b")
-    rows = _pairs(r).filter("combined >= 80").withColumn("asymmetric", F.when((a > b * 10) | (b > a * 10), "YES").otherwise("NO"))
-    return top(rows, 50, F.desc("combined"), F.desc("asymmetric"), F.col("id")).select("name_a", "downloads_a", "name_b", "downloads_b", "combined", "levenshtein", "osa", "jaro_winkler", "keyboard", "prefix", "asymmetric")
+    rows = _pairs(r).filter("combined >= 80").withColumn("is_asymmetric", F.when((a > b * 10) | (b > a * 10), "YES").otherwise("NO"))
+    return top(rows, 50, F.desc("combined"), F.desc("is_asymmetric"), F.col("id")).select("name_a", "downloads_a", "name_b", "downloads_b", "combined", "levenshtein", "osa", "jaro_winkler", "keyboard", "prefix", "is_asymmetric")
 
 
 @report("s03b_pair_histogram", f"SELECT {width_bucket_sql('combined', 0, 100, 20)} AS bucket, ({width_bucket_sql('combined', 0, 100, 20)} - 1) * 5 AS low, COUNT(*) AS n_pairs FROM lookalikes GROUP BY ALL")

@@ -120,14 +120,15 @@ def r06(r):
     return top(rows, 20, F.desc("impact"), F.col("id")).drop("id")
 
 
-ONE = 17  # the package that the single-package report shows here
+ONE = 17  # id of the package that the single-package report shows here
 
 
 @report("r07_one_package", f"""
     SELECT '{PREFIX}' || f.advisory AS advisory, f.severity, {br('f.severity', RATING, 'INFO')} AS rating, p.name, p.repository
-    {_JOINED} WHERE p.id % {ONE} = 1""")
-def r07(r, package=F.col("id") % ONE == 1):
-    rows = _on_package(r, r.findings.drop("id")).filter(package)
+    {_JOINED} WHERE p.id = {ONE}""")
+def r07(r, package: int = ONE):
+    """The findings of one package."""
+    rows = _on_package(r, r.findings.drop("id")).filter(F.col("id") == package)
     return rows.select(F.concat(F.lit(PREFIX), "advisory").alias("advisory"), "severity", bracket(F.col("severity"), RATING, "INFO").alias("rating"), "name", "repository").orderBy(F.col("severity").desc_nulls_first())
 
 
