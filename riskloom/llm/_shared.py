@@ -41,6 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``df`` written to a fresh folder in the shared folder and read back, and the folder.
+
+    For tables that a loop joins with themselves: a checkpoint keeps the size that the optimizer guessed, and a join's guess
+    is the product of its sides, so that after some rounds the number itself has millions of digits. Files have real sizes.
+    """
+    folder = new_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``written`` made, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_whole(path: str, *parts: bytes) -> None:
     """A file that is either absent or whole: a task that runs twice or is lost half way leaves no torn file."""
     os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._shared import cut
+from riskloom.llm._shared import remove, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that (a, b) edges reach from each node on an edge.
 
     Every round a node takes the smallest label among its neighbours' and its own, then the label of its
-    label; rounds grow with the logarithm of the longest path. Each round's table goes to the checkpoint
-    folder. Hot nodes only meet in a min(), which Spark combines before the shuffle.
+    label; rounds grow with the logarithm of the longest path. Each round's table is written to the
+    shared folder, and the one before goes. Hot nodes only meet in a min(), which Spark combines before the shuffle.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    spark = edges.sparkSession
+    both, edge_folder = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    labels, folder = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("heard"))
-        near = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("component", "heard").alias("near"), "component")
-        up = labels.select(F.col("node").alias("near"), F.col("component").alias("up"))
-        new = cut(near.join(up, "near", "left").select("node", F.least("near", F.coalesce("up", "near")).alias("component"), (F.least("near", F.coalesce("up", "near")) < F.col("component")).alias("moved")))
+        own = labels.select("node", "component", F.col("component").alias("held"))
+        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("held"))
+        up = labels.select("node", F.col("component").alias("k")).join(labels.select(F.col("node").alias("k"), "component"), "k").select("node", "component", F.lit(None).cast("long").alias("held"))
+        old = folder
+        new, folder = written(own.unionAll(heard).unionAll(up).groupBy("node").agg(F.min("component").alias("component"), F.max("held").alias("held")), "labels")
+        remove(spark, old)
         labels = new.select("node", "component")
-        if new.filter("moved").isEmpty():
+        if new.filter("component < held").isEmpty():
+            remove(spark, edge_folder)
             return labels
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")

@@ -65,7 +65,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 def _entity(s: np.ndarray) -> int:
     """A number for the set itself (63 bits)."""
     x = mix64(s + _STEP)
-    return int(mix64(np.array([x.sum() + np.bitwise_xor.reduce(x) * np.uint64(31) + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
+    mixed = x.sum(keepdims=True) + np.bitwise_xor.reduce(x, keepdims=True) * np.uint64(31) + np.uint64(len(s))
+    return int(mix64(mixed)[0] >> np.uint64(1))
 
 
 def _each(batches, column: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
@@ -252,8 +253,11 @@ def link_components(docs: DataFrame, pivots: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (and of repeated rows of it, one). Rows without words stay."""
-    found = link_components(docs, **options).select("doc_id", "component_id", "n_shingles").distinct()
-    gone = found.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
+    """One document of each component: the one with the smallest doc_id, and of repeated rows of it (equal text) one. Rows without words stay."""
+    found = cut(link_components(docs, **options).filter("n_shingles > 0"))
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
-    return left
+    twice = cut(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -208,8 +208,11 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     ``docs``, and ``mix_shard`` (of the first block) with ``mix_place`` to sort it by."""
     _, draws = draw(docs, **options)
     runs = draws.groupBy(*KEY, "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_runs"), F.min(F.struct("shard", "place")).alias("_at"), F.sum("words").alias("_taken"))
-    rows = _numbered(_hashed(docs)).join(runs, KEY)
+    carried = [c for c in docs.columns if c not in ("text", "mix_shard", "mix_place")]
+    # The input's own columns travel in a struct, whatever their names are.
+    rows = _numbered(_hashed(docs.select(F.struct(*carried).alias("_row"), "doc_id", "text", "source"))).join(runs, KEY)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     chosen = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["words"].cast("int")))), "")
     rows = rows.withColumn("_words", words).withColumn("text", F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(chosen))
-    return rows.select(*docs.columns, F.col("_at.shard").alias("mix_shard"), F.col("_at.place").alias("mix_place"))
+    kept = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_place")]
+    return rows.select(*kept, F.col("_at.shard").alias("mix_shard"), F.col("_at.place").alias("mix_place"))
