@@ -65,15 +65,15 @@ def has_raw_ip(text: Column) -> Column:
 def byte_entropy(data: Column) -> Column:
     """Shannon entropy of a text's or binary's bytes, in bits. The hex form is cut into byte codes, sorted, and the runs counted."""
     codes = F.sort_array(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)))
-    n = F.size(codes)
-    # Where a run ends in the sorted codes; the differences of the ends are the counts.
-    at = F.sequence(F.lit(1), n)
 
     def of(c: Column) -> Column:
-        ends = F.filter(at, lambda i: (i == n) | (F.get(c, i) != F.get(c, i - 1)))
+        # Where a run ends in the sorted codes; the differences of the ends are the counts. (No expression outside the
+        # lambdas' own variables here: it would be computed again for every byte.)
+        n = F.size(c)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(c, i) != F.get(c, i - 1)))
 
         def total(e: Column) -> Column:
-            part = lambda i: (F.get(e, i) - F.coalesce(F.get(e, i - 1), F.lit(0))) / n
+            part = lambda i: (F.get(e, i) - F.coalesce(F.get(e, i - 1), F.lit(0))) / F.size(c)
             return F.aggregate(F.sequence(F.lit(0), F.size(e) - 1), F.lit(0.0), lambda s, i: s - part(i) * F.log2(part(i)))
 
         return F.transform(F.array(ends), total)[0]

@@ -1,6 +1,6 @@
 """All registered queries over the registry tables, and their DuckDB SQL."""
 
-from riskloom.plans import ecosystem_reports, risk_reports  # noqa: F401  (each module registers its reports)
+from riskloom.plans import ecosystem_reports, listings, risk_reports  # noqa: F401  (each module registers its reports)
 from riskloom.plans.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -75,6 +75,8 @@ def with_registry(sql: str) -> str:
                 needed.append(n)
 
     need(sql)
+    if not needed:
+        return sql.strip()
     head = ", ".join(f"{n} AS ({DERIVED[n]})" for n in needed)
     sql = sql.strip()
     recursive = sql.upper().startswith("WITH RECURSIVE")
