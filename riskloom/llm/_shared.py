@@ -35,23 +35,23 @@ def mounted(address: str) -> str:
     return parts.path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the checkpoint folder: its lineage ends there."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
-    """``df`` written to a fresh folder in the shared folder and read back, and the folder.
+def written(df: DataFrame, purpose: str = "cut") -> tuple[DataFrame, str]:
+    """``df`` computed once, written as compressed Parquet to a fresh folder in the shared folder and read back; and the folder.
 
-    For tables that a loop joins with themselves: a checkpoint keeps the size that the optimizer guessed, and a join's guess
-    is the product of its sides, so that after some rounds the number itself has millions of digits. Files have real sizes.
+    Unlike a checkpoint's, the files are columns, compressed, of a size that the optimizer knows, and can be removed when a
+    loop is done with them. (A checkpoint also keeps the size that the optimizer guessed: in loops of joins, a product of
+    products that soon has millions of digits.)
     """
     folder = new_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder: its lineage ends there."""
+    return written(df)[0]
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that ``written`` made, in whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

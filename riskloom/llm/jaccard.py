@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm._shared import cut
+from riskloom.llm._shared import cut, remove, written
 from riskloom.llm._text import Words, mix64, slices, texts_of
 from riskloom.llm.components import components
 
@@ -160,11 +160,23 @@ def sets_of_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, entity long, n long")
 
 
+def _fresh(sets: list[np.ndarray], seen: set[int]) -> list[np.ndarray]:
+    """Sets that the task has not met before: copies are emitted once a task."""
+    out = []
+    for s in sets:
+        if len(s) and (e := _entity(s)) not in seen:
+            seen.add(e)
+            out.append(s)
+    return out
+
+
 def _index(docs: DataFrame, often: np.ndarray) -> DataFrame:
     """(sig, entity, n, short): a row per signature of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, _, _, sets in _each(batches):
+            sets = _fresh(sets, seen)
             got = [(s, *signatures(s, often)) for s in sets]
             many = [len(sig) for _, sig, _ in got]
             if not sum(many):
@@ -184,8 +196,9 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(entity, shingles) of the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, _, _, sets in _each(batches):
-            sets = [s for s in sets if len(s)]
+            sets = _fresh(sets, seen)
             edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([s.view(np.int64) for s in sets]) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([_entity(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(values))], names=["entity", "shingles"])
@@ -203,8 +216,14 @@ def _fits(a: str, b: str):
     return (F.least(na, nb) * 4 >= F.greatest(na, nb) * 3) & small
 
 
+FEW_PAIRS = 200_000  # ids of so many pairs (3 MB) may be broadcast
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
+    if pairs.count() <= FEW_PAIRS:  # then only their sets are moved
+        ids = pairs.select(F.col("a").alias("entity")).unionAll(pairs.select(F.col("b").alias("entity"))).distinct()
+        sets = sets.join(F.broadcast(ids), "entity", "left_semi")
     left = pairs.join(sets.select(F.col("entity").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("entity").alias("b"), F.col("shingles").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
@@ -213,12 +232,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, pivots: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     members = cut(sets_of_documents(docs))
     often = frequent_shingles(docs)
     entities = members.filter("entity IS NOT NULL").groupBy("entity").agg(F.min("doc_id").alias("first_doc"))
     by_sig = Window.partitionBy("sig")
     index = _index(docs, often).withColumn("_a", F.min("entity").over(by_sig)).withColumn("_b", F.max("entity").over(by_sig))
-    groups = cut(index.filter("_a <> _b").select("sig", "entity", "n", "short").distinct())
+    groups, kept = written(index.filter("_a <> _b").select("sig", "entity", "n", "short").distinct(), "groups")
     wanted = groups.select("entity").distinct().join(entities, "entity").select(F.col("first_doc").alias("doc_id"))
     sets = cut(_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")).dropDuplicates(["entity"]))
 
@@ -232,18 +252,22 @@ def link_components(docs: DataFrame, pivots: int = 4) -> DataFrame:
         else:
             held = groups.join(label, groups["entity"] == label["node"], "left").select("sig", "entity", "n", "short", F.coalesce("component", "entity").alias("comp"))
         # Groups inside one component are done.
-        held = cut(held.withColumn("_a", F.min("comp").over(by_sig)).withColumn("_b", F.max("comp").over(by_sig)).filter("_a <> _b").drop("_a", "_b"))
+        held, folder = written(held.withColumn("_a", F.min("comp").over(by_sig)).withColumn("_b", F.max("comp").over(by_sig)).filter("_a <> _b").drop("_a", "_b"), "groups")
+        remove(spark, kept)
+        kept = folder
         if turn < pivots:
             me = F.struct(F.xxhash64("entity", F.lit(turn)).alias("h"), "entity", "n", "short", "comp")
             p = held.withColumn("e", F.struct("entity", "n", "short", "comp")).withColumn("p", F.min(me).over(by_sig))
             pairs = p.filter((F.col("p.comp") != F.col("e.comp")) & _fits("p", "e")).select(F.col("p.entity").alias("p"), F.col("e.entity").alias("e"))
-            groups = cut(p.filter(F.col("p.entity") != F.col("e.entity")).select("sig", "entity", "n", "short"))
+            groups = p.filter(F.col("p.entity") != F.col("e.entity")).select("sig", "entity", "n", "short")
         else:
             x, y = held.select("sig", F.struct("entity", "n", "short", "comp").alias("p")), held.select("sig", F.struct("entity", "n", "short", "comp").alias("e"))
             pairs = x.join(y, "sig").filter((F.col("p.entity") < F.col("e.entity")) & (F.col("p.comp") != F.col("e.comp")) & _fits("p", "e")).select(F.col("p.entity").alias("p"), F.col("e.entity").alias("e"))
-        pairs = pairs.select(F.least("p", "e").alias("a"), F.greatest("p", "e").alias("b")).distinct()
+        pairs = cut(pairs.select(F.least("p", "e").alias("a"), F.greatest("p", "e").alias("b")).distinct())
         new = cut(_linked(pairs, sets))
-        links = new if links is None else cut(links.unionByName(new))
+        if links is not None and new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
         label = components(links)
     own = entities if label is None else entities.join(label, entities["entity"] == label["node"], "left")
     own = own.select("entity", "first_doc", (F.coalesce("component", "entity") if label is not None else F.col("entity")).alias("comp"))
