@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The metrics' weights in percent, in their order.
 WEIGHTS = {"levenshtein": 20, "osa": 25, "jaro_winkler": 25, "keyboard": 15, "prefix": 15}
@@ -115,7 +116,7 @@ def prefix_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100).otherwise(F.least(score, F.lit(100))).cast("int")
 
 
-@F.pandas_udf("osa int, jaro_winkler int, keyboard int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("osa", "jaro_winkler", "keyboard")]))
 def _python_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     got = [(osa_similarity(x, y), jaro_winkler_similarity(x, y), keyboard_similarity(x, y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame(got, columns=["osa", "jaro_winkler", "keyboard"])

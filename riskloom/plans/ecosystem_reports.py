@@ -10,20 +10,23 @@ from riskloom.plans.common import (
 )
 from riskloom.sources.registry import AS_OF
 
-_ZERO = F.lit(0).cast("long")
 _ANY = "(" + " OR ".join(FLAGS) + ")"
 _ODD = "(" + " OR ".join(SUSPICIOUS) + ")"
 _LEAKS = "(SELECT package_id, COUNT(*) AS k FROM leaks GROUP BY package_id)"
 _OUT = "(SELECT package_id, COUNT(*) AS deps FROM dependencies GROUP BY package_id)"
 
 
+def _zero():
+    return F.lit(0).cast("long")
+
+
 def _counts(r, df, key="id", leaks=False):
     """``df`` with n and worst of its findings (0 and null if none), and k of its leaks."""
     v = per_package(r).select(F.col("package_id").alias("_v"), F.col("n").alias("_n"), "worst")
-    df = df.join(v, df[key] == v["_v"], "left").withColumn("n", F.coalesce("_n", _ZERO)).drop("_v", "_n")
+    df = df.join(v, df[key] == v["_v"], "left").withColumn("n", F.coalesce("_n", _zero())).drop("_v", "_n")
     if leaks:
         g = r.leaks.groupBy(F.col("package_id").alias("_g")).agg(F.count("*").alias("_k"))
-        df = df.join(g, df[key] == g["_g"], "left").withColumn("k", F.coalesce("_k", _ZERO)).drop("_g", "_k")
+        df = df.join(g, df[key] == g["_g"], "left").withColumn("k", F.coalesce("_k", _zero())).drop("_g", "_k")
     return df
 
 
@@ -34,7 +37,7 @@ def _scanned(r):
 
 def _fan_out(r, packages):
     d = r.dependencies.groupBy(F.col("package_id").alias("id")).agg(F.count("*").alias("_d"))
-    return packages.join(d, "id", "left").withColumn("deps", F.coalesce("_d", _ZERO)).drop("_d")
+    return packages.join(d, "id", "left").withColumn("deps", F.coalesce("_d", _zero())).drop("_d")
 
 
 _SCANNED = "(SELECT p.* FROM packages p WHERE p.id IN (SELECT id FROM scans WHERE review_score <> -1))"
@@ -75,8 +78,8 @@ def s02d(r):
     # The 100 largest are taken by a top-k; the rest is the total less those: no global ranking of all packages.
     n = per_package(r).select("package_id", "n")
     best = top(n, 100, F.desc("n"), F.col("package_id")).withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "package_id")))
-    upto = lambda k: F.coalesce(F.sum(F.when(F.col("k") <= k, F.col("n"))), _ZERO)
-    one = best.agg(upto(10).alias("a"), upto(50).alias("b"), upto(100).alias("c")).crossJoin(n.agg(F.coalesce(F.sum("n"), _ZERO).alias("t")))
+    upto = lambda k: F.coalesce(F.sum(F.when(F.col("k") <= k, F.col("n"))), _zero())
+    one = best.agg(upto(10).alias("a"), upto(50).alias("b"), upto(100).alias("c")).crossJoin(n.agg(F.coalesce(F.sum("n"), _zero()).alias("t")))
     rows = one.select("t", F.expr("stack(4, 'top 10', a, 'top 50', b, 'top 100', c, 'rest', t - c) AS (bucket, n_findings)"))
     return rows.select("bucket", "n_findings", F.when(F.col("t") > 0, percent(F.col("n_findings"), F.col("t"))).otherwise(0.0).alias("pct"))
 

@@ -73,7 +73,7 @@ def u06(r):
 
 
 @report("u07_adjacency", "SELECT package_id, COUNT(*) AS n, string_agg(CAST(dependency_id AS VARCHAR), ',' ORDER BY dependency_id) AS dependency_ids FROM dependencies WHERE package_id <= 100 GROUP BY package_id")
-def u07(r, ids=F.col("package_id") <= 100):
+def u07(r, ids: str = "package_id <= 100"):
     """The dependencies of given packages, as lists."""
     per = r.dependencies.filter(ids).groupBy("package_id").agg(F.array_sort(F.collect_list("dependency_id")).alias("x"))
     return per.select("package_id", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda x: x.cast("string")), ",").alias("dependency_ids"))

@@ -10,11 +10,14 @@ from riskloom.plans.common import (
 )
 
 _first, _last = "desc_nulls_first", "desc_nulls_last"
-_RISK = half_up(F.col("n") * F.col("mean") + F.col("worst") / 10, 2)
 _RISK_SQL = h("COUNT(*) * AVG(severity) + MAX(severity) / 10", 2)
 _JOINED = "FROM findings f JOIN packages p ON p.id = f.package_id"
 
 
+def _risk():
+    return half_up(F.col("n") * F.col("mean") + F.col("worst") / 10, 2)
+
+
 def _grouped(r):
     """Findings with their package's advisory list, one row per package."""
     return r.findings.groupBy("package_id").agg(F.count("*").alias("n"), F.max("severity").alias("worst"), F.avg("severity").alias("mean"), advisories().alias("advisories"))
@@ -29,7 +32,7 @@ def _on_package(r, df):
       {_RISK_SQL} AS risk_score, {advisories_sql()} AS advisories
     {_JOINED} GROUP BY p.id, p.name, p.downloads ORDER BY risk_score DESC NULLS FIRST, p.id LIMIT 30""")
 def s01(r):
-    rows = _on_package(r, _grouped(r)).select("id", "name", "downloads", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), half_up(F.col("mean"), 2).alias("avg_severity"), _RISK.alias("risk_score"), "advisories")
+    rows = _on_package(r, _grouped(r)).select("id", "name", "downloads", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), half_up(F.col("mean"), 2).alias("avg_severity"), _risk().alias("risk_score"), "advisories")
     return top(rows, 30, F.col("risk_score").desc_nulls_first(), F.col("id")).drop("id")
 
 
@@ -50,7 +53,7 @@ def m01(r):
       {br('MAX(severity)', RATING_SHORT, 'LOW')} AS rating, {advisories_sql()} AS advisories
     {_JOINED} GROUP BY p.id, p.name, p.downloads ORDER BY risk_score DESC NULLS FIRST, max_severity DESC NULLS FIRST, p.id LIMIT 20""")
 def m04(r):
-    rows = _on_package(r, _grouped(r)).select("id", "name", "downloads", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), half_up(F.col("mean"), 2).alias("avg_severity"), _RISK.alias("risk_score"), bracket(F.col("worst"), RATING_SHORT, "LOW").alias("rating"), "advisories")
+    rows = _on_package(r, _grouped(r)).select("id", "name", "downloads", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), half_up(F.col("mean"), 2).alias("avg_severity"), _risk().alias("risk_score"), bracket(F.col("worst"), RATING_SHORT, "LOW").alias("rating"), "advisories")
     return top(rows, 20, F.col("risk_score").desc_nulls_first(), F.col("max_severity").desc_nulls_first(), F.col("id"))
 
 
