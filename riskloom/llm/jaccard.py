@@ -240,7 +240,7 @@ def link_components(docs: DataFrame, pivots: int = 4) -> DataFrame:
     index = _index(docs, often).withColumn("_a", F.min("entity").over(by_sig)).withColumn("_b", F.max("entity").over(by_sig))
     groups, kept = written(index.filter("_a <> _b").select("sig", "entity", "n", "short").distinct(), "groups")
     wanted = groups.select("entity").distinct().join(entities, "entity").select(F.col("first_doc").alias("doc_id"))
-    sets = cut(_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")).dropDuplicates(["entity"]))
+    sets = cut(_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")))  # a repeated doc_id may bring a set twice: its links then only repeat
 
     links = None
     label = None
