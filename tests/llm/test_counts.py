@@ -96,8 +96,12 @@ def test_hypergeometric_follows_its_law(spark):
         assert r["count"] / n == pytest.approx(comb(7, r.k) * comb(13, 9 - r.k) / comb(20, 9), abs=2e-4)
 
 
+def links(docs, **options):
+    return jaccard.link_components(docs, **options).select("doc_id", "n_shingles", "component_id").collect()
+
+
 def test_links(corpus, rows):
-    same(jaccard.link_components(corpus).collect(), brute.link_components(rows))
+    same(links(corpus), brute.link_components(rows))
 
 
 def test_links_of_near_copies(spark):
@@ -114,18 +118,24 @@ def test_links_of_near_copies(spark):
                 own[rng.randrange(len(own))] = f"v{rng.randrange(30)}"
             rows.append((g * 100 + k, " ".join(own[: len(own) - rng.randrange(0, 3)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    same(jaccard.link_components(docs).collect(), brute.link_components(rows))
-    same(jaccard.link_components(docs, pivots=0).collect(), brute.link_components(rows))
+    same(links(docs), brute.link_components(rows))
+    for options in ({"pivots": 0}, {"frequent": 2}, {"pivots": 0, "frequent": 2}, {"shard_bytes": 3_000, "chunk_keys": 500}):
+        same(links(docs, **options), brute.link_components(rows))
 
 
 def test_links_with_frequent_shingles(spark):
-    """Every cell of the sketch counts as frequent: only token combinations find the pairs."""
+    """Every shared shingle counts as frequent: only token combinations find the pairs."""
     import numpy as np
 
     rows = [(k, " ".join(f"u{(k // 4) * 1000 + j if j != k % 4 else 5000 + k}" for j in range(40))) for k in range(40)]
     sets = [next(iter(jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))) for _, t in rows]
-    hot = np.full(1 << 10, 255, np.uint8)
-    found = [set(jaccard.signatures(s, hot)[0].tolist()) for s in sets]
+    often = Counter(x for s in sets for x in s.tolist())
+    found = []
+    for s in sets:
+        s = sorted((x for x in s.tolist() if often[x] > 1), key=lambda x: (often[x], x))
+        sig, high = jaccard.signatures(np.array(s, np.uint64), np.array([often[x] for x in s]), 36, 36 - len(s), frequent=1)
+        assert (high <= 48).all()
+        found.append(set(sig[high >= 36].tolist()))
     for a in range(40):
         for b in range(a):
             n = len(np.intersect1d(sets[a], sets[b]))
