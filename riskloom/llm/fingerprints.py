@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm._shared import cut
+from riskloom.llm._shared import Scratch, cut, sweep
 
 _POSITION = (1 << 24) - 1
 _HASH = ~_POSITION
@@ -92,27 +92,36 @@ def as_hex(fp: Column) -> Column:
 
 
 _KEY = ["_id", "_hash"]
+_NONE = -(1 << 63)  # stands for a null id, which comes last
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, text). The id can be had back from ``_id``, so that every use of the texts needs the same columns and Spark
+    shuffles them once for all."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64("doc_id", "text").alias("_hash"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"), F.xxhash64("doc_id", text).alias("_hash"), text.alias("text"))
 
 
-def neighbours(rows: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
+def neighbours(rows: DataFrame, scratch: Scratch, bucket_rows: int = 50_000) -> DataFrame:
     """For rows (_id, _hash, n): the next row in descending _id (the first follows the last), as ``next``, and the row that
     it is next to, as ``prev`` (structs of _id, _hash, n). Ranges of ids are ordered by themselves; only their first and last
     rows meet in one place."""
+    rows = scratch.keep(rows, "rows")
     buckets = max(1, math.ceil(rows.count() / bucket_rows))
     order = [F.col("_id").desc(), F.col("_hash")]
-    dealt = cut(rows.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()))
+    dealt = scratch.keep(rows.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()), "dealt")
     me = F.struct("_id", "_hash", "n")
     inside = Window.partitionBy("_bucket").orderBy(*order)
     dealt = dealt.withColumn("next", F.lead(me).over(inside)).withColumn("prev", F.lag(me).over(inside))
-    ends = dealt.groupBy("_bucket").agg(F.min_by(me, F.when(F.col("prev").isNull(), 1)).alias("first"), F.min_by(me, F.when(F.col("next").isNull(), 1)).alias("last"))
-    across, whole = Window.orderBy("_bucket"), Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("_bucket", F.coalesce(F.lead("first").over(across), F.first("first").over(whole)).alias("_after"), F.coalesce(F.lag("last").over(across), F.last("last").over(whole)).alias("_before"))
-    return dealt.join(ends, "_bucket").select(*_KEY, "n", F.coalesce("next", "_after").alias("next"), F.coalesce("prev", "_before").alias("prev"))
+    first, last = (F.min_by(me, F.when(F.col(c).isNull(), 1)) for c in ("prev", "next"))
+    ends = dealt.groupBy("_bucket").agg(first.alias("first"), last.alias("last"))
+    across = Window.orderBy("_bucket")
+    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("first").over(across), F.first("first").over(whole))
+    before = F.coalesce(F.lag("last").over(across), F.last("last").over(whole))
+    ends = ends.select("_bucket", after.alias("_after"), before.alias("_before"))
+    near = dealt.join(ends, "_bucket").select(*_KEY, "n", F.coalesce("next", "_after").alias("next"), F.coalesce("prev", "_before").alias("prev"))
+    return scratch.keep(near, "near")
 
 
 def edited_fingerprints(docs: DataFrame, **options) -> DataFrame:
@@ -120,20 +129,31 @@ def edited_fingerprints(docs: DataFrame, **options) -> DataFrame:
     of the next document in descending doc_id) and the likenesses of both and of the next document's.
 
     Rows with equal doc_id and text are one document here, with one result each; other ties of doc_id go by a hash of the text.
+    Texts are shuffled once, by their key; what each lends to its neighbour, once more.
     """
-    rows = _keyed(docs)
-    near = cut(neighbours(rows.groupBy(*_KEY).agg(F.max(F.length("text")).alias("n"))))
-    lent = rows.join(near.select(*_KEY, "prev"), _KEY).select(F.col("prev._id").alias("_id"), F.col("prev._hash").alias("_hash"), F.expr("left(text, prev.n div 2)").alias("lent"))
-    lent = lent.groupBy(*_KEY).agg(F.first("lent").alias("lent"))
-    n = F.length("text")
-    both = rows.join(lent, _KEY).select("doc_id", *_KEY, n.alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), "lent").alias("edited"))
     bins = options.get("bins", 64)
-    made = cut(both.select("doc_id", *_KEY, F.col("n_chars").cast("long"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text"), **options).alias("f"), fingerprint(F.col("edited"), **options).alias("e")))
-    # The next document's fingerprint comes to each by two small joins on the key.
-    follows = near.select(F.col("next._id").alias("_id"), F.col("next._hash").alias("_hash"), F.struct(*_KEY).alias("to"))
-    own = made.groupBy(*_KEY).agg(F.first("f").alias("g"))
-    after = own.join(follows, _KEY).select(F.col("to._id").alias("_id"), F.col("to._hash").alias("_hash"), "g")
-    return made.join(after, _KEY).select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("f")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e"), bins).alias("near_edited"), likeness(F.col("f"), F.col("g"), bins).alias("near_next"),
-    )
+    rows = _keyed(docs)
+    with Scratch(docs.sparkSession) as scratch:
+        near = neighbours(rows.groupBy(*_KEY).agg(F.max(F.length("text")).alias("n")), scratch)
+        lender = rows.join(near.select(*_KEY, "prev").hint("merge"), _KEY)
+        lent = lender.select(F.col("prev._id").alias("_id"), F.col("prev._hash").alias("_hash"), F.expr("left(text, prev.n div 2)").alias("lent"))
+        lent = lent.groupBy(*_KEY).agg(F.first("lent").alias("lent"))
+        edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), "lent")
+        both = rows.hint("merge").join(lent, _KEY).select(*_KEY, F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+        made = both.select(
+            *_KEY, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+            fingerprint(F.col("text"), **options).alias("f"), fingerprint(F.col("edited"), **options).alias("e"),
+        )
+        made = scratch.keep(made, "made")
+        sweep(docs.sparkSession)
+        # The next document's fingerprint comes to each by two small joins on the key.
+        follows = near.select(F.col("next._id").alias("_id"), F.col("next._hash").alias("_hash"), F.struct(*_KEY).alias("to"))
+        own = made.groupBy(*_KEY).agg(F.first("f").alias("g"))
+        after = own.join(follows, _KEY).select(F.col("to._id").alias("_id"), F.col("to._hash").alias("_hash"), "g")
+        return cut(
+            made.join(after, _KEY).select(
+                F.when(F.col("_id") != _NONE, F.col("_id")).alias("doc_id"), "n_chars", "edited_sha256",
+                as_hex(F.col("f")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"),
+                likeness(F.col("f"), F.col("e"), bins).alias("near_edited"), likeness(F.col("f"), F.col("g"), bins).alias("near_next"),
+            )
+        )

@@ -1,15 +1,17 @@
 """Media columns: ISO base media containers written and read box by box (operator 9).
 
-``write_media`` stores a payload of bytes as a raw 8-bit grey video track, one sample (frame) of
-``frame_bytes`` after the other: ftyp, moov with the sample tables, and mdat. A frame that differs much
-from the one before it starts a scene and is a sync sample. ``probe_media`` walks the nested boxes of any
-such container, decodes the sample tables (sizes, chunks, times, sync samples) and returns codec,
-duration, and the byte ranges of the sync samples; it never touches the payload. ``payload_of`` reads the
-samples back through the tables.
-
-Edge cases: a null or empty text is one frame of padding; a text of any length is stored whole (64-bit
-chunk offsets and box sizes beyond 4 GB); a broken container gives nulls and the reason in ``error``;
-repeated rows give equal values; other columns are carried along.
+``write_media`` stores a payload of bytes as a raw 8-bit grey video track, one sample (frame) of ``frame_bytes`` after the other:
+ftyp, moov with the sample tables, and mdat. A frame that differs much from the one before it starts a scene and is a sync sample.
+``probe_media`` walks the nested boxes of any such container, decodes the sample tables of every track (sizes, chunks, times, sync
+samples) and those of movie fragments (track runs), and returns codec, duration and the byte ranges of the sync samples; it reads
+no payload. ``read_payload`` reads the samples back through the tables, and digests them.
+
+Nothing that a file claims is allocated before it is checked against the file's length: a container can't hold more samples than
+it has bytes, nor boxes deeper than ``DEPTH``.
+
+Edge cases: a null or empty text is one frame of padding; a text of any length is stored whole (64-bit chunk offsets and box sizes
+beyond 4 GB); a broken container gives nulls and the reason in ``error``; a timescale of 0 gives a null duration; repeated rows give
+equal values; an empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -84,10 +86,16 @@ def container(payload: bytes) -> bytes:
     return b"".join([head, moov(before), size, payload])
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, containers before what they hold."""
-    end = len(data) if end is None else end
-    while start < end:
+DEPTH = 32
+
+
+def walk(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, body end) of every box, containers before what they hold, in the order of the file."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(start, len(data) if end is None else end, ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("a box header is cut short")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -101,9 +109,11 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} reaches beyond what holds it")
         yield (*path, kind), body, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= DEPTH:
+                raise ValueError("boxes are nested too deeply")
+            todo.append((body, start + size, (*path, kind)))
 
 
 @dataclass
@@ -116,48 +126,142 @@ class Track:
     sync: np.ndarray  # 0-based sample numbers
 
     @property
-    def duration(self) -> float:
-        return self.ticks / self.timescale
+    def duration(self) -> float | None:
+        return self.ticks / self.timescale if self.timescale else None
+
+
+def _table(data: memoryview, boxes: dict[bytes, tuple[int, int]], kind: bytes, dtype: str, columns: int, skip: int = 8) -> np.ndarray | None:
+    """The rows of a counted table; its count is held against the box."""
+    if kind not in boxes:
+        return None
+    a, b = boxes[kind]
+    n = struct.unpack_from(">I", data, a + skip - 4)[0]
+    if a + skip + n * columns * np.dtype(dtype).itemsize > b:
+        raise ValueError(f"table {kind!r} is cut short")
+    return np.frombuffer(data, dtype, n * columns, a + skip).astype(np.int64).reshape(n, columns)
+
+
+def _samples(data: memoryview, t: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offset, size, sync samples, ticks) from a track's sample tables."""
+    a, b = t[b"stsz"]
+    if a + 12 > b:
+        raise ValueError("table b'stsz' is cut short")
+    fixed, n = struct.unpack_from(">II", data, a + 4)
+    if n > len(data) or n * fixed > len(data):
+        raise ValueError("more samples than the file has bytes")
+    size = np.full(n, fixed, np.int64) if fixed else _table(data, t, b"stsz", ">u4", 1, 12).ravel()
+    places = _table(data, t, b"co64", ">u8", 1)
+    places = _table(data, t, b"stco", ">u4", 1) if places is None else places
+    times, groups = _table(data, t, b"stts", ">u4", 2), _table(data, t, b"stsc", ">u4", 3)
+    if places is None or times is None or groups is None:
+        raise ValueError("a sample table is missing")
+    places = places.ravel()
+    runs = np.diff(np.append(groups[:, 0], len(places) + 1))
+    if (runs < 0).any() or (len(groups) and groups[0, 0] != 1) or runs.sum() != len(places):
+        raise ValueError("the chunk table does not cover the chunks")
+    per_chunk = np.repeat(groups[:, 1], runs)
+    if per_chunk.sum() != n:
+        raise ValueError("the chunk table does not cover the samples")
+    first = np.cumsum(per_chunk) - per_chunk
+    before = np.append(np.cumsum(size) - size, 0)
+    offset = np.repeat(places, per_chunk) + before[:-1] - np.repeat(before[np.minimum(first, n)], per_chunk)
+    sync = _table(data, t, b"stss", ">u4", 1)
+    sync = np.arange(n) if sync is None else sync.ravel() - 1
+    ticks = int((times[:, 0] * times[:, 1]).sum())
+    return offset, size, sync, ticks
+
+
+_NOT_SYNC = 1 << 16  # the flag of samples that depend on others
+
+
+def _fragment(data: memoryview, moof: int, boxes: list[tuple[bytes, int, int]], defaults: dict[int, tuple[int, int, int]]) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]:
+    """(track id, [(offset, size, is sync, ticks) of each run]) of a track fragment."""
+    track, base, runs, after = 0, moof, [], moof
+    duration = size = flags = 0
+    for kind, a, b in boxes:
+        if a + 8 > b:
+            raise ValueError(f"box {kind!r} is cut short")
+        head, given = struct.unpack_from(">II", data, a)
+        head &= 0xFFFFFF
+        if kind == b"tfhd":
+            track, place = given, a + 8
+            duration, size, flags = defaults.get(track, (0, 0, 0))
+            if head & 1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 * bool(head & 2)
+            for flag in (8, 16, 32):
+                if head & flag:
+                    x, place = struct.unpack_from(">I", data, place)[0], place + 4
+                    duration, size, flags = (x, size, flags) if flag == 8 else (duration, x, flags) if flag == 16 else (duration, size, x)
+            after = base
+        elif kind == b"trun":
+            n, place = given, a + 8
+            if head & 1:
+                after, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+            first = None
+            if head & 4:
+                first, place = struct.unpack_from(">I", data, place)[0], place + 4
+            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if head & f]
+            if n > len(data) or place + 4 * n * len(fields) > b:
+                raise ValueError("a track run is cut short")
+            table = np.frombuffer(data, ">u4", n * len(fields), place).astype(np.int64).reshape(n, len(fields))
+            of = lambda f, default: table[:, fields.index(f)] if f in fields else np.full(n, default, np.int64)  # noqa: B023, E731
+            sizes, own = of(0x200, size), of(0x400, flags)
+            if first is not None and n:
+                own = own.copy()
+                own[0] = first
+            if int(sizes.sum()) > len(data):
+                raise ValueError("more samples than the file has bytes")
+            runs.append((after + np.cumsum(sizes) - sizes, sizes, own & _NOT_SYNC == 0, int(of(0x100, duration).sum())))
+            after += int(sizes.sum())
+    return track, runs
 
 
 def tracks(blob: bytes) -> list[Track]:
-    """The tracks of a container, from its tables alone."""
+    """The tracks of a container, from its tables alone; samples of movie fragments follow those of the movie's own tables."""
     data = memoryview(blob)
     found: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof = 0
     for path, a, b in walk(data):
         if path == (b"moov", b"trak"):
             found.append({})
         elif path[:2] == (b"moov", b"trak"):
             found[-1][path[-1]] = (a, b)
-
-    def table(track: dict, kind: bytes, dtype: str, columns: int, skip: int = 8) -> np.ndarray | None:
-        if kind not in track:
-            return None
-        a, b = track[kind]
-        n = struct.unpack_from(">I", data, a + skip - 4)[0]
-        if a + skip + n * columns * np.dtype(dtype).itemsize > b:
-            raise ValueError(f"table {kind!r} is cut short")
-        return np.frombuffer(data, dtype, n * columns, a + skip).astype(np.int64).reshape(n, columns)
-
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = (duration, size, flags)
+        elif path == (b"moof",):
+            moof = a - 8
+        elif path == (b"moof", b"traf"):
+            fragments.append((moof, []))
+        elif path[:2] == (b"moof", b"traf") and path[-1] in (b"tfhd", b"trun"):
+            fragments[-1][1].append((path[-1], a, b))
+    runs: dict[int, list] = {}
+    for start, boxes in fragments:
+        track, more = _fragment(data, start, boxes, defaults)
+        runs.setdefault(track, []).extend(more)
     out = []
     for t in found:
-        a, _ = t[b"mdhd"]
+        a, b = t[b"mdhd"]
         timescale = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
-        codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
-        fixed = struct.unpack_from(">I", data, t[b"stsz"][0] + 4)[0]
-        n = struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0]
-        size = np.full(n, fixed, np.int64) if fixed else table(t, b"stsz", ">u4", 1, 12).ravel()
-        places = table(t, b"co64", ">u8", 1)
-        places = (table(t, b"stco", ">u4", 1) if places is None else places).ravel()
-        times, groups = table(t, b"stts", ">u4", 2), table(t, b"stsc", ">u4", 3)
-        per_chunk = np.repeat(groups[:, 1], np.diff(np.append(groups[:, 0], len(places) + 1)))
-        if per_chunk.sum() != n or len(per_chunk) != len(places):
-            raise ValueError("the chunk table does not cover the samples")
-        first = np.cumsum(per_chunk) - per_chunk
-        before = np.cumsum(size) - size
-        offset = np.repeat(places, per_chunk) + before - np.repeat(before[first] if n else before, per_chunk)
-        sync = table(t, b"stss", ">u4", 1)
-        out.append(Track(codec, timescale, int((times[:, 0] * times[:, 1]).sum()), offset, size, np.arange(n) if sync is None else sync.ravel() - 1))
+        number = struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] == 1 else 12))[0]
+        a, b = t[b"stsd"]
+        if a + 16 > b:
+            raise ValueError("no sample description")
+        codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
+        offset, size, sync, ticks = _samples(data, t)
+        for more_offset, more_size, is_sync, more_ticks in runs.get(number, []):
+            sync = np.append(sync, np.flatnonzero(is_sync) + len(size))
+            offset, size, ticks = np.append(offset, more_offset), np.append(size, more_size), ticks + more_ticks
+        if len(offset) and (int(offset.min()) < 0 or int((offset + size).max()) > len(data) or int(size.min()) < 0):
+            raise ValueError("a sample lies outside the file")
+        if len(sync) and (int(sync.min()) < 0 or int(sync.max()) >= len(size)):
+            raise ValueError("a sync sample that is none of the samples")
+        out.append(Track(codec, timescale, ticks, offset, size, sync))
+    if not out:
+        raise ValueError("no track")
     return out
 
 
@@ -167,6 +271,9 @@ def payload_of(blob: bytes, track: Track) -> bytes:
         return b""
     breaks = np.flatnonzero(track.offset[1:] != track.offset[:-1] + track.size[:-1]) + 1
     starts, ends = np.append(0, breaks), np.append(breaks, len(track.offset)) - 1
+    total = int(track.size.sum())
+    if total > len(blob):
+        raise ValueError("samples overlap: more bytes than the file has")
     return b"".join(blob[track.offset[a] : track.offset[b] + track.size[b]] for a, b in zip(starts, ends, strict=True))
 
 
@@ -190,39 +297,60 @@ def write_media(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-_PROBED = [("codec", T.StringType()), ("duration", T.DoubleType()), ("samples", T.LongType()), ("keyframes", T.LongType()), ("ranges_crc32", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("error", T.StringType())]
-
+_LONG, _STRING = T.LongType(), T.StringType()
+_RANGE = T.ArrayType(T.StructType([T.StructField("offset", _LONG), T.StructField("bytes", _LONG)]))
+_ARROW = {_LONG: pa.int64(), _STRING: pa.string(), T.DoubleType(): pa.float64(), _RANGE: pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))}
+_PROBED = [("codec", _STRING), ("duration", T.DoubleType()), ("samples", _LONG), ("keyframes", _LONG), ("keyframe_ranges", _RANGE), ("tracks", _LONG), ("media_bytes", _LONG), ("error", _STRING)]
+_PAYLOAD = [("payload_bytes", _LONG), ("payload_sha256", _STRING), ("tail_crc32", _LONG), ("media_sha256", _STRING)]
+_FAULTS = (ValueError, KeyError, IndexError, OverflowError, struct.error)
 
-def probe_media(media: DataFrame, with_ranges: bool = False) -> DataFrame:
-    """Columns from the container in ``media``; with ``with_ranges``, ``keyframe_ranges`` (offset, bytes) too. The container is dropped."""
-    names = [n for n, _ in _PROBED]
-    rest = [f for f in media.schema.fields if f.name not in ("media", "keyframe_ranges", *names)]
-    pairs = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("bytes", T.LongType())]))
-    schema = T.StructType([*rest, *(T.StructField(n, t) for n, t in _PROBED), *([T.StructField("keyframe_ranges", pairs)] if with_ranges else [])])
-    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def one(blob: bytes | None) -> tuple:
-        try:
-            if blob is None:
-                raise ValueError("no container")
-            track = tracks(blob)[0]
-        except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (*[None] * 10, str(e), [])
-        ranges = np.column_stack([track.offset[track.sync], track.size[track.sync]])
-        payload = payload_of(blob, track)
-        return (
-            track.codec, track.duration, len(track.size), len(track.sync), zlib.crc32(ranges.astype("<i8").tobytes()), len(payload), hashlib.sha256(payload).hexdigest(),
-            zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), None, [{"offset": int(a), "bytes": int(b)} for a, b in ranges] if with_ranges else [],
-        )
+def _mapped(media: DataFrame, fields: list[tuple[str, T.DataType]], one, drop_media: bool) -> DataFrame:
+    """``media`` with the columns that ``one`` makes of each container; columns of those names give way."""
+    names = [n for n, _ in fields]
+    rest = [f for f in media.schema.fields if f.name not in names and not (drop_media and f.name == "media")]
+    schema = T.StructType([*rest, *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                got = list(zip(*[one(x.as_py()) for x in part.column("media")], strict=True)) or [[]] * 12
-                columns = [pa.array(c, k) for c, k in zip(got, kinds, strict=False)]
-                if with_ranges:
-                    columns.append(pa.array(got[11], pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], *columns], names=schema.names)
+                got = list(zip(*[one(x.as_py()) for x in part.column("media")], strict=True)) or [[]] * len(fields)
+                made = [pa.array(list(c), _ARROW[t]) for c, (_, t) in zip(got, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], *made], names=schema.names)
 
     return media.mapInArrow(run, schema)
+
+
+def probe_media(media: DataFrame, keep_media: bool = False) -> DataFrame:
+    """codec, duration, samples, keyframes and keyframe_ranges (offset, bytes) of the first track, the number of tracks, the size, and
+    ``error``, from the tables of the container in ``media``."""
+
+    def one(blob: bytes | None) -> tuple:
+        if blob is None:
+            return (*[None] * 7, "no container")
+        try:
+            all_tracks = tracks(blob)
+        except _FAULTS as e:
+            return (*[None] * 6, len(blob), str(e) or type(e).__name__)
+        track = all_tracks[0]
+        ranges = [{"offset": a, "bytes": b} for a, b in zip(track.offset[track.sync].tolist(), track.size[track.sync].tolist(), strict=True)]
+        return track.codec, track.duration, len(track.size), len(track.sync), ranges, len(all_tracks), len(blob), None
+
+    return _mapped(media, _PROBED, one, not keep_media)
+
+
+def read_payload(media: DataFrame) -> DataFrame:
+    """Size and digests of the first track's samples, read back from ``media``, and the container's own digest; ``media`` is dropped."""
+
+    def one(blob: bytes | None) -> tuple:
+        if blob is None:
+            return (None,) * 4
+        digest = hashlib.sha256(blob).hexdigest()
+        try:
+            payload = payload_of(blob, tracks(blob)[0])
+        except _FAULTS:
+            return None, None, None, digest
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), digest
+
+    return _mapped(media, _PAYLOAD, one, True)

@@ -15,8 +15,10 @@
    mode), exactly as if all draws had been shuffled and dealt. A shard then takes its count of the
    next draws of each source, and is shuffled by its own hash.
 
-Edge cases: null or wordless texts have size 0 and are never taken; a null source is a source of its
-own; repeated rows (equal id, text and source) are kept apart by number; an empty table gives an empty
+The windows over sources run in one task, and one row holds an array of their quotas: sources are few (thousands at most).
+
+Edge cases: null or wordless texts have size 0 and are never drawn (``materialise`` passes them on unchanged); a null source is a
+source of its own; repeated rows (equal id, text and source) are kept apart by number; an empty table gives an empty
 mix; other columns are ignored by ``draw`` and carried along by ``materialise``.
 """
 
@@ -27,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm._shared import cut
+from riskloom.llm._shared import Scratch, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["_doc", "_hash", "_copy"]
@@ -121,13 +123,13 @@ def hypergeometric(u: Column, good: Column, total: Column, draws: Column) -> Col
     return F.when((draws <= 0) | (good <= 0), 0).when(good >= total, draws).otherwise(drawn).cast("long")
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def splitting_tree(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """(shard, taken: array in the order of ``quotas.quota``) from one row with ``quota``: array<long>. ``shards`` is a power of two."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     nodes = quotas.select(F.lit(1).cast("long").alias("node"), "quota")
     for level in range(int(math.log2(shards))):
         if level and level % 3 == 0:  # subtrees go on side by side, and the plan stays short
-            nodes = cut(nodes.repartition(min(1 << level, 1024), "node"))
+            nodes = scratch.keep(nodes.repartition(min(1 << level, 1024), "node"))
         state = F.struct(total(F.col("quota")).alias("n"), F.floor(total(F.col("quota")) / 2).cast("long").alias("d"), F.array().cast("array<bigint>").alias("out"))
 
         def deal(a: Column, x: Column) -> Column:
@@ -144,19 +146,19 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - shards).alias("shard"), F.col("quota").alias("taken"))
 
 
-def draw(docs: DataFrame, block_words: int = 512, max_passes: int = 3, shard_blocks: int = 16_384, bucket_blocks: int = 4_000, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def draw(docs: DataFrame, scratch: Scratch, block_words: int = 512, max_passes: int = 3, shard_blocks: int = 16_384, bucket_blocks: int = 4_000, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(sized, draws).
 
     ``sized``: a row per document with its key, doc_id, source, size, source_size, target. ``draws``: a row per drawn
     block with the document's key, source, ``pass``, ``first_word``, ``words``, ``shard`` and ``place`` (sort key in the shard).
     """
     spark = docs.sparkSession
-    sized = cut(_numbered(_hashed(docs).select("_doc", "_hash", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))))
+    sized = scratch.keep(_numbered(_hashed(docs).select("_doc", "_hash", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))))
     n_blocks = F.ceil(F.col("size") / block_words).cast("long")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(n_blocks).alias("source_blocks"))
     plan = targets(sources, max_passes).withColumn("_want", F.floor(F.col("target") + 0.5).cast("long"))
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("_want") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
-    plan = cut(plan.withColumn("_part", F.col("_want") - F.col("_whole") * F.col("source_size")))
+    plan = scratch.keep(plan.withColumn("_part", F.col("_want") - F.col("_whole") * F.col("source_size")))
     blocks_in_all = plan.agg(F.coalesce(F.sum("source_blocks"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(blocks_in_all / bucket_blocks))
 
@@ -176,15 +178,15 @@ def draw(docs: DataFrame, block_words: int = 512, max_passes: int = 3, shard_blo
     last = F.greatest(F.lit(0).cast("long"), F.least("words", F.col("_part") - F.col("_start")))
     passes = F.col("_whole") + (last > 0).cast("long")
     drawn = drawn.filter(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
-    drawn = cut(drawn.select(*KEY, "source", "first_word", F.when(F.col("pass") < F.col("_whole"), F.col("words")).otherwise(last).alias("words"), "pass", (F.col("pass") * F.col("source_blocks") + F.col("_rank")).alias("_draw")))
+    drawn = scratch.keep(drawn.select(*KEY, "source", "first_word", F.when(F.col("pass") < F.col("_whole"), F.col("words")).otherwise(last).alias("words"), "pass", (F.col("pass") * F.col("source_blocks") + F.col("_rank")).alias("_draw")))
 
     quotas = drawn.groupBy("source").agg(F.count("*").alias("n"))
     total = quotas.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = 1 << max(0, math.ceil(math.log2(max(1, total / shard_blocks))))
     row = quotas.agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("q")).select(F.col("q.n").alias("quota"), F.col("q.source").alias("names"))
-    tree = splitting_tree(row, shards, seed).crossJoin(row.select("names")).select("shard", F.explode(F.arrays_zip("names", "taken")).alias("x")).select("shard", F.col("x.names").alias("source"), F.col("x.taken").alias("taken"))
+    tree = splitting_tree(row, shards, seed, scratch).crossJoin(row.select("names")).select("shard", F.explode(F.arrays_zip("names", "taken")).alias("x")).select("shard", F.col("x.names").alias("source"), F.col("x.taken").alias("taken"))
     upto = Window.partitionBy("source").orderBy("shard")
-    leaves = cut(tree.withColumn("_to", F.sum("taken").over(upto)).withColumn("_from", F.col("_to") - F.col("taken")).filter("taken > 0"))
+    leaves = scratch.keep(tree.withColumn("_to", F.sum("taken").over(upto)).withColumn("_from", F.col("_to") - F.col("taken")).filter("taken > 0"))
     granule = 4096  # draws of a source meet the leaves over the same stretch of 4,096 draws: an equi-join
     leaves = leaves.withColumn("_granule", F.explode(F.sequence(F.floor(F.col("_from") / granule), F.floor((F.col("_to") - 1) / granule))))
     drawn = drawn.withColumn("_granule", F.floor(F.col("_draw") / granule))
@@ -197,22 +199,46 @@ def draw(docs: DataFrame, block_words: int = 512, max_passes: int = 3, shard_blo
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, n_shards: what the mix takes of each document."""
-    sized, draws = draw(docs, **options)
-    taken = draws.groupBy(*KEY).agg(F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
-    zero = F.lit(0).cast("long")
-    return sized.join(taken, KEY, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("n_shards", zero).alias("n_shards"))
+    with Scratch(docs.sparkSession) as scratch:
+        sized, draws = draw(docs, scratch, **options)
+        taken = draws.groupBy(*KEY).agg(F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
+        zero = F.lit(0).cast("long")
+        columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("n_shards", zero).alias("n_shards")]
+        return cut(sized.join(taken, KEY, "left").select(*columns))
 
 
-def materialise(docs: DataFrame, **options) -> DataFrame:
+def materialise(docs: DataFrame, keep_wordless: bool = True, **options) -> DataFrame:
     """The mix as documents: a row per document and pass with the words taken (their white space kept), all columns of
-    ``docs``, and ``mix_shard`` (of the first block) with ``mix_place`` to sort it by."""
-    _, draws = draw(docs, **options)
-    runs = draws.groupBy(*KEY, "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_runs"), F.min(F.struct("shard", "place")).alias("_at"), F.sum("words").alias("_taken"))
+    ``docs``, and ``mix_shard`` (of the first block) with ``mix_place`` to sort it by.
+
+    Documents without words have nothing to draw; ``keep_wordless`` passes them on once, unchanged, with null places. Texts are
+    shuffled once, to meet what is taken of them; only rows that are equal in id, text and source move once more, to be numbered.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        sized, draws = draw(docs, scratch, **options)
+        repeated = cut(sized.filter("_copy > 1").select("_doc", "_hash").distinct())
+        runs = F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_runs")
+        runs = draws.groupBy(*KEY, "pass").agg(runs, F.min(F.struct("shard", "place")).alias("_at"), F.sum("words").alias("_taken"))
+        runs = cut(runs.drop("pass"))
     carried = [c for c in docs.columns if c not in ("text", "mix_shard", "mix_place")]
     # The input's own columns travel in a struct, whatever their names are.
-    rows = _numbered(_hashed(docs.select(F.struct(*carried).alias("_row"), "doc_id", "text", "source"))).join(runs, KEY)
+    rows = _hashed(docs.select(F.struct(*carried).alias("_row"), "doc_id", "text", "source"))
+    if repeated.isEmpty():
+        met = rows.join(runs.drop("_copy"), ["_doc", "_hash"])
+    else:
+        once = runs.join(repeated, ["_doc", "_hash"], "left_anti").drop("_copy")
+        many = _numbered(rows.join(repeated, ["_doc", "_hash"], "left_semi")).join(runs, KEY).drop("_copy")
+        met = rows.join(once, ["_doc", "_hash"]).unionByName(many)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    chosen = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["words"].cast("int")))), "")
-    rows = rows.withColumn("_words", words).withColumn("text", F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(chosen))
+
+    def run(r: Column) -> Column:
+        return F.slice(F.col("_words"), (r["first_word"] + 1).cast("int"), r["words"].cast("int"))
+
+    chosen = F.array_join(F.flatten(F.transform("_runs", run)), "")
+    met = met.withColumn("_words", words).withColumn("text", F.when(F.col("_taken") == F.size("_words"), F.col("text")).otherwise(chosen))
     kept = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_place")]
-    return rows.select(*kept, F.col("_at.shard").alias("mix_shard"), F.col("_at.place").alias("mix_place"))
+    mixed = met.select(*kept, F.col("_at.shard").alias("mix_shard"), F.col("_at.place").alias("mix_place"))
+    if not keep_wordless:
+        return mixed
+    bare = docs.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).drop("mix_shard", "mix_place")
+    return mixed.unionByName(bare.withColumns({c: F.lit(None).cast("long") for c in ("mix_shard", "mix_place")}))

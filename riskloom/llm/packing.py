@@ -3,10 +3,11 @@
 Documents become token ids and one end id; longer ones are cut into pieces of ``capacity`` with the
 first piece shorter. A full piece fills a sequence by itself. The others, at most one per document, are
 dealt to partitions by hash; each partition packs by best-fit decreasing and compares its bin count
-with lower bounds from dual-feasible functions. While the whole count is above the bound of all
-lengths together, pieces in bins with room are exchanged: pooled, dealt anew (fewer partitions each
-time) and packed again, and the better packing stays. Length counts (at most ``capacity`` rows) are all
-that reaches the driver.
+with lower bounds from dual-feasible functions: where they are equal, the partition is certified. While
+the whole count is above the bound of all lengths together, pieces in bins with room are exchanged:
+those of partitions with a gap, or of all where none is left, are pooled, dealt anew (fewer partitions
+each time) and packed again, and the better packing stays. The result carries its certificate. Length
+counts (at most ``capacity`` rows) are all that reaches the driver.
 
 Edge cases: a null or empty text is the end id alone; a text of any length is cut, never dropped;
 repeated rows are separate documents; an empty table packs into nothing; other columns are ignored.
@@ -19,6 +20,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm._shared import cut
+from riskloom.llm._shared import Scratch, cut
 
 CAPACITY = 1024
 END_ID = 2
@@ -38,14 +40,31 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _RARE = re.compile("[^\x00-ͯ‐-‧€]")
 
 
+def _is_plain(file: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE as the fast library does it: that split, no normalizer, and merges in the order of ids."""
+    model, split = file.get("model", {}), file.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or file.get("normalizer") or split.get("type") != "ByteLevel":
+        return False
+    if split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab.get(a + b, -1) for a, b in pairs]
+    return all(a < b for a, b in zip([-1, *ids], ids, strict=False)) and len(vocab) - len(ids) <= 256 + len(file.get("added_tokens", []))
+
+
 @lru_cache(maxsize=4)
 def _encoders(path: str):
-    """(fast encoder, exact tokenizer, special token strings) from a tokenizer file."""
+    """(fast encoder or None, exact tokenizer, special token strings) from a tokenizer file."""
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    if not _is_plain(model):
+        return None, Tokenizer.from_file(path), []
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     special = [x["content"] for x in model.get("added_tokens", [])]
@@ -57,7 +76,7 @@ def _encoders(path: str):
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of the file's tokenizer, as its own library gives them without added special tokens."""
     fast, exact, special = _encoders(path)
-    if _RARE.search(text) or any(s in text for s in special):
+    if fast is None or _RARE.search(text) or any(s in text for s in special):
         return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
     return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
@@ -132,11 +151,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, bins
 
 
-_PACKED = "row long, length long, bin long, offset long, room long"
+_PACKED = "row long, length long, bin long, offset long, room long, gap long"
 
 
 def _pack_round(items: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
-    """Each hash partition packed by itself; ``bin`` is unique over partitions and turns, ``room`` is what its bin leaves."""
+    """Each hash partition packed by itself; ``bin`` is unique over partitions and turns, ``room`` is what its bin leaves, ``gap`` how
+    many bins the partition's count is above its own bound (0: certified)."""
 
     def run(table: pa.Table) -> pa.Table:
         row, length = table["row"].to_numpy(), table["length"].to_numpy()
@@ -145,41 +165,61 @@ def _pack_round(items: DataFrame, parts: int, turn: int, capacity: int) -> DataF
         where, offset, bins = best_fit_decreasing(length, capacity)
         fill = np.bincount(where, length, bins).astype(np.int64)
         base = (turn << 56) + (table["part"][0].as_py() << 32)
-        return pa.table({"row": row, "length": length, "bin": base + where, "offset": offset, "room": capacity - fill[where]})
+        gap = np.full(len(row), bins - lower_bound(*np.unique(length, return_counts=True), capacity))
+        return pa.table({"row": row, "length": length, "bin": base + where, "offset": offset, "room": capacity - fill[where], "gap": gap})
 
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInArrow(run, _PACKED)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = 100_000, turns: int = 6) -> DataFrame:
-    """(row, length, bin, offset, room) for items (row, length < capacity). Exchanges go on until the bound certifies the count,
-    a turn gains nothing, or ``turns`` are over."""
+@dataclass(frozen=True)
+class Certificate:
+    """The number of bins, and a bound that no packing of the same lengths can go below."""
+
+    bins: int
+    bound: int
+
+
+def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, part_items: int = 100_000, turns: int = 6) -> tuple[DataFrame, Certificate]:
+    """(row, length, bin, offset, room, gap) for items (row, length < capacity). Exchanges go on until the bound certifies the
+    count, a turn over everything in one partition gains nothing, or ``turns`` are over."""
     table = items.groupBy("length").agg(F.count("*").alias("n")).toArrow()
     lengths, counts = table["length"].to_numpy(), table["n"].to_numpy()
     n = int(counts.sum())
     bound = lower_bound(lengths, counts, capacity)
-    kept = cut(_pack_round(items, max(1, math.ceil(n / part_items)), 0, capacity))
+    kept = scratch.keep(_pack_round(items, max(1, math.ceil(n / part_items)), 0, capacity), "packed")
     bins = lambda df: df.select("bin").distinct().count()
     have = bins(kept)
     for turn in range(1, turns + 1):
         if have <= bound:
             break
-        pool = kept.filter("room > 0")
-        size, before = pool.count(), bins(pool)
-        again = cut(_pack_round(pool, max(1, math.ceil(size / part_items / 2**turn)), turn, capacity))
+        chosen = F.expr("room > 0 AND gap > 0")
+        size = kept.filter(chosen).count()
+        if not size:  # every partition is certified by itself; what is left lies between them
+            chosen = F.expr("room > 0")
+            size = kept.filter(chosen).count()
+        pool = kept.filter(chosen)
+        before = bins(pool)
+        again = scratch.keep(_pack_round(pool, max(1, math.ceil(size / part_items / 2**turn)), turn, capacity), "packed")
         gain = before - bins(again)
         if gain > 0:
-            kept, have = cut(kept.filter("room = 0").unionByName(again)), have - gain
+            merged = scratch.keep(kept.filter(~chosen).unionByName(again), "packed")
+            scratch.drop(kept)
+            kept, have = merged, have - gain
         elif size <= part_items:
             break
-    return kept
+        scratch.drop(again)
+    return kept, Certificate(have, bound)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """``pieces`` with sequence_id and offset. Full pieces are sequences by themselves (ids from 2**62 on)."""
-    pieces = cut(pieces)
-    placed = pack(pieces.filter(F.col("length") < capacity).select("row", "length"), capacity, **options).select("row", "bin", "offset")
-    short = pieces.filter(F.col("length") < capacity).join(placed, "row").withColumn("sequence_id", F.col("bin")).drop("bin")
+    with Scratch(pieces.sparkSession) as scratch:
+        pieces = cut(pieces)
+        items = pieces.filter(F.col("length") < capacity).select("row", "length")
+        placed, _ = pack(items, scratch, capacity, **options)
+        placed = cut(placed.select("row", F.col("bin").alias("sequence_id"), "offset"))
+    short = pieces.filter(F.col("length") < capacity).join(placed, "row")
     own = F.lit(1 << 62) + F.monotonically_increasing_id()
     full = pieces.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("long")).withColumn("sequence_id", own)
     return short.unionByName(full)

@@ -21,7 +21,7 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive_gaps", "archive_gap_bytes")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,9 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+    held_out, predicted = remainder("doc_id", 5) == 0, (F.col("score") >= 0.5).cast("int")
+    offsets = F.transform("toxic_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), offsets.alias("toxic_offsets"))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_components(documents(spark, sf_dir))
+    return jaccard.link_components(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +70,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probed = media.probe_media(media.write_media(documents(spark, sf_dir).select("doc_id", "text")))
+    stored = media.write_media(documents(spark, sf_dir).select("doc_id", "text"))
+    probed = media.read_payload(media.probe_media(stored, keep_media=True))
+    ranges = F.transform("keyframe_ranges", lambda r: F.concat_ws("+", r["offset"].cast("string"), r["bytes"].cast("string")))
     feature = F.concat_ws(
         ";",
         F.concat(F.lit("codec="), F.trim("codec")),
         F.format_string("duration=%.2f", "duration"),
         F.concat(F.lit("samples="), F.col("samples").cast("string")),
         F.concat(F.lit("keyframes="), F.col("keyframes").cast("string")),
-        F.concat(F.lit("ranges="), F.col("ranges_crc32").cast("string")),
+        F.concat(F.lit("ranges="), F.crc32(F.encode(F.array_join(ranges, ","), "UTF-8")).cast("string")),
     )
-    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")]
+    return probed.select(*columns, "keyframe_ranges")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ byte, by that array for all rules at the same time; accepting states name the ru
 ending there. Texts are read in lanes that step together: a lane ends just after a byte that takes
 every state back to the start, so no match is cut.
 
-Where the pass reports a rule in a document, its matches are settled by the rule's own anchored
-automaton: leftmost first, longest, non-overlapping, offsets in code points. Matches that fail the
-rule's smallest length are dropped after they have taken their place, as the base rules define it.
+Where the pass reports a rule in a document, its matches are settled by two automata of the rule's own: one for the reversed rule
+reads the text backward once and marks every byte where a match begins; from the leftmost mark behind the last match the anchored
+one reads on to the longest match. No byte starts a scan that comes to nothing, so the work is in proportion to the text. Offsets
+are code points. Matches that fail the rule's smallest length are dropped after they have taken their place, as the base rules
+define it.
 
 Edge cases: null texts count as empty; empty texts have no spans; texts of any length are read whole;
 repeated rows give repeated results; other columns are carried along untouched.
@@ -141,8 +143,22 @@ class Automaton:
     dead: int
 
 
-def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton:
-    """Subset construction and minimisation of the rules' union; if not anchored, matches may begin at any byte."""
+def _reversed(nfa: _Fragments, start: int, final: int) -> tuple[_Fragments, int, int]:
+    """The automaton of the reversed language."""
+    back = _Fragments()
+    for _ in nfa.steps:
+        back.new()
+    for state, (steps, free) in enumerate(zip(nfa.steps, nfa.free, strict=True)):
+        for on, to in steps:
+            back.steps[to].append((on, state))
+        for to in free:
+            back.free[to].append(state)
+    return back, final, start
+
+
+def compile_rules(patterns: list[tuple[str, bool]], anchored: bool, backward: bool = False) -> Automaton:
+    """Subset construction and minimisation of the rules' union; if not anchored, matches may begin at any byte. ``backward``: of
+    one rule, reversed."""
     nfa = _Fragments()
     start = nfa.new()
     final: dict[int, int] = {}
@@ -150,6 +166,9 @@ def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton
         begin = nfa.new()
         nfa.free[start].append(begin)
         final[nfa.add(regex_syntax.parse(pattern), begin, fold)] = 1 << k
+    if backward:
+        nfa, start, end = _reversed(nfa, start, next(iter(final)))
+        final = {end: 1}
     sets = sorted({s for steps in nfa.steps for s, _ in steps}, key=sorted)
     by_signature: dict[tuple, int] = {}
     classes = np.array([by_signature.setdefault(tuple(b in s for s in sets), len(by_signature)) for b in range(256)], np.int32)
@@ -196,13 +215,13 @@ def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton
 
 @dataclass(frozen=True)
 class Scanner:
-    """The shared automaton over full bytes, its reset bytes, and each rule's own anchored automaton."""
+    """The shared automaton over full bytes, its reset bytes, and each rule's own: anchored, and backward for the begins of matches."""
 
     rules: tuple[Rule, ...]
     table: np.ndarray  # flat: state * 256 + byte -> state * 256
     accepts: np.ndarray
     reset: np.ndarray
-    own: tuple[Automaton, ...]
+    own: tuple[tuple[Automaton, Automaton], ...]
 
     @property
     def states(self) -> int:
@@ -213,7 +232,9 @@ class Scanner:
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     every = compile_rules([(r.scan or r.pattern, r.fold) for r in rules], anchored=False)
     full = every.move[:, every.classes].astype(np.int32)
-    return Scanner(rules, (full * 256).ravel(), every.accepts, (full == 0).all(0), tuple(compile_rules([(r.pattern, r.fold)], anchored=True) for r in rules))
+    alone = [[(r.pattern, r.fold)] for r in rules]
+    own = tuple((compile_rules(x, anchored=True), compile_rules(x, anchored=False, backward=True)) for x in alone)
+    return Scanner(rules, (full * 256).ravel(), every.accepts, (full == 0).all(0), own)
 
 
 LANE = 512
@@ -246,16 +267,29 @@ def hits(scan: Scanner, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(rule: Rule, automaton: Automaton, text: bytes) -> list[tuple[int, int]]:
+def match_begins(backward: Automaton, data: np.ndarray) -> list[int]:
+    """The bytes at which some match begins, in order."""
+    rows, accept = backward.move.tolist(), backward.accepts.tolist()
+    state, out, at = 0, [], len(data)
+    for kind in backward.classes[data[::-1]].tolist():
+        state = rows[state][kind]
+        at -= 1
+        if accept[state]:
+            out.append(at)
+    return out[::-1]
+
+
+def matches(rule: Rule, own: tuple[Automaton, Automaton], text: bytes) -> list[tuple[int, int]]:
     """Leftmost, longest, non-overlapping matches of a rule in bytes, those under its smallest length dropped."""
-    classes = automaton.classes
-    rows, accept, dead = automaton.move.tolist(), automaton.accepts.tolist(), automaton.dead
+    forward, backward = own
     data = np.frombuffer(text, np.uint8)
-    kinds = classes[data]
-    begins = np.flatnonzero(np.array(rows[0])[kinds] != dead)
-    kinds = kinds.tolist()
+    begins = match_begins(backward, data)
+    if not begins:
+        return []
+    rows, accept, dead = forward.move.tolist(), forward.accepts.tolist(), forward.dead
+    kinds = forward.classes[data].tolist()
     out, done, n = [], 0, len(text)
-    for b in begins.tolist():
+    for b in begins:
         if b < done:
             continue
         state, end = 0, -1

@@ -16,12 +16,14 @@ in the same document) goes, judged on the input. The result is exact.
    on length-o bytes and those before agree on o bytes: the common prefixes of both orders say so for all
    offsets. In each class of equal windows all but the earliest are repeats.
 
-Groups of one anchor string with very many members are settled window by window instead, by a
-distributed minimum over (string, offset, window): the same result, without a group in one task.
-
-Edge cases: null and empty texts, and texts under ``length`` bytes, lose nothing; equal rows (same
-doc_id and text) count as one document and both keep what it keeps; documents that share a doc_id but
-differ are ordered by a hash of their text; null ids come last; other columns are ignored.
+Groups of more than ``hot`` anchors are first split by more of what all their windows share: a window that begins between o1
+and o2 bytes before the anchor holds o1 bytes before it and length-o2 from it on, whatever it is. So each anchor is dealt to
+blocks of offsets with those bytes as the key; members with equal bytes and offsets leave all but the earliest (their windows are
+repeats); and blocks are halved until no group is large. The last blocks hold one offset, where equal keys are equal windows.
+
+Edge cases: null and empty texts, and texts under ``length`` bytes, lose nothing; equal rows (same doc_id and text) count as one
+document and both keep what it keeps; documents that share a doc_id but differ are ordered by a hash of their text; null ids come
+last; other columns are ignored. ``docs`` must come from files or a checkpoint.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._shared import cut
+from riskloom.llm._repeated import Extracted, with_repeats
+from riskloom.llm._shared import Scratch, cut, sweep
 from riskloom.llm._text import BYTE_CODES, mix64, powers, slices, texts_of
 
 LENGTH = 100
@@ -241,20 +244,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("_hash"))
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            ids, hashes = batch.column("_id"), batch.column("_hash")
-            for i, j in slices(offsets, 1 << 20):
-                text, gram_hash, place, first, last = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                rows = pa.array(text + i)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), hashes.take(rows), pa.array(gram_hash.view(np.int64)), pa.array(place), pa.array((place - last).astype(np.int32)), pa.array((place - first).astype(np.int32))],
-                    names=["_id", "_hash", "gram", "place", "low", "high"],
-                )
+_FOUND = "_id long, _hash long, found array<struct<place:long,low:int,high:int,gram:long,often:long>>"
+
+
+def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> DataFrame:
+    """(_id, _hash, found): the anchors of each text whose string is at another anchor too, with how often it is there."""
 
-    return texts.mapInArrow(run, "_id long, _hash long, gram long, place long, low int, high int")
+    def extract(batch: pa.RecordBatch) -> Iterator[Extracted]:
+        data, offsets = texts_of(batch.column("text"))
+        for i, j in slices(offsets, 1 << 20):
+            text, gram_hash, place, first, last = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
+            wide = np.uint32 if not len(place) or place.max() < 1 << 32 else np.uint64
+            owners = [text.astype(np.uint32), place.astype(wide), (place - last).astype(np.uint16), (place - first).astype(np.uint16)]
+            yield gram_hash, owners, pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in _KEY], names=_KEY)
+
+    def finish(info: pa.Table, keys: np.ndarray, often: np.ndarray, owners: list[np.ndarray]) -> pa.Table:
+        row, place, low, high = owners
+        order = np.lexsort((place, row))
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(info)))]).astype(np.int32)
+        columns = [place.astype(np.int64), low.astype(np.int32), high.astype(np.int32), keys.view(np.int64), often.astype(np.int64)]
+        found = pa.StructArray.from_arrays([pa.array(x[order]) for x in columns], names=["place", "low", "high", "gram", "often"])
+        lists = pa.ListArray.from_arrays(pa.array(edges), found)
+        some = pa.array(np.diff(edges) > 0)
+        return info.append_column("found", lists).filter(some)
+
+    return with_repeats(texts, extract, finish, _FOUND, **sizes)
 
 
 _CONTEXT = "_id long, _hash long, gram long, place long, low int, high int, before binary, after binary"
@@ -332,37 +346,33 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.sortWithinPartitions("gram").mapInArrow(run, _SPANS)
 
 
-def _windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, offset, window hash, _id, _hash, start): each window of the anchors by itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 4_000):
-                part = batch.slice(a, 4_000)
-                n = len(part)
-                before, after = (texts_of(part.column(c))[0].reshape(n, -1) for c in ("before", "after"))
-                low, high, place = (part.column(c).to_numpy() for c in ("low", "high", "place"))
-                whole = np.concatenate([before[:, ::-1], after], axis=1)
-                reach = before.shape[1]
-                power, inverse = powers(whole.shape[1] + 1)
-                for o in range(int(low.min()), int(high.max()) + 1):
-                    own = np.flatnonzero((low <= o) & (high >= o))
-                    if not len(own):
-                        continue
-                    window = whole[own, reach - o : reach - o + length]
-                    x = mix64((BYTE_CODES[window] * power[:length]).sum(1))
-                    y = mix64((mix64(BYTE_CODES)[window] * power[1 : length + 1]).sum(1))
-                    rows = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("_hash").take(rows), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(place[own] - o)], names=["_id", "_hash", "x", "y", "start"])
-
-    return contexts.mapInArrow(run, "_id long, _hash long, x long, y long, start long")
-
-
-def _hot_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    windows = _windows(contexts, length, gram)
-    me = F.struct("_id", "_hash", "start")
-    first = windows.groupBy("x", "y").agg(F.min(me).alias("first"))
-    return windows.join(first, ["x", "y"]).filter(me != F.col("first")).select("_id", "_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+def _split_large(contexts: DataFrame, length: int, gram: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(contexts in groups of at most ``hot``, spans of windows found to be repeats on the way) for groups of any size."""
+    reach = length - gram
+    size = 1 << max(0, reach.bit_length() - 1)
+    me, same = F.struct(*_KEY, "place"), ["gram", "low", "high", "before", "after"]
+    small, spans, pieces = [], [], contexts
+    while True:
+        blocks = F.sequence((F.col("low") / size).cast("int"), (F.col("high") / size).cast("int"))
+        pieces = pieces.withColumn("_block", F.explode(blocks))
+        pieces = pieces.withColumn("low", F.greatest("low", F.col("_block") * size))
+        pieces = pieces.withColumn("high", F.least("high", (F.col("_block") + 1) * size - 1))
+        held = [F.expr(f"substring(before, 1, _block * {size})"), F.expr(f"substring(after, 1, {length + 1} - least({reach + 1}, (_block + 1) * {size}))")]
+        pieces = pieces.withColumn("gram", F.xxhash64("gram", "_block", *held)).drop("_block")
+        pieces = pieces.withColumn("before", F.expr(f"rpad(substring(before, 1, high), {reach}, X'00')"))
+        pieces = pieces.withColumn("after", F.expr(f"rpad(substring(after, 1, {length} - low), {length}, X'00')"))
+        pieces = scratch.keep(pieces, "pieces")
+        leaders = pieces.groupBy(*same).agg(F.min(me).alias("leader"), F.count("*").alias("many"))
+        led = scratch.keep(pieces.join(leaders, same), "led")
+        spans.append(led.filter(me != F.col("leader")).select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")))
+        left = led.filter(me == F.col("leader")).select(*contexts.columns)
+        if size == 1:  # equal keys were equal windows: one is left of each
+            return [*small, left], spans
+        large = scratch.keep(left.groupBy("gram").count().filter(F.col("count") > hot).select("gram"), "large")
+        small.append(left.join(large, "gram", "left_anti").select(*contexts.columns))
+        if large.isEmpty():
+            return small, spans
+        pieces, size = left.join(large, "gram", "left_semi").select(*contexts.columns), size // 2
 
 
 def _result(texts: DataFrame, length: int) -> DataFrame:
@@ -387,39 +397,52 @@ def _result(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. ``hot``: anchors of one string beyond which a group is
-    settled window by window."""
+    split before it is sorted."""
+    spark = docs.sparkSession
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), "text"))
     size = F.octet_length("text")
-    sized = rows.withColumn("n_bytes", size.cast("long"))
-    # 1. Exact copies: the first of each text stays in the search. Only short keys are shuffled.
-    digest = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
-    first = cut(rows.filter(size >= length).select(*_KEY, digest.alias("_sha")).groupBy("_sha").agg(F.min(F.struct(*_KEY)).alias("k"), F.count_distinct(*_KEY).alias("n")))
-    leaders = first.select("k._id", "k._hash")
     searched = rows.filter(size >= length)
-    # 2. Anchors that occur again (copies included: a count of two costs only a later look).
-    by_gram = Window.partitionBy("gram")
-    found = _anchor_rows(searched.select(*_KEY, "text"), length, gram).withColumn("_n", F.count("*").over(by_gram)).filter("_n > 1")
-    found = found.join(leaders, _KEY, "left_semi")
-    found = cut(found.withColumn("_n", F.count("*").over(by_gram)).filter("_n > 1"))
-    # 3. and 4.
-    lists = found.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "low", "high", "gram")).alias("found"))
-    contexts = _contexts(searched.select(*_KEY, "text").dropDuplicates(_KEY).join(lists, _KEY), length, gram)
-    large = found.filter(F.col("_n") > hot).select("gram").distinct()
-    some_large = not large.isEmpty()
-    usual = contexts.join(F.broadcast(large) if False else large, "gram", "left_anti") if some_large else contexts
-    spans = _sorted_groups(usual.repartition(max(1, -(-found.count() // 100_000)), "gram"), length)
-    if some_large:
-        spans = spans.unionByName(_hot_groups(contexts.join(large, "gram", "left_semi"), length, gram))
-    spans = cut(spans.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    # A copy of an earlier text goes whole; texts without repeats stay as they are; only the rest is read again.
-    keys = sized.select("doc_id", *_KEY, "n_bytes", digest.alias("_sha"))
-    marked = keys.join(first.select("_sha", "k"), "_sha", "left").join(spans.select(*_KEY, F.lit(True).alias("_some")), _KEY, "left")
-    copy = F.col("k").isNotNull() & (F.struct(*_KEY) != F.col("k"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    plain = marked.filter(copy | F.col("_some").isNull()).select(
-        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(copy, one).otherwise(zero).alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex("_sha"))).alias("kept_sha256"),
-    )
-    return plain.unionByName(_result(searched.join(spans, _KEY), length))
+    with Scratch(spark) as scratch:
+        # 1. Exact copies: the first of each text stays in the search. Only short keys are shuffled.
+        digest = F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
+        keys = scratch.keep(rows.select("doc_id", *_KEY, size.cast("long").alias("n_bytes"), digest.alias("_sha")), "keys")
+        first = keys.filter(F.col("n_bytes") >= length).groupBy("_sha").agg(F.min(F.struct(*_KEY)).alias("k"), F.count("*").alias("copies"))
+        first = scratch.keep(first, "first")
+        # 2. Anchors that occur in other texts, or twice in their own. A string of a text with copies is there as often as they are.
+        found = scratch.keep(_repeated_anchors(searched.select(*_KEY, "text"), length, gram, **sizes), "anchors")
+        led = found.join(first.select("k._id", "k._hash", "copies"), _KEY).dropDuplicates(_KEY)
+        led = led.select(*_KEY, F.filter("found", lambda x: x["often"] > F.col("copies")).alias("found")).filter("size(found) > 0")
+        led = scratch.keep(led, "led")
+        scratch.drop(found)
+
+        def contexts(wanted) -> DataFrame:
+            lists = led.select(*_KEY, F.filter("found", wanted).alias("found")).filter("size(found) > 0")
+            return _contexts(searched.select(*_KEY, "text").dropDuplicates(_KEY).join(lists, _KEY), length, gram)
+
+        # 3. and 4.
+        of_all = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        large = F.size(F.filter("found", lambda x: x["often"] > hot))
+        n, n_large = led.agg(of_all(F.size("found")), of_all(large)).first()
+        parts, spans = [contexts(lambda x: x["often"] <= hot)], []
+        if n_large:
+            more, spans = _split_large(contexts(lambda x: x["often"] > hot), length, gram, hot, scratch)
+            parts += more
+        usual = parts[0]
+        for part in parts[1:]:
+            usual = usual.unionByName(part)
+        settled = _sorted_groups(usual.repartition(max(1, -(-n // 100_000)), "gram"), length)
+        for part in spans:
+            settled = settled.unionByName(part)
+        spans = scratch.keep(settled.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+        sweep(spark)
+        # A copy of an earlier text goes whole; texts without repeats stay as they are; only the rest is read again.
+        marked = keys.join(first.select("_sha", "k"), "_sha", "left").join(spans.select(*_KEY, F.lit(True).alias("_some")), _KEY, "left")
+        copy = F.col("k").isNotNull() & (F.struct(*_KEY) != F.col("k"))
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        plain = marked.filter(copy | F.col("_some").isNull()).select(
+            "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(copy, one).otherwise(zero).alias("n_spans"),
+            F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex("_sha"))).alias("kept_sha256"),
+        )
+        return cut(plain.unionByName(_result(searched.join(spans, _KEY), length)))

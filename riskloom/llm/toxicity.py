@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm._shared import cut
 from riskloom.llm._text import Words, code_points, mix64, slices, texts_of
 
 BUCKETS = 1 << 19
@@ -202,15 +203,22 @@ def _curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 100_000) -> Chain:
-    """Fits on at most ``max_rows`` labelled texts of at most ``max_chars``: those with the smallest hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 100_000, max_bytes: int = 128 << 20) -> Chain:
+    """Fits on at most ``max_rows`` labelled texts of at most ``max_chars``, and of at most ``max_bytes`` in all: those with the
+    smallest hash of doc_id.
 
-    The bound is the classifier's only limit; scoring has none. The chosen ids are at most ``max_rows``, so they can be
-    broadcast, and only chosen texts are moved.
+    The bounds are the classifier's only limits; scoring has none. The chosen ids are at most ``max_rows``, so they can be
+    broadcast (and summed up in one task), and only chosen texts are moved.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    chosen = cut(chosen)
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars)
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(chosen), "doc_id")
+    sizes = sizes.groupBy("doc_id", "toxic").agg(F.max("size").alias("size"))
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taken = sizes.withColumn("_sum", so_far).filter(F.col("_sum") <= max_bytes).select("doc_id", "toxic")
+    texts = texts.join(F.broadcast(taken), "doc_id")
     sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")
     if not len(sample):
         return fit(pa.array([], pa.string()), np.zeros(0, bool))

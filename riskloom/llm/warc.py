@@ -5,15 +5,19 @@ member a record; a task that runs again writes the same files. Records with equa
 ``min_bytes`` are stored once: the one with the smallest id is the response, the others are revisit
 records without a body that name it.
 
-Reading: Spark's binary file source hands out whole archives (of bounded size). Members are read one
-after another; each must inflate, pass its checksum, start with a version line, and hold as many bytes
-as its headers say with the block digest they give. Where a check fails, the reader looks for the next
-gzip member, or in plain archives for the next version line, that starts a valid record; the bytes passed
-over become a ``gap`` row with the reason, and later records are recovered.
-
-Edge cases: a null payload counts as empty; a null id has no id header and comes back null, and is never
-preferred as a response; rows that share the smallest id of a group are all responses; repeated rows are
-separate records; an empty table writes no archive and reads back as no rows.
+Reading: Spark's binary file source hands out whole archives (of bounded size). Members are read one after another; each must
+inflate, pass its checksum, start with a version line, and hold as many bytes as its headers say with the block digest they give.
+After any failed check the reader searches on, byte by byte, for the next gzip member or version line that starts a valid record;
+the bytes passed over become a ``gap`` row with the reason, and later records are recovered. Members are inflated as far as they
+go: records before, between and after damage inside a member are recovered as well, each by its own digest.
+
+Every byte of an archive is in ``start``..``end`` of exactly one row: rows of one member share it, so the first carries its bytes
+and the others stand empty at its end; their places in the inflated bytes are ``inner_start``..``inner_end`` (null outside members).
+A damaged member whose end is unknown is a gap up to the next valid record, and its recovered records stand empty at its start.
+
+Edge cases: a null payload counts as empty; a null id has no id header and comes back null, and is never preferred as a response;
+rows that share the smallest id of a group are all responses; repeated rows are separate records; an empty table writes no archive
+and reads back as no rows; other columns of ``pages`` are ignored.
 """
 
 from __future__ import annotations
@@ -74,9 +78,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise ValueError("headers do not end")
     lines = data[at:split].decode("utf-8", "replace").split("\r\n")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    if not headers.get("content-length", "").isdigit():
+    size = _number(headers.get("content-length"))
+    if size is None or size < 0:
         raise ValueError("no content length")
-    size = int(headers["content-length"])
     block = data[split + 4 : split + 4 + size]
     end = split + 4 + size + 4
     if len(block) < size or data[end - 4 : end] != b"\r\n\r\n":
@@ -87,43 +91,103 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (headers, block)) and ("gap", start, end, reason) over an archive, covering every byte."""
-    at, n, packed = 0, len(data), data[:2] == _MAGIC[:2] or b"WARC/" not in data[:5]
-    view = memoryview(data)
-    gap: tuple[int, str] | None = None
-    while at < n:
+_FEED = 1 << 14
+
+
+def _body(data: bytes, at: int) -> int:
+    """Where the compressed bytes of the gzip member at ``at`` begin."""
+    if len(data) < at + 18:
+        raise ValueError("member is cut short")
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            place = data.find(b"\0", place) + 1
+            if not place:
+                raise ValueError("member header does not end")
+    return place + 2 * bool(flags & 2)
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(bytes, end, fault) of the gzip member at ``at``, inflated as far as it goes; ``end`` is known if there is no fault."""
+    place, out, crc, size = _body(data, at), [], 0, 0
+    unpack, feed, n = zlib.decompressobj(-15), _FEED, len(data)
+    while not unpack.eof and place < n:
+        before = unpack.copy() if feed == _FEED else None
         try:
-            if data[at : at + 3] == _MAGIC:
-                unpack = zlib.decompressobj(31)
-                try:
-                    raw = unpack.decompress(view[at:])
-                except zlib.error as e:
-                    raise ValueError(f"member does not inflate: {e}") from None
-                if not unpack.eof:
-                    raise ValueError("member is cut short")
-                end = n - len(unpack.unused_data)
-                found, place = [], 0
-                while place < len(raw):
-                    headers, block, place = parse(raw, place)
-                    found.append((headers, block))
-            else:
-                headers, block, end = parse(data, at)
-                found = [(headers, block)]
+            got = unpack.decompress(data[place : place + feed])
+        except zlib.error as e:
+            if before is None:
+                return b"".join(out), place, f"member does not inflate: {e}"
+            unpack, feed = before, 1  # what comes before the fault comes byte by byte
+            continue
+        out.append(got)
+        crc, size, place = zlib.crc32(got, crc), size + len(got), place + feed
+    if not unpack.eof:
+        return b"".join(out), n, "member is cut short"
+    end = min(place, n) - len(unpack.unused_data)
+    if n < end + 8:
+        return b"".join(out), n, "member is cut short"
+    want = (int.from_bytes(data[end : end + 4], "little"), int.from_bytes(data[end + 4 : end + 8], "little"))
+    return b"".join(out), end + 8, None if want == (crc, size & 0xFFFFFFFF) else "member checksum differs"
+
+
+def _inside(raw: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of a member's inflated bytes, covering all of them."""
+    at, gap = 0, None
+    while at < len(raw):
+        try:
+            headers, block, end = parse(raw, at)
         except ValueError as e:
             gap = gap or (at, str(e))
-            member = data.find(_MAGIC, at + 1)
-            line = -1 if packed else data.find(b"WARC/", at + 1)
-            at = min((x for x in (member, line) if x >= 0), default=n)
+            line = raw.find(b"WARC/", at + 1)
+            at = line if line >= 0 else len(raw)
             continue
         if gap:
             yield "gap", gap[0], at, gap[1]
             gap = None
-        for x in found:
-            yield "record", at, end, x
+        yield "record", at, end, (headers, block)
         at = end
     if gap:
-        yield "gap", gap[0], n, gap[1]
+        yield "gap", gap[0], at, gap[1]
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, int | None, int | None]]:
+    """("record", start, end, (headers, block), inner start, inner end) and ("gap", start, end, reason, inner start, inner end)."""
+    at, n = 0, len(data)
+    gap: tuple[int, str] | None = None
+    while at < n:
+        rows: list[tuple] = []
+        fault = None
+        try:
+            if data[at : at + 3] == _MAGIC:
+                raw, end, fault = inflate(data, at)
+                rows = list(_inside(raw))
+                if not any(r[0] == "record" for r in rows):
+                    raise ValueError(fault or (rows[0][3] if rows else "member is empty"))
+            else:
+                headers, block, end = parse(data, at)
+                rows = [("record", None, None, (headers, block))]
+        except ValueError as e:
+            gap = gap or (at, str(e))
+        else:
+            if gap:
+                yield "gap", gap[0], at, gap[1], None, None
+                gap = None
+            if fault and fault != "member checksum differs":  # its end is unknown
+                for kind, a, b, x in rows:
+                    yield kind, at, at, x, a, b
+                gap = (at, fault)
+            else:
+                for k, (kind, a, b, x) in enumerate(rows):
+                    yield kind, end if k else at, end, x, a, b
+                at = end
+                continue
+        found = (data.find(_MAGIC, at + 1), data.find(b"WARC/", at + 1))
+        at = min((x for x in found if x >= 0), default=n)
+    if gap:
+        yield "gap", gap[0], n, gap[1], None, None
 
 
 def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -171,48 +235,67 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3
     return cut(ready.mapInArrow(run, "path string, records long, bytes long"))
 
 
-READ = T.StructType(
-    [T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("reason", T.StringType())]
-    + [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("payload_digest", T.StringType())]
-    + [T.StructField("payload_bytes", T.LongType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())]
-)
+_LONG, _STRING = T.LongType(), T.StringType()
+_FIELDS = [
+    ("kind", _STRING), ("path", _STRING), ("start", _LONG), ("end", _LONG), ("inner_start", _LONG), ("inner_end", _LONG), ("reason", _STRING),
+    ("page_id", _LONG), ("url", _STRING), ("record_type", _STRING), ("payload_digest", _STRING), ("payload_bytes", _LONG), ("refers_to", _LONG),
+    ("payload", T.BinaryType()), ("archive_gaps", _LONG), ("archive_gap_bytes", _LONG),
+]
+READ = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
+
+
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.removeprefix("-").isdecimal() and len(text) < 19 else None
 
 
 def _page(text: str | None) -> int | None:
-    tail = (text or "").rstrip(">").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    return _number((text or "").rstrip(">").rpartition(":")[2])
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row per record and per quarantined gap of the archives under ``folder``. A record whose payload does not match its
-    digest is quarantined as well."""
+    """A row per record and per quarantined gap of the archives under ``folder``, each with its archive's number of gaps and of the
+    bytes in them. A record whose payload does not match its digest is quarantined as well."""
+
+    def rows_of(path: str, data: bytes) -> list[tuple]:
+        rows: list[tuple] = []
+        for kind, start, end, x, a, b in salvage(data):
+            at = (path, start, end, a, b)
+            if kind == "gap":
+                rows.append(("gap", *at, x, *[None] * 7))
+                continue
+            headers, block = x
+            revisit = headers.get("warc-type") == "revisit"
+            payload = block.partition(b"\r\n\r\n")[2]
+            digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+            if not revisit and digest != _digest(payload):
+                rows.append(("gap", *at, "payload digest differs", *[None] * 7))
+                continue
+            size, page = _number(headers.get("x-payload-length")) if revisit else len(payload), _number(headers.get("x-page-id"))
+            refers = _page(headers.get("warc-refers-to")) if revisit else None
+            kept = payload if with_payload and not revisit else None
+            rows.append(("record", *at, None, page, headers.get("warc-target-uri"), headers.get("warc-type"), digest, size, refers, kept))
+        gaps = [r for r in rows if r[0] == "gap"]
+        lost = sum((r[3] - r[2]) or (r[5] or 0) - (r[4] or 0) for r in gaps)
+        return [(*r, len(gaps), lost) for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {_LONG: pa.int64(), _STRING: pa.string(), T.BinaryType(): pa.binary()}
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows: list[tuple] = []
-                for kind, start, end, x in salvage(content.as_buffer().to_pybytes()):
-                    if kind == "gap":
-                        rows.append((kind, path, start, end, x, *[None] * 7))
-                        continue
-                    headers, block = x
-                    revisit = headers.get("warc-type") == "revisit"
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if not revisit and digest != _digest(payload):
-                        rows.append(("gap", path, start, end, "payload digest differs", *[None] * 7))
-                        continue
-                    size = int(headers.get("x-payload-length", len(payload))) if revisit else len(payload)
-                    page = int(headers["x-page-id"]) if "x-page-id" in headers else None
-                    rows.append((kind, path, start, end, None, page, headers.get("warc-target-uri"), headers.get("warc-type"), digest, size, _page(headers.get("warc-refers-to")) if revisit else None, payload if with_payload and not revisit else None))
+                rows = rows_of(path, content.as_buffer().to_pybytes())
                 columns = list(zip(*rows, strict=True)) or [[]] * len(READ)
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=READ.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=READ.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     return files.mapInArrow(run, READ)
 
 
+def gap_log(read: DataFrame) -> DataFrame:
+    """The quarantined gaps among the rows of ``read_warc``."""
+    return read.filter("kind = 'gap'").select("path", "start", "end", "inner_start", "inner_end", "reason")
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the pages to a fresh shared folder and reads them back."""
     spark = pages.sparkSession

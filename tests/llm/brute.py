@@ -23,39 +23,50 @@ def held_out(doc_id, modulus: int) -> int:
 # --- operator 1 ----------------------------------------------------------------------------------
 
 
-def kneser_ney(rows: list[tuple[int, str | None]]) -> list[tuple]:
+def kneser_ney(rows: list[tuple[int, str | None]], order: int = 3) -> list[tuple]:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by dictionaries."""
     training = [words(t) + [None] for i, t in rows if held_out(i, 7) != 2]
     count = Counter(w for t in training for w in t)
     total, size = sum(count.values()), len(count)
-    pairs = Counter((a, b) for t in training for a, b in zip(["<s>", *t[:-1]], t, strict=True))
-    follow, before = defaultdict(list), Counter(b for _, b in pairs)
-    for (a, _), n in pairs.items():
-        follow[a].append(n)
 
-    def discounts(counts) -> tuple[float, float, float]:
-        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    def grams(t):
+        padded = ["<s>"] * (order - 1) + t
+        return [tuple(padded[k : k + order]) for k in range(len(t))]
+
+    # For each length, the counts: of the longest their own, of shorter ones the distinct words before them.
+    counts = {order: Counter(g for t in training for g in grams(t))}
+    for length in range(order - 1, 0, -1):
+        counts[length] = Counter(g[1:] for g in counts[length + 1])
+    follow = {length: defaultdict(list) for length in counts}
+    for length, of in counts.items():
+        for g, n in of.items():
+            follow[length][g[:-1]].append(n)
+
+    def discounts(values) -> tuple[float, float, float]:
+        n = [sum(c == k for c in values) for k in (1, 2, 3, 4)]
         if min(n) <= 0:
             return 0.5, 1.0, 1.5
         y = n[0] / (n[0] + 2 * n[1])
         return tuple(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.0), k + 1.0) for k in range(3))
 
-    dp, dw = discounts(list(pairs.values())), discounts(list(before.values()))
-    take = lambda n, d: max(n - (0.0, *d)[min(n, 3)], 0)
-    spare = sum((0.0, *dw)[min(n, 3)] for n in before.values()) / max(1, len(pairs)) if pairs else 1.0
+    less = {length: (0.0, *discounts(list(of.values()))) for length, of in counts.items()}
+    whole = {length: {c: sum(x) for c, x in of.items()} for length, of in follow.items()}
+    left = {length: {c: sum(less[length][min(n, 3)] for n in x) for c, x in of.items()} for length, of in follow.items()}
 
-    def p(a, b) -> float:
-        base = take(before[b], dw) / max(1, len(pairs)) + spare / (size + 1)
-        if not follow[a]:
-            return base
-        whole = sum(follow[a])
-        return take(pairs[a, b], dp) / whole + sum((0.0, *dp)[min(n, 3)] for n in follow[a]) / whole * base
+    def p(g) -> float:
+        if not g:
+            return 1 / (size + 1)
+        shorter, d, context = p(g[1:]), less[len(g)], g[:-1]
+        if context not in whole[len(g)]:
+            return shorter
+        own = counts[len(g)][g]
+        return (max(own - d[min(own, 3)], 0) + left[len(g)][context] * shorter) / whole[len(g)][context]
 
     out = []
     for i, t in rows:
         own = words(t) + [None]
         base = sum(math.log10((count[w] + 1) / (total + size + 1)) for w in own)
-        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *own[:-1]], own, strict=True))
+        score = sum(math.log10(p(g)) for g in grams(own))
         out.append((i, held_out(i, 7) == 2, len(own), sum(count[w] > 0 for w in own), total, base, score))
     return out
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from riskloom.llm._shared import Scratch
 from riskloom.llm import jaccard, mixing, ngrams, queries, secrets, suffixes
 from tests.llm import brute
 
@@ -19,26 +20,45 @@ def same(got, want):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
 
 
-def test_kneser_ney(corpus, rows):
-    got = ngrams.train_and_score(corpus).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
-    want = brute.kneser_ney(rows)
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(corpus, rows, order):
+    got = ngrams.train_and_score(corpus, order=order).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    want = brute.kneser_ney(rows, order)
     same([r[:5] for r in got], [r[:5] for r in want])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
-def test_kneser_ney_in_many_shards(corpus, rows):
-    model = ngrams.train(corpus, shard_bytes=40_000)
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_in_many_shards(corpus, order, monkeypatch):
+    model = ngrams.train(corpus, order=order, shard_bytes=40_000)
     assert model.shards > 5
     got = {(r.doc_id, r.n_tokens): r.score for r in ngrams.score(corpus, model).collect()}
-    one = ngrams.train(corpus)
+    one = ngrams.train(corpus, order=order)
     for r in ngrams.score(corpus, one).collect():
         assert got[r.doc_id, r.n_tokens] == pytest.approx(r.score, rel=1e-9)
 
 
-def test_kneser_ney_beats_single_tokens(corpus):
-    held = [r for r in ngrams.train_and_score(corpus).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+def test_probabilities_sum_to_one(spark, tmp_path):
+    """Over the vocabulary, the end and one unknown word, after any context."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(" ".join(w),) for w in ("a b a c a b", "b b c", "c a b a", "d a")], "text string")
+    for order in (2, 3):
+        scorer = ngrams.Scorer(ngrams.train(docs, order=order))
+        m = scorer.model
+        word = np.arange(m.size + 2, dtype=np.uint64)
+        word = word[word != m.size]  # the begin mark is never predicted
+        for u in range(m.size + 2):
+            for v in range(m.size + 2):
+                context = np.full(len(word), v if order == 2 else u << 32 | v, np.uint64)
+                assert (10 ** scorer.log10(context, word)).sum() == pytest.approx(1)
+
+
+def test_kneser_ney_beats_single_tokens_and_pairs(corpus):
+    held = [[r for r in ngrams.train_and_score(corpus, order=k).collect() if r.held_out] for k in (2, 3)]
+    two, three = (sum(r.score for r in x) for x in held)
+    assert three > two > sum(r.base_score for r in held[0])
 
 
 def test_mixture(corpus):
@@ -66,19 +86,22 @@ def test_mixture_as_documents(corpus):
     want = Counter()
     for r in mixing.taken_words(corpus, **options).collect():
         want[r.doc_id] += r.taken
-    got = Counter()
+    got, bare = Counter(), Counter()
     texts = defaultdict(set)
     for r in corpus.select("doc_id", "text").collect():
         texts[r.doc_id] |= set((r.text or "").split())
     for r in mixing.materialise(corpus, **options).select("doc_id", "text", "source").collect():
-        got[r.doc_id] += len(brute.WORD.findall(r.text))
-        assert set(r.text.split()) <= texts[r.doc_id]
+        got[r.doc_id] += len(brute.WORD.findall(r.text or ""))
+        bare[r.doc_id] += not brute.WORD.search(r.text or "")
+        assert set((r.text or "").split()) <= texts[r.doc_id]
     assert +got == +want
+    assert +bare == Counter(r.doc_id for r in corpus.select("doc_id", "text").collect() if not brute.WORD.search(r.text or ""))
 
 
 def test_split_is_exact_and_even(spark):
     quotas = spark.sql("SELECT array(1000L, 10L, 0L, 499990L) AS quota")
-    leaves = [r.taken for r in mixing.splitting_tree(quotas, 16, 3).collect()]
+    with Scratch(spark) as scratch:
+        leaves = [r.taken for r in mixing.splitting_tree(quotas, 16, 3, scratch).collect()]
     assert len(leaves) == 16 and [sum(x) for x in zip(*leaves, strict=True)] == [1000, 10, 0, 499990]
     assert max(map(sum, leaves)) - min(map(sum, leaves)) <= 4
     assert max(x[0] for x in leaves) < 110
@@ -211,6 +234,27 @@ def test_repeats_by_both_ways(spark):
     same(suffixes.remove_repeats(docs, hot=3).collect(), want)
 
 
+def test_repeats_of_repeated_rows(spark):
+    """Three equal rows under two ids: the first keeps everything, whatever number of them there is."""
+    text = "".join(chr(97 + int(c, 16)) for c in hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest())[:216]
+    rows = [(10, text), (10, text), (11, text), (12, "x" + text[50:] + "y"), (12, "x" + text[50:] + "y")]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, n) for i, n in ((10, 0), (10, 0), (11, 216), (12, 166), (12, 166)))
+    same(got, brute.remove_repeats(rows))
+
+
+def test_secret_matching_is_linear():
+    """Runs that begin many matches and end none: a megabyte takes seconds, not hours."""
+    import time
+
+    scan = secrets.scanner()
+    token = b"eyJabc.eyJabc." + b"s" * 30
+    begun = time.time()
+    found = secrets.spans_of(scan, b"eyJ" * 350_000 + b" " + token + b" " + b"AKIA" * 1000, 127)
+    assert time.time() - begun < 20
+    assert ("web_token", 1_050_001, 1_050_001 + len(token)) in found
+
+
 def test_empty_tables(empty):
     for result in (ngrams.train_and_score(empty), mixing.taken_words(empty), mixing.materialise(empty), jaccard.link_components(empty), jaccard.keep_one(empty), secrets.find_secrets(empty), suffixes.remove_repeats(empty)):
         assert result.count() == 0
