@@ -1,9 +1,11 @@
-"""Keys of texts that occur again anywhere in the table, found without moving the texts or their keys' owners.
+"""Keys of texts that occur again anywhere in the table, found without moving the texts or the keys that don't.
 
 1. A task gathers the 64-bit keys of its rows in chunks of about ``chunk_keys``, sorts each chunk, and sends the distinct keys
    with their counts to shards of the key range, as compressed arrays. A key that a third of all rows have is one entry a chunk.
-2. A shard adds up the counts and answers each chunk: which of its keys occur more than once, and how often.
-3. What belongs to the keys (rows, places) travels past the shards as one value a chunk, and meets the answers there.
+   What belongs to a key (row, place) goes with it if the chunk has the key once.
+2. A shard adds up the counts and answers each chunk: which of its keys occur more than once, how often, and what belongs to them.
+3. What belongs to keys that a chunk has several times is wanted in any case; it travels past the shards as one value a chunk,
+   with the chunk's rows, and meets the answers there.
 
 Chunks are named by partition and number, so ``rows`` must come from files or another source that deals the same rows to the same
 partition when a task runs again.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm._arrays import pack, ranges, unpack
 
-CHUNK_KEYS = 3_000_000
-SHARD_BYTES = 24 << 20
+CHUNK_KEYS = 2_000_000
+SHARD_BYTES = 16 << 20
 _SENT = "shard int, chunk long, keys binary, owners binary, info binary"
 _SENT_SCHEMA = pa.schema(
     [("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("info", pa.binary())]
@@ -70,10 +72,16 @@ def with_repeats(
             keys = keys[at]
             edges = ranges(keys, shards)
             some = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
-            blobs = [pack(keys[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]]) for s in some]
+            once = counts == 1
+            owners = [x[order] for x in owners]
+            alone, several = ([x[mask] for x in owners] for mask in (np.repeat(m, counts) for m in (once, ~once)))
+            before = np.append(0, np.cumsum(once))[edges]  # of those the chunk has once, how many stand before each range
+            blobs = [
+                pack(keys[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]], *(x[before[s] : before[s + 1]] for x in alone)) for s in some
+            ]
             info = _ipc(pa.Table.from_batches([x[2] for x in held]))
             out = [[*some, chunk % shards], [chunk] * (len(some) + 1), [*blobs, None]]
-            out += [[*[None] * len(some), x] for x in (pack(counts, *(x[order] for x in owners)), info)]
+            out += [[*[None] * len(some), x] for x in (pack(*several), info)]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SENT_SCHEMA, strict=True)], schema=_SENT_SCHEMA)
 
         for batch in batches:
@@ -95,7 +103,7 @@ def with_repeats(
         if not parts:
             return passed
         keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+        edges, owners = np.cumsum([0, *(len(p[0]) for p in parts)]), [p[2:] for p in parts]
         del parts
         order = np.argsort(keys)
         ordered = keys[order]
@@ -104,25 +112,31 @@ def with_repeats(
         often = np.empty(len(keys), np.uint32)
         often[order] = np.minimum(total, 0xFFFFFFFF)[np.cumsum(new) - 1]
         answers = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            again = often[a:b] > 1
-            answers.append(pack(np.packbits(again), np.array([b - a], np.uint32), keys[a:b][again], often[a:b][again]))
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            again, own_counts = often[a:b] > 1, counts[a:b]
+            found = again[own_counts == 1]
+            answers.append(pack(keys[a:b][again], often[a:b][again], own_counts[again], *(x[found] for x in owners[k])))
+            owners[k] = None
         none = pa.nulls(len(answers), pa.binary())
         answered = [pa.repeat(shard, len(answers)), asked["chunk"], pa.array(answers, pa.binary()), none, none]
         return pa.concat_tables([passed, pa.table(answered, schema=_SENT_SCHEMA)])
 
     def gather(table: pa.Table) -> pa.Table:
         own = table.filter(pc.is_valid(table["owners"]))
-        counts, *owners = unpack(own["owners"][0].as_buffer().to_pybytes())
+        several = unpack(own["owners"][0].as_buffer().to_pybytes())
         info = pa.ipc.open_stream(own["info"][0].as_buffer()).read_all()
         answers = table.filter(pc.is_valid(table["keys"])).sort_by("shard")
         parts = [unpack(x.as_buffer().to_pybytes()) for x in answers["keys"]]
-        again = np.concatenate([np.zeros(0, bool), *(np.unpackbits(p[0], count=int(p[1][0])).astype(bool) for p in parts)])
-        keys = np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in parts)])
-        often = np.concatenate([np.zeros(0, np.uint32), *(p[3] for p in parts)])
-        own_counts = counts[again]
-        chosen = np.repeat(again, counts)
-        return finish(info, np.repeat(keys, own_counts), np.repeat(often, own_counts), [x[chosen] for x in owners])
+        if not parts:
+            return finish(info, np.zeros(0, np.uint64), np.zeros(0, np.uint32), several)
+        keys, often, counts, *alone = (np.concatenate(x) for x in zip(*parts, strict=True))
+        once = np.repeat(counts == 1, counts)
+        owners = []
+        for x, y in zip(alone, several, strict=True):
+            both = np.empty(len(once), np.promote_types(x.dtype, y.dtype))
+            both[once], both[~once] = x, y
+            owners.append(both)
+        return finish(info, np.repeat(keys, counts), np.repeat(often, counts), owners)
 
     sent = rows.mapInArrow(send, _SENT)
     return sent.groupBy("shard").applyInArrow(count, _SENT).groupBy("chunk").applyInArrow(gather, schema)

@@ -38,7 +38,9 @@ from riskloom.llm._text import Words, mix64, slices, texts_of
 from riskloom.llm.components import components
 
 SHINGLE = 5
-FREQUENT = 1_000  # a shingle in at least so many texts is of the frequent class
+#: A shingle in at least so many texts is of the frequent class. Places prune the groups of single shingles better than those of
+#: combinations, and pivots keep groups of any size linear, so combinations are for groups that are large even for that.
+FREQUENT = 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
@@ -82,7 +84,7 @@ def _identities(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # --- which shingles are shared, and by how many ----------------------------------------------------
 
-_MEMBER = "doc_id long, text_hash long, e1 long, e2 long, n int, shingles array<long>, often array<long>"
+_MEMBER = "doc_id long, text_hash long, e1 long, e2 long, n int, shingles array<long>, often array<int>"
 
 
 def _extract(batch: pa.RecordBatch) -> Iterator[Extracted]:
@@ -109,7 +111,8 @@ def _members(info: pa.Table, keys: np.ndarray, often: np.ndarray, owners: list[n
     order = np.argsort(row, kind="stable")
     order = order[wanted[row[order]]]
     edges = pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, shared, 0))]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(edges, pa.array(x[order].astype(np.uint64).view(np.int64)), mask=pa.array(~wanted)) for x in (keys, often)]
+    often = np.minimum(often, (1 << 31) - 1).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(edges, pa.array(x[order]), mask=pa.array(~wanted)) for x in (keys.view(np.int64), often)]
     return info.append_column("shingles", lists[0]).append_column("often", lists[1])
 
 
