@@ -2,13 +2,14 @@
 
 The join is exact. Names meet over an equi-join on byte length (a target stands for every length within
 30 % of its own), then JVM-side bounds on the score drop most pairs, and only the rest reach the Arrow
-function that computes the three metrics Spark has no function for.
+function that computes the three metrics Spark has no function for, over arrays of pairs at once.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,10 +117,94 @@ def prefix_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100).otherwise(F.least(score, F.lit(100))).cast("int")
 
 
+# --- the three metrics over arrays of pairs --------------------------------------------------------
+
+
+def _codes(names: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(code points padded with 0, lengths) of names, a row each."""
+    length = names.str.len().to_numpy(np.int64)
+    width = int(length.max(initial=0))
+    flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(names), width), np.uint32)
+    out[np.arange(width) < length[:, None]] = flat
+    return out, length
+
+
+def _round(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 100).astype(np.int32)
+
+
+def osa_distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """``osa_distance`` of many pairs: all columns of a row of the table at once."""
+    n, width = b.shape
+    steps = np.arange(width + 1, dtype=np.int32)
+    one = np.broadcast_to(steps, (n, width + 1)).copy()
+    two, out, rows = one, np.where(la == 0, lb, 0).astype(np.int32), np.arange(n)
+    for i in range(1, a.shape[1] + 1):
+        differs = (a[:, i - 1, None] != b).astype(np.int32)
+        row = np.empty_like(one)
+        row[:, 0] = i
+        row[:, 1:] = np.minimum(one[:, 1:] + 1, one[:, :-1] + differs)
+        if i > 1 and width > 1:
+            swapped = (a[:, i - 1, None] == b[:, :-1]) & (a[:, i - 2, None] == b[:, 1:])
+            row[:, 2:] = np.where(swapped, np.minimum(row[:, 2:], two[:, :-2] + differs[:, 1:]), row[:, 2:])
+        row = np.minimum.accumulate(row - steps, axis=1) + steps  # an insertion costs one for each column on
+        done = la == i
+        out[done] = row[rows[done], lb[done]]
+        two, one = one, row
+    return out
+
+
+def jaro_winkler_similarities(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n, rows = len(a), np.arange(len(a))
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    at = np.arange(b.shape[1])
+    free = at < lb[:, None]
+    hit = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        near = free & (b == a[:, i, None]) & (np.abs(at - i) <= reach[:, None]) & (i < la)[:, None]
+        found = near.any(1) if b.shape[1] else np.zeros(n, bool)
+        hit[:, i] = found
+        free[rows[found], near[found].argmax(1)] = False
+    taken = (at < lb[:, None]) & ~free
+    m = hit.sum(1)
+    most = min(a.shape[1], b.shape[1])
+    first = np.take_along_axis(a, np.argsort(~hit, axis=1, kind="stable"), 1)[:, :most]
+    second = np.take_along_axis(b, np.argsort(~taken, axis=1, kind="stable"), 1)[:, :most]
+    swaps = ((first != second) & (np.arange(most) < m[:, None])).sum(1) / 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / some) / 3, 0.0)
+    lead = np.zeros(n, np.int64)
+    going = np.ones(n, bool)
+    for k in range(min(4, most)):
+        going &= (k < la) & (k < lb) & (a[:, k] == b[:, k])
+        lead += going
+    return np.where((la == 0) & (lb == 0), 100, _round((jaro + lead * 0.1 * (1 - jaro)) * 100))
+
+
+_KEYBOARD = np.array([[_key_distance(chr(x), chr(y)) for y in range(129)] for x in range(129)])  # 128: any key that is not on it
+
+
+def keyboard_similarities(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    total, differ = np.zeros(len(a)), np.zeros(len(a), np.int64)
+    for k in range(min(a.shape[1], b.shape[1])):
+        x, y = a[:, k], b[:, k]
+        apart = (x != y) & (k < la) & (k < lb)
+        total += np.where(apart, _KEYBOARD[np.minimum(x, 128), np.minimum(y, 128)], 0.0)
+        differ += apart
+    gap, longest = np.abs(la - lb), np.maximum(np.maximum(la, lb), 1)
+    other = _round(((1 - (total + 2 * gap) / (5 * longest)) * 0.7 + (1 - gap / longest) * 0.3) * 100)
+    some = np.maximum(differ, 1)
+    same = _round(((1 - total / (5 * some)) * 0.5 + (1 - differ / np.maximum(la, 1)) * 0.5) * 100)
+    return np.where(gap > 0, other, np.where(differ == 0, 100, same)).astype(np.int32)
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("osa", "jaro_winkler", "keyboard")]))
-def _python_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    got = [(osa_similarity(x, y), jaro_winkler_similarity(x, y), keyboard_similarity(x, y)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(got, columns=["osa", "jaro_winkler", "keyboard"])
+def _array_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    pair = (*_codes(a), *_codes(b))
+    longest = np.maximum(*(x.str.encode("utf-8").str.len().to_numpy(np.int64) for x in (a, b)))
+    osa = np.where(longest == 0, 100, _round((1 - osa_distances(*pair) / np.maximum(longest, 1)) * 100))
+    return pd.DataFrame({"osa": osa, "jaro_winkler": jaro_winkler_similarities(*pair), "keyboard": keyboard_similarities(*pair)})
 
 
 def all_scores(pairs: DataFrame, a: str, b: str, min_score: int = 0) -> DataFrame:
@@ -130,12 +215,12 @@ def all_scores(pairs: DataFrame, a: str, b: str, min_score: int = 0) -> DataFram
         # A swap is two plain edits, so the swap-aware distance is at least half the plain one; the others are at most 100.
         osa_most = F.least(F.lit(100.0), F.floor((1 - F.ceil(F.levenshtein(x, y) / 2) / _longest(x, y)) * 100 + 0.5))
         rows = rows.filter(20 * F.col("levenshtein") + 25 * osa_most + 25 * 100 + 15 * 100 + 15 * F.col("prefix") >= 100 * min_score)
-    rows = rows.withColumn("_s", _python_scores(x, y)).select("*", "_s.*").drop("_s")
+    rows = rows.withColumn("_s", _array_scores(x, y)).select("*", "_s.*").drop("_s")
     rows = rows.withColumn("combined", F.floor(sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0)) / 100).cast("int"))
     return rows.filter(F.col("combined") >= min_score)
 
 
-def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, salts: int = 1) -> DataFrame:
+def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, salts: int = 8) -> DataFrame:
     """Pairs of a package (id, name, downloads) with one of the ``top`` most downloaded whose names are alike.
 
     Both in the top: only the pair that starts at the less downloaded one. ``salts`` spreads each name length over as many

@@ -9,14 +9,17 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "riskloom-checkpoints"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "riskloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -34,20 +37,33 @@ def bounded_tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """(id): the roots and all that they reach. Only the frontier is joined in each step."""
+    """(id): the roots and all that they reach. Each step joins the frontier only, and keeps what it adds as a table of its own."""
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    seen = checkpointed(roots.select("id").distinct())
-    frontier = seen
+    parts = [checkpointed(roots.select("id").distinct())]
     for _ in range(max_steps):
-        step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionAll(frontier))
+        step = parts[-1].join(edges, parts[-1]["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
+        new = checkpointed(step.join(_together(parts), "id", "left_anti"))
+        if new.isEmpty():
+            return _together(parts)
+        parts.append(new)
     raise RuntimeError("closure is not complete after the allowed steps")
 
 
+def scan_order(edges: DataFrame, packages: DataFrame, root: int) -> DataFrame:
+    """(position, id): a package's closure in the order of scanning it: what it depends on, most downloaded first, itself last."""
+    reached = closure(edges, packages.filter(F.col("id") == root).select("id")).join(packages.select("id", "downloads"), "id")
+    order = Window.orderBy(F.col("id") == root, F.desc("downloads"), "id")
+    return reached.select(F.row_number().over(order).cast("long").alias("position"), "id")
+
+
 def inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ``ids`` (id), without loops to the node itself."""
     return edges.filter("src <> dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
@@ -74,31 +90,17 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 
 def waves(nodes: DataFrame, edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
     """(id, wave): 0 for nodes that depend on nothing, else one more than the latest wave among what they depend on (edges must be
-    acyclic: see ``break_cycles``). Nodes of one wave can be worked on side by side."""
+    acyclic: see ``break_cycles``). Nodes of one wave can be worked on side by side. Each wave is a table of its own."""
     left = checkpointed(inside(edges, nodes).distinct())
     open_ = checkpointed(nodes.select("id").distinct())
-    done = None
+    done: list[DataFrame] = []
     for k in range(max_steps):
         ready = checkpointed(open_.join(left.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("wave", F.lit(k)))
-        done = ready if done is None else checkpointed(done.unionAll(ready))
+        done.append(ready)
         open_ = checkpointed(open_.join(ready, "id", "left_anti"))
         if open_.isEmpty():
-            return done
+            return _together(done)
         if ready.isEmpty():
             raise ValueError("the edges have a cycle")
         left = checkpointed(left.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
     raise RuntimeError("waves are not complete after the allowed steps")
-
-
-def queue_states(work: DataFrame, edges: DataFrame) -> DataFrame:
-    """``work`` (id, state) with states open, running, completed, failed, where open nodes become ready once all they depend on is
-    completed or failed (a failure does not hold up dependents)."""
-    over = work.filter(F.col("state").isin("completed", "failed")).select(F.col("id").alias("dst"))
-    waits = inside(edges, work).join(over, "dst", "left_anti").select(F.col("src").alias("id")).distinct().withColumn("waits", F.lit(True))
-    rows = work.join(waits, "id", "left")
-    return rows.select("id", F.when((F.col("state") == "open") & F.col("waits").isNull(), "ready").otherwise(F.col("state")).alias("state"))
-
-
-def queue_counts(states: DataFrame) -> DataFrame:
-    """One row: nodes by state, each counted once."""
-    return states.agg(F.count("*").alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in ("open", "ready", "running", "completed", "failed")])

@@ -26,6 +26,16 @@ def replace_groups(stored: DataFrame, rows: DataFrame, groups: DataFrame, key: s
     return stored.join(groups.select(key).distinct(), key, "left_anti").select(stored.columns).unionByName(rows.select(stored.columns))
 
 
+def delete_keys(stored: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """``stored`` without the rows whose key is in ``keys``."""
+    return stored.join(keys.select(key).distinct(), key, "left_anti").select(stored.columns)
+
+
+def append_new_file(rows: DataFrame, folder: str) -> None:
+    """Adds rows to an append-only table (metrics): new files beside the old ones, none is rewritten."""
+    rows.write.mode("append").parquet(folder)
+
+
 def set_downloads(packages: DataFrame, downloads: DataFrame) -> DataFrame:
     """Downloads from (id, downloads); packages without a new count keep theirs."""
     new = downloads.groupBy("id").agg(F.max("downloads").alias("_new"))
@@ -43,3 +53,22 @@ def has_malicious_dependency(scans: DataFrame, dependencies: DataFrame, threshol
     bad = scans.filter((F.col("review_score") > threshold) | (F.col("findings_count") > 0)).select(F.col("id").alias("dependency_id"))
     hit = dependencies.join(bad, "dependency_id", "left_semi").select(F.col("package_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
     return scans.join(hit, "id", "left").withColumn("has_malicious_dependencies", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+SCAN_FLAGS = ("has_executables", "calls_network", "links_native", "spawns_process", "has_raw_ip", "has_free_tld", "has_malicious_dependencies")
+
+
+def placeholder_scans(packages: DataFrame, failure: str | None = None) -> DataFrame:
+    """A scan row for each package (id) that could not be scanned: skipped ones score 0; with ``failure``, the column that holds the
+    message, they score -1 and the message is kept, cut after 500 bytes."""
+    if failure:
+        text = F.col(failure)
+        cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, 500), "UTF-8")
+        notes = F.when(F.octet_length(text) > 500, F.concat(cut, F.lit("..."))).otherwise(text)
+    else:
+        notes = F.lit("Skipped - no repository or private")
+    zero = F.lit(0)
+    return packages.select(
+        "id", F.lit(-1 if failure else 0).alias("review_score"), notes.alias("review_notes"), *[F.lit(False).alias(c) for c in SCAN_FLAGS],
+        F.lit(0.0).alias("script_entropy"), zero.cast("long").alias("findings_count"), zero.alias("findings_max"),
+    )

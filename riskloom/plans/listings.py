@@ -207,8 +207,8 @@ def f02(r):
 
 @report("x2_lookalike_names")
 def x2(r):
-    """The matcher over all package names, with the 200 most downloaded as targets (a bound of the feature)."""
-    return fuzzy.lookalikes(r.packages, top=200, min_score=75)
+    """The matcher over all package names, with the 10,000 most downloaded as targets (a bound of the feature)."""
+    return fuzzy.lookalikes(r.packages, top=10_000, min_score=75)
 
 
 def _edges(r):

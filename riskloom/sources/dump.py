@@ -7,25 +7,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions.cvss import base_score
 from riskloom.functions.scripts import clean_repository, parse_timestamp
 
-PACKAGES_CSV = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("created_at", "description", "documentation", "homepage")]
-    + [T.StructField("id", T.IntegerType()), T.StructField("max_features", T.IntegerType()), T.StructField("max_upload_size", T.LongType())]
-    + [T.StructField(n, T.StringType()) for n in ("name", "readme", "repository", "updated_at")]
-)
-DOWNLOADS_CSV = "package_id int, downloads long"
-DEPENDENCIES_CSV = "package_id int, version_id int, kind int"
-VERSIONS_CSV = "id int, package_id int"
+#: Columns of the dump's files: our name, the file's name, type. Files have more columns, in any order.
+PACKAGES_CSV = (
+    ("id", "id", "int"), ("name", "name", "string"), ("description", "description", "string"), ("documentation", "documentation", "string"),
+    ("homepage", "homepage", "string"), ("readme", "readme", "string"), ("repository", "repository", "string"),
+    ("max_features", "max_features", "int"), ("max_upload_size", "max_upload_size", "long"),
+    ("created_at", "created_at", "string"), ("updated_at", "updated_at", "string"),
+)
+DOWNLOADS_CSV = (("package_id", "crate_id", "int"), ("downloads", "downloads", "long"))
+DEPENDENCIES_CSV = (("package_id", "crate_id", "int"), ("version_id", "version_id", "int"), ("kind", "kind", "int"))
+VERSIONS_CSV = (("id", "id", "int"), ("package_id", "crate_id", "int"))
+#: The dump's files; an unpacked archive holds them in ``<date>/data/``.
+FILES = {
+    "packages": ("crates.csv", PACKAGES_CSV),
+    "downloads": ("crate_downloads.csv", DOWNLOADS_CSV),
+    "dependencies": ("dependencies.csv", DEPENDENCIES_CSV),
+    "versions": ("versions.csv", VERSIONS_CSV),
+}
 NORMAL = 0  # kinds: 0 normal, 1 development, 2 build
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table with a header; texts may span lines; a bad row fails the read."""
-    return spark.read.schema(schema).options(header=True, mode="FAILFAST", multiLine=True, quote='"', escape='"', enforceSchema=True).csv(path)
+def read_csv(spark: SparkSession, path: str, columns) -> DataFrame:
+    """The given columns of a table with a header, by name; texts may span lines; empty fields are null; a row of another width, and
+    a number that is none, fail the read."""
+    raw = spark.read.options(header=True, mode="FAILFAST", multiLine=True, quote='"', escape='"').csv(path)
+    return raw.select([F.col(f"`{theirs}`").cast(kind).alias(ours) for ours, theirs, kind in columns])
+
+
+def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four raw tables of an unpacked dump, from ``<folder>/*/data`` or from the folder itself."""
+
+    def exists(pattern: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+    places = {n: [f"{folder}/{x}{file}" for x in ("", "*/data/") if exists(f"{folder}/{x}{file}")] for n, (file, _) in FILES.items()}
+    missing = [FILES[n][0] for n, found in places.items() if not found]
+    if missing:
+        raise FileNotFoundError(f"not in {folder}: {', '.join(missing)}")
+    return {n: read_csv(spark, found[0], FILES[n][1]) for n, found in places.items()}
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -52,9 +76,26 @@ def typed_dependencies(raw: DataFrame, versions: DataFrame, packages: DataFrame
     return edges
 
 
+def edge_outcomes(raw: DataFrame, versions: DataFrame, packages: DataFrame) -> DataFrame:
+    """(outcome, n): what becomes of the normal dependencies of latest versions (or unknown ones): kept, or why an edge is left out.
+    The first reason counts: missing version, missing owner, missing dependency, duplicate."""
+    latest, ids = latest_versions(versions).select("version_id", F.lit(True).alias("_latest")), packages.select("id", F.lit(True).alias("_known"))
+    owners = versions.groupBy(F.col("id").alias("version_id")).agg(F.max("package_id").alias("owner"))
+    rows = raw.filter(F.col("kind") == NORMAL).join(owners, "version_id", "left").join(latest, "version_id", "left")
+    rows = rows.filter(F.col("owner").isNull() | F.col("_latest"))
+    rows = rows.join(ids.select(F.col("id").alias("owner"), F.col("_known").alias("_owner")), "owner", "left")
+    rows = rows.join(ids.select(F.col("id").alias("package_id"), F.col("_known").alias("_target")), "package_id", "left")
+    reason = F.when(F.col("owner").isNull(), "missing version").when(F.col("_owner").isNull(), "missing owner")
+    reason = reason.when(F.col("_target").isNull(), "missing dependency").otherwise("kept")
+    edges = rows.select("owner", "package_id", reason.alias("outcome")).groupBy("owner", "package_id", "outcome").agg(F.count("*").alias("n"))
+    one = F.struct(F.col("outcome"), F.when(F.col("outcome") == "kept", F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"))
+    again = F.struct(F.lit("duplicate").alias("outcome"), F.when(F.col("outcome") == "kept", F.col("n") - 1).otherwise(0).cast("long").alias("n"))
+    return edges.select(F.explode(F.array(one, again)).alias("x")).select("x.*").filter("n > 0").groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Full load of a dump's four files."""
-    raw = {n: read_csv(spark, f"{folder}/{n}.csv", s) for n, s in (("packages", PACKAGES_CSV), ("downloads", DOWNLOADS_CSV), ("dependencies", DEPENDENCIES_CSV), ("versions", VERSIONS_CSV))}
+    raw = read_dump(spark, folder)
     packages = typed_packages(raw["packages"], raw["downloads"])
     return {"packages": packages, "dependencies": typed_dependencies(raw["dependencies"], raw["versions"], packages)}
 

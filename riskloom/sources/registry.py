@@ -57,6 +57,23 @@ DERIVED = {
           CASE WHEN user_id % 24 = 0 THEN NULL ELSE CAST(user_id % 24 AS STRING) END AS worker, ts AS started_at, ts AS completed_at
         FROM events""",
 }
+#: What a dump's raw files hold, with their usual faults: blank and null texts, times that do not parse, unknown ids, repeated edges.
+DERIVED |= {
+    "raw_packages": """
+        SELECT CAST(p.p_partkey AS INT) AS id, p.p_name || '-' || CAST(p.p_partkey AS STRING) AS name,
+          CASE WHEN p.p_partkey % 17 = 0 THEN NULL WHEN p.p_partkey % 5 = 0 THEN '  https://host.example/x ' ELSE 'https://host.example/y' END AS repository,
+          CASE WHEN p.p_partkey % 97 = 0 THEN 'no time' ELSE CAST(CAST(a.o_orderdate AS DATE) AS STRING) || ' 12:06:24.629411+00' END AS created_at,
+          CAST(CAST(CASE WHEN p.p_partkey % 3 = 0 THEN b.o_orderdate ELSE GREATEST(a.o_orderdate, b.o_orderdate) END AS DATE) AS STRING) || ' 00:00:00+00' AS updated_at
+        FROM part p JOIN orders a ON a.o_orderkey = p.p_partkey JOIN orders b ON b.o_orderkey = p.p_partkey*2+1 WHERE p.p_partkey % 11 <> 3""",
+    "raw_downloads": """
+        SELECT CAST(p_partkey AS INT) AS package_id, CAST((p_partkey*7919+13) % 5000000 AS BIGINT) AS downloads FROM part WHERE p_partkey % 4 <> 1""",
+    "versions": """
+        SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS id, CAST(l_partkey AS INT) AS package_id FROM lineitem""",
+    "raw_dependencies": """
+        SELECT CAST(l_suppkey AS INT) AS package_id, CAST(l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 50 = 0 THEN 8 ELSE 0 END AS INT) AS version_id,
+          CAST(l_quantity AS INT) % 3 AS kind FROM lineitem
+        UNION ALL SELECT CAST(l_suppkey AS INT) AS package_id, CAST(l_orderkey * 10 + l_linenumber AS INT) AS version_id, 0 AS kind FROM lineitem WHERE l_orderkey % 4 = 0""",
+}
 _BASE = ("part", "orders", "lineitem", "events", "documents", "labels")
 
 
@@ -126,3 +143,19 @@ class Registry:
     @cached_property
     def timings(self) -> DataFrame:
         return self._derive("timings")
+
+    @cached_property
+    def raw_packages(self) -> DataFrame:
+        return self._derive("raw_packages")
+
+    @cached_property
+    def raw_downloads(self) -> DataFrame:
+        return self._derive("raw_downloads")
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        return self._derive("versions")
+
+    @cached_property
+    def raw_dependencies(self) -> DataFrame:
+        return self._derive("raw_dependencies")

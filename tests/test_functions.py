@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,18 @@ def test_name_metrics():
     assert fuzzy.keyboard_similarity("abc", "abc") == 100 and 0 <= fuzzy.keyboard_similarity("q", "0") <= 100
 
 
+def test_metrics_over_arrays():
+    """The array forms give what the plain ones give, on names by chance and odd ones."""
+    rng = np.random.default_rng(4)
+    letters = list("abcqwsz-_1éß😀")
+    names = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(600)] + ["", "a", "ab", "ba", "abc", "acb"]
+    a, b = pd.Series(names), pd.Series([names[k] for k in rng.permutation(len(names))])
+    pair = (*fuzzy._codes(a), *fuzzy._codes(b))
+    assert fuzzy.osa_distances(*pair).tolist() == [fuzzy.osa_distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert fuzzy.jaro_winkler_similarities(*pair).tolist() == [fuzzy.jaro_winkler_similarity(x, y) for x, y in zip(a, b, strict=True)]
+    assert fuzzy.keyboard_similarities(*pair).tolist() == [fuzzy.keyboard_similarity(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def test_matcher_equals_all_pairs(spark):
     names = ["serde", "serge", "tokio", "tokoi", "tokio-rs", "rand", "random", "a", "ab", "hyper", "hyperr", "hypre"]
     packages = spark.createDataFrame([(k, n, 1000 - k) for k, n in enumerate(names)], "id long, name string, downloads long")
