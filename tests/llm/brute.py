@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -91,6 +93,46 @@ def mix_targets(sizes: dict) -> dict:
     return target
 
 
+# --- operator 5 ----------------------------------------------------------------------------------
+
+
+def spark_hash(*values) -> int:
+    """The engine's xxhash64 of values: bytes of 4 or 8 (integers) or of UTF-8, each seeded by the hash so far; None is passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64(v if isinstance(v, bytes) else v.encode(), seed=seed).intdigest()
+    return seed
+
+
+def order_minhash(text: str | None, k: int = 3, bins: int = 64, width: int = 2, seed: int = 5) -> list[int]:
+    """Entries by class: the ``width`` smallest occurrence-numbered k-word elements of the class, in text order, hashed as a tuple."""
+    low, bits = (1 << 24) - 1, bins.bit_length() - 1
+    signed = lambda x, n: x - (1 << n) if x >> (n - 1) else x
+    own = (text or "").split(" ")
+    elements = [(spark_hash(seed.to_bytes(4, "little"), *own[i : i + k]) & ~low, i) for i in range(max(1, len(own) - k + 1))]
+    seen, numbered = Counter(), []
+    for e, i in elements:
+        numbered.append((spark_hash(e.to_bytes(8, "little"), seen[e].to_bytes(4, "little")) & ~low, i))
+        seen[e] += 1
+    classes = defaultdict(list)
+    for h, i in numbered:
+        classes[signed(h, 64) >> (64 - bits)].append((h, i))
+    out = []
+    for kind in sorted(classes):
+        least = sorted(classes[kind])[:width]
+        mixed = spark_hash(*[(h >> 24).to_bytes(8, "little") for h, _ in sorted(least, key=lambda x: x[1])])
+        entry = (least[0][0] >> (64 - bits) << (64 - bits)) | mixed >> bits
+        out.append(entry >> 32)
+    return out
+
+
+def likeness(a: list[int], b: list[int], bins: int = 64) -> float:
+    bits = bins.bit_length() - 1
+    kinds = {e >> (32 - bits) for e in a} | {e >> (32 - bits) for e in b}
+    return len(set(a) & set(b)) / max(1, len(kinds))
+
+
 # --- operator 6 ----------------------------------------------------------------------------------
 
 

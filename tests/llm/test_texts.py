@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm._shared import Scratch
+from tests.llm import brute
 from riskloom.llm import fingerprints, media, packing, queries, toxicity, warc
 
 
@@ -154,6 +155,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in held if r.toxic) >= 0.85 * sum(r.toxic for r in held)
 
 
+def test_toxic_offsets(spark):
+    """Offsets point at the toxic words, in code points, whatever stands before them; clean texts have none."""
+    words = ["bad", "vile"]
+    chain = toxicity.fit(__import__("pyarrow").array([f"a {w} word here and there" for w in words] * 20 + ["a nice calm day here and there"] * 80), np.arange(120) < 40)
+    texts = ["päivää 😀 bad day", "nice day", "vile", None, "", "x " * 3000 + "bad"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, chain).collect()}
+    for k, t in enumerate(texts):
+        found = [(t or "")[s.start : s.end] for s in got[k].toxic_spans]
+        assert {x for x in found if x in words} == {x for x in (t or "").split() if x in words}, (t, found)
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(50)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs, labels, max_bytes=5_000) and toxicity.train(docs, labels, max_rows=3) and toxicity.train(docs, labels, max_bytes=1)
+
+
+def test_more_empty_tables(spark, empty):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    chain = toxicity.fit(__import__("pyarrow").array(["bad", "good"]), np.array([True, False]))
+    stored = media.write_media(empty)
+    for result in (
+        warc.round_trip(pages), toxicity.score(empty, chain), fingerprints.edited_fingerprints(empty),
+        packing.pack_pieces(packing.cut_pieces(empty, queries.tokenizer_path())), media.read_payload(media.probe_media(stored, keep_media=True)),
+    ):
+        assert result.count() == 0
+
+
 def test_toxicity_of_odd_rows(spark, corpus):
     chain = toxicity.fit(__import__("pyarrow").array(["bad vile word here"] * 20 + ["nice calm day"] * 40), np.arange(60) < 20)
     got = toxicity.score(corpus, chain).collect()
@@ -163,6 +193,7 @@ def test_toxicity_of_odd_rows(spark, corpus):
 def test_fingerprints(corpus, rows):
     got = fingerprints.edited_fingerprints(corpus).collect()
     assert len(got) == len(rows)
+    assert fingerprints.edited_fingerprints(corpus.filter("doc_id = 900012")).first().near_next == 1  # its own neighbour
     order = sorted({(i, t or "") for i, t in rows}, key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
     own = {(r.doc_id, r.n_chars): r for r in got}
     prints = defaultdict(set)
@@ -171,7 +202,10 @@ def test_fingerprints(corpus, rows):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         r = own[i, len(t)]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own_print, edited_print, next_print = (brute.order_minhash(x) for x in (t, edited, after))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{e:08x}" for e in x) for x in (own_print, edited_print))
+        assert r.near_edited == pytest.approx(brute.likeness(own_print, edited_print))
+        assert r.near_next == pytest.approx(brute.likeness(own_print, next_print))
         prints[t].add(r.fingerprint)
     assert all(len(x) == 1 for x in prints.values())
 
