@@ -178,16 +178,23 @@ def s10c(r):
 def m02(r):
     v = per_package(r).select(F.col("package_id").alias("dependency_id"), "n", "worst")
     names = r.packages.select(F.col("id").alias("dependency_id"), F.col("name").alias("dep_name"))
-    rows = r.dependencies.join(v, "dependency_id", "left").join(names, "dependency_id", "left")
-    item = "CASE WHEN n IS NOT NULL AND dep_name IS NOT NULL THEN concat(dep_name, ' (', n, ' vulns, max: ', coalesce(cast(worst AS string), ''), ')') END"
-    per = rows.groupBy("package_id").agg(F.count("*").alias("total"), F.count("n").alias("bad"), advisories("worst DESC NULLS FIRST, n DESC, dependency_id", item).alias("bad_list")).filter("bad > 0")
-    rows = _on_package(r, per).select("id", "name", "downloads", "total", "bad", percent(F.col("bad"), F.col("total")).alias("bad_pct"), "bad_list")
-    return top(rows, 50, F.desc("bad"), F.desc("bad_pct"), F.col("id")).drop("id")
-
-
-def _ranked_dependents(r, most: int):
-    """The names of the ``most`` most downloaded dependents of each package, as one text; ranked before anything is collected."""
-    who = r.dependencies.join(r.packages.select(F.col("id").alias("package_id"), "name", "downloads"), "package_id")
+    rows = r.dependencies.join(v, "dependency_id", "left")
+    per = rows.groupBy("package_id").agg(F.count("*").alias("total"), F.count("n").alias("bad")).filter("bad > 0")
+    per = _on_package(r, per).select("id", "name", "downloads", "total", "bad", percent(F.col("bad"), F.col("total")).alias("bad_pct"))
+    order = [F.desc("bad"), F.desc("bad_pct"), F.col("id")]
+    best = top(per, 50, *order)
+    # The texts are made for the best rows only.
+    item = "concat(dep_name, ' (', n, ' vulns, max: ', coalesce(cast(worst AS string), ''), ')')"
+    wanted = rows.filter("n IS NOT NULL").join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").join(names, "dependency_id")
+    lists = wanted.groupBy(F.col("package_id").alias("id")).agg(advisories("worst DESC NULLS FIRST, n DESC, dependency_id", item).alias("bad_list"))
+    return best.join(lists, "id", "left").orderBy(*order).select("name", "downloads", "total", "bad", "bad_pct", "bad_list")
+
+
+def _ranked_dependents(r, most: int, ids):
+    """The names of the ``most`` most downloaded dependents of the packages in ``ids`` (id), as one text. Each task ranks its own rows
+    and passes on ``most`` of a package at most (Spark's window group limit), so a package that all others use is no hot key."""
+    wanted = r.dependencies.join(ids.select(F.col("id").alias("dependency_id")).distinct(), "dependency_id", "left_semi")
+    who = wanted.join(r.packages.select(F.col("id").alias("package_id"), "name", "downloads"), "package_id")
     rank = F.row_number().over(Window.partitionBy("dependency_id").orderBy(F.desc("downloads"), F.col("package_id")))
     return who.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("dependency_id").agg(F.expr("listagg(name, ', ') WITHIN GROUP (ORDER BY rank)").alias("examples"))
 
@@ -207,10 +214,13 @@ def _used(r):
     JOIN (SELECT package_id, string_agg(DISTINCT '{PREFIX}' || advisory, ', ' ORDER BY '{PREFIX}' || advisory) AS advisories FROM findings GROUP BY package_id) a ON a.package_id = p.id
     LEFT JOIN {_RANKED.format(n=5)} e ON e.dependency_id = p.id ORDER BY impact DESC, max_severity DESC NULLS FIRST, p.id LIMIT 30""")
 def m03(r):
-    v = r.findings.groupBy("package_id").agg(F.count("*").alias("n_findings"), F.max("severity").alias("max_severity"), half_up(F.avg("severity"), 2).alias("avg_severity"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(PREFIX), "advisory"))), ", ").alias("advisories"))
+    v = r.findings.groupBy("package_id").agg(F.count("*").alias("n_findings"), F.max("severity").alias("max_severity"), half_up(F.avg("severity"), 2).alias("avg_severity"))
     rows = _on_package(r, v).join(_used(r), F.col("id") == F.col("dependency_id")).drop("dependency_id").withColumn("impact", F.col("n_findings") * F.col("used"))
     best = top(rows, 30, F.desc("impact"), F.col("max_severity").desc_nulls_first(), F.col("id"))
-    return best.join(_ranked_dependents(r, 5), best["id"] == F.col("dependency_id"), "left").select("name", "repository", "n_findings", "max_severity", "avg_severity", "used", "impact", "advisories", "examples")
+    ids = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(PREFIX), "advisory"))), ", ")
+    lists = r.findings.join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").groupBy("package_id").agg(ids.alias("advisories"))
+    best = best.join(lists, best["id"] == lists["package_id"]).drop("package_id")
+    return best.join(_ranked_dependents(r, 5, best), best["id"] == F.col("dependency_id"), "left").select("name", "repository", "n_findings", "max_severity", "avg_severity", "used", "impact", "advisories", "examples")
 
 
 @report("m05_severe_findings", f"""
@@ -219,7 +229,7 @@ def m03(r):
     {_JOINED} LEFT JOIN {_USED} u ON u.dependency_id = p.id LEFT JOIN {_RANKED.format(n=10)} e ON e.dependency_id = p.id WHERE f.severity >= 70""")
 def m05(r):
     rows = _on_package(r, r.findings.filter("severity >= 70").drop("id"))
-    rows = rows.join(_used(r), F.col("id") == F.col("dependency_id"), "left").drop("dependency_id").join(_ranked_dependents(r, 10), F.col("id") == F.col("dependency_id"), "left")
+    rows = rows.join(_used(r), F.col("id") == F.col("dependency_id"), "left").drop("dependency_id").join(_ranked_dependents(r, 10, rows), F.col("id") == F.col("dependency_id"), "left")
     used = F.coalesce("used", F.lit(0).cast("long"))
     return rows.select("name", F.concat(F.lit(PREFIX), "advisory").alias("advisory"), "severity", bracket(F.col("severity"), RATING, "INFO").alias("rating"), "downloads", used.alias("used"), (F.col("downloads") + used).alias("exposure"), "repository", "examples").orderBy(F.desc("severity"), F.desc("exposure"), "name", "advisory")
 
