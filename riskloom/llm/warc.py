@@ -153,13 +153,25 @@ def _inside(raw: bytes) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", gap[0], at, gap[1]
 
 
+def _next_member(data: bytes, start: int, end: int) -> int | None:
+    """The first member between start and end that holds a record."""
+    while 0 <= (start := data.find(_MAGIC, start)) < end:
+        try:
+            if any(r[0] == "record" for r in _inside(inflate(data, start)[0])):
+                return start
+        except ValueError:
+            pass
+        start += 1
+    return None
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, int | None, int | None]]:
     """("record", start, end, (headers, block), inner start, inner end) and ("gap", start, end, reason, inner start, inner end)."""
     at, n = 0, len(data)
     gap: tuple[int, str] | None = None
     while at < n:
         rows: list[tuple] = []
-        fault = None
+        fault, lines = None, at + 1
         try:
             if data[at : at + 3] == _MAGIC:
                 raw, end, fault = inflate(data, at)
@@ -175,16 +187,21 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, int | None, in
             if gap:
                 yield "gap", gap[0], at, gap[1], None, None
                 gap = None
-            if fault and fault != "member checksum differs":  # its end is unknown
+            known = not fault or fault == "member checksum differs" and (end == n or data[end : end + 3] == _MAGIC or data[end : end + 5] == b"WARC/")
+            if not known:  # its end may be anywhere: a member that was cut reads on into the next
+                following = _next_member(data, at + 1, end)
+                if following:
+                    end = following
+                    rows = list(_inside(inflate(data[:end], at)[0])) if end >= at + 18 else []
                 for kind, a, b, x in rows:
                     yield kind, at, at, x, a, b
-                gap = (at, fault)
+                gap, lines = (at, fault), end  # lines before that are those of its own records, stored as they are
             else:
                 for k, (kind, a, b, x) in enumerate(rows):
                     yield kind, end if k else at, end, x, a, b
                 at = end
                 continue
-        found = (data.find(_MAGIC, at + 1), data.find(b"WARC/", at + 1))
+        found = (data.find(_MAGIC, at + 1), data.find(b"WARC/", max(lines, at + 1)))
         at = min((x for x in found if x >= 0), default=n)
     if gap:
         yield "gap", gap[0], n, gap[1], None, None

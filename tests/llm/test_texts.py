@@ -158,8 +158,8 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxic_offsets(spark):
     """Offsets point at the toxic words, in code points, whatever stands before them; clean texts have none."""
     words = ["bad", "vile"]
-    chain = toxicity.fit(__import__("pyarrow").array([f"a {w} word here and there" for w in words] * 20 + ["a nice calm day here and there"] * 80), np.arange(120) < 40)
-    texts = ["päivää 😀 bad day", "nice day", "vile", None, "", "x " * 3000 + "bad"]
+    chain = toxicity.fit(__import__("pyarrow").array([f"a nice {w} day here and there" for w in ("bad", "bad", "vile", "vile")] * 10 + ["a nice calm day here and there"] * 80), np.arange(120) < 40)
+    texts = ["päivää 😀 bad day", "nice day", "a nice vile day here", None, "", "x " * 3000 + "bad"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score(rows, chain).collect()}
     for k, t in enumerate(texts):
