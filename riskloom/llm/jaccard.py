@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm._repeated import Extracted, with_repeats
-from riskloom.llm._shared import Scratch, cut
+from riskloom.llm._shared import Scratch, cut, sweep
 from riskloom.llm._text import Words, mix64, slices, texts_of
 from riskloom.llm.components import components
 
@@ -245,12 +245,15 @@ def link_components(docs: DataFrame, pivots: int = 2, frequent: int = FREQUENT,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     with Scratch(spark) as scratch:
         members = scratch.keep(with_repeats(rows, _extract, _members, _MEMBER, **sizes), "members")
+        sweep(spark)
         same = members.filter("n > 0").groupBy("e1", "e2", "n")
         entities = same.agg(
             F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"),
             F.first("shingles", True).alias("shingles"), F.first("often", True).alias("often"),
         )
         entities = scratch.keep(entities.withColumn("id", F.monotonically_increasing_id()), "entities")
+        narrow = scratch.keep(members.select("doc_id", "text_hash", "e1", "e2", "n"), "members")
+        scratch.drop(members)
         # What is in more texts than the set's own copies, in the order of frequency, then hash.
         both = F.arrays_zip("often", "shingles")
         shared = F.array_sort(F.filter(both, lambda x: x["often"] > F.col("copies")))
@@ -265,7 +268,7 @@ def link_components(docs: DataFrame, pivots: int = 2, frequent: int = FREQUENT,
             own = own.join(label, own["id"] == label["node"], "left").withColumn("comp", F.coalesce("component", "id"))
             smallest = own.filter("component IS NOT NULL").groupBy("comp").agg(F.min("first_doc").alias("least"))
             placed = own.join(smallest, "comp", "left").withColumn("component_id", F.coalesce("least", "first_doc"))
-        found = members.select("doc_id", "text_hash", "e1", "e2", "n").join(placed.select("e1", "e2", "n", "component_id"), ["e1", "e2", "n"], "left")
+        found = narrow.join(placed.select("e1", "e2", "n", "component_id"), ["e1", "e2", "n"], "left")
         return cut(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"))
 
 

@@ -412,6 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         first = scratch.keep(first, "first")
         # 2. Anchors that occur in other texts, or twice in their own. A string of a text with copies is there as often as they are.
         found = scratch.keep(_repeated_anchors(searched.select(*_KEY, "text"), length, gram, **sizes), "anchors")
+        sweep(spark)
         led = found.join(first.select("k._id", "k._hash", "copies"), _KEY).dropDuplicates(_KEY)
         led = led.select(*_KEY, F.filter("found", lambda x: x["often"] > F.col("copies")).alias("found")).filter("size(found) > 0")
         led = scratch.keep(led, "led")
