@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.sources.registry import Registry, with_registry
@@ -102,6 +103,35 @@ def advisories_sql(order: str = "f.severity DESC NULLS FIRST, f.id", item: str =
     return f"string_agg({item}, ', ' ORDER BY {order})"
 
 
+def quantiles(rows: DataFrame, columns: tuple[str, ...], shares: dict[str, float], step: int = 1024) -> DataFrame:
+    """One row with ``<share>_<column>``: exact interpolated quantiles of whole-number columns (null counts as 0).
+
+    Equal values are counted first; counts of stretches of ``step`` values tell in which stretch a rank lies, and only the values
+    of those stretches are put in order. No task holds all distinct values.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value")) for c in columns]))
+    counts = rows.select(each.alias("x")).select("x.*").groupBy("name", "value").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("stretch", F.floor(F.col("value") / step))
+    along = Window.partitionBy("name").orderBy("stretch")
+    whole = F.sum("n").over(Window.partitionBy("name"))
+    sums = counts.groupBy("name", "stretch").agg(F.sum("n").alias("n")).withColumn("total", whole)
+    sums = sums.withColumn("before", F.sum("n").over(along) - F.col("n"))
+    rank = {k: (F.col("total") - 1) * F.lit(q) for k, q in shares.items()}
+    ends = [f(r) for r in rank.values() for f in (F.floor, F.ceil)]
+    hold = [(F.col("before") <= e) & (e < F.col("before") + F.col("n")) for e in ends]
+    some = sums.filter(reduce(lambda a, b: a | b, hold)).select("name", "stretch", "total", F.col("before").alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("name", "stretch").orderBy("value"))
+    placed = counts.join(some, ["name", "stretch"]).withColumn("last", F.col("_before") + inside).withColumn("first", F.col("last") - F.col("n"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("first") <= place) & (place < F.col("last")), F.col("value")))
+
+    pairs = [x for k, r in rank.items() for x in (at(F.floor(r)).alias(f"{k}_low"), at(F.ceil(r)).alias(f"{k}_high"), F.max(r - F.floor(r)).alias(f"{k}_part"))]
+    found = placed.groupBy("name").agg(*pairs)
+    value = lambda k: F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * F.col(f"{k}_part")
+    return found.agg(*[F.max(F.when(F.col("name") == c, value(k))).alias(f"{k}_{c}") for k in shares for c in columns])
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of a total order (TakeOrderedAndProject: no full sort)."""
     return df.orderBy(*order).limit(n)

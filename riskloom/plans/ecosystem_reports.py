@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.plans.common import (
-    DOWNLOADS, FAN_OUT, FINDINGS, FLAG_SUM, FLAGS, PER_PACKAGE, PREFIX, SUSPICIOUS, any_of, bracket, br, flag_count, h, half_up, pc, per_package, percent, report, top, width_bucket_sql,
+    DOWNLOADS, FAN_OUT, FINDINGS, FLAG_SUM, FLAGS, PER_PACKAGE, PREFIX, SUSPICIOUS, any_of, bracket, br, flag_count, h, half_up, pc, per_package, percent, quantiles, report, top, width_bucket_sql,
 )
 from riskloom.sources.registry import AS_OF
 
@@ -257,15 +257,23 @@ def s08a(r):
     return _counts(r, best).select("name", "downloads", "used", F.when(F.col("n") > 0, "YES").otherwise("NO").alias("vulnerable"), F.col("n").alias("n_findings"), F.coalesce("worst", F.lit(0)).alias("max_severity"))
 
 
+def _with_advisories(r, best):
+    """A few rows (id) with their advisories as one text: lists are made for those only."""
+    of_best = r.findings.join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").groupBy(F.col("package_id").alias("id"))
+    return best.join(of_best.agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(PREFIX), "advisory"))), ", ").alias("advisories")), "id")
+
+
 @report("s08b_ecosystem_risk", f"""
     SELECT p.name, p.downloads, u.used, v.n AS n_findings, v.worst AS max_severity, CAST(u.used * v.n * COALESCE(v.worst, 0) AS BIGINT) AS risk, a.advisories
     FROM packages p JOIN {_IN} u ON u.dependency_id = p.id JOIN {PER_PACKAGE} v ON v.package_id = p.id
     JOIN (SELECT package_id, string_agg(DISTINCT '{PREFIX}' || advisory, ', ' ORDER BY '{PREFIX}' || advisory) AS advisories FROM findings GROUP BY package_id) a ON a.package_id = p.id
     ORDER BY risk DESC, p.id LIMIT 30""")
 def s08b(r):
-    a = r.findings.groupBy(F.col("package_id").alias("id")).agg(F.count("*").alias("n"), F.max("severity").alias("worst"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(PREFIX), "advisory"))), ", ").alias("advisories"))
-    rows = _used(r).join(a, "id").withColumn("risk", F.col("used") * F.col("n") * F.coalesce("worst", F.lit(0)))
-    return top(rows, 30, F.desc("risk"), F.col("id")).select("name", "downloads", "used", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), "risk", "advisories")
+    per = r.findings.groupBy(F.col("package_id").alias("id")).agg(F.count("*").alias("n"), F.max("severity").alias("worst"))
+    rows = _used(r).join(per, "id").withColumn("risk", F.col("used") * F.col("n") * F.coalesce("worst", F.lit(0)))
+    order = [F.desc("risk"), F.col("id")]
+    best = top(rows, 30, *order)
+    return _with_advisories(r, best).orderBy(*order).select("name", "downloads", "used", F.col("n").alias("n_findings"), F.col("worst").alias("max_severity"), "risk", "advisories")
 
 
 @report("s08c_fan_out_histogram", f"""
@@ -347,9 +355,11 @@ _STEPS = ("audit_ms", "leaks_ms", "script_ms", "review_ms", "download_ms")
 def s10d(r):
     t = F.col("total_ms")
     return r.timings.agg(
-        F.count("*").alias("n"), half_up(F.avg(t), 0).alias("mean_ms"), half_up(F.avg(t) / 1000, 1).alias("mean_s"), half_up(F.percentile(t, F.lit(0.5)), 6).alias("median_ms"), half_up(F.percentile(t, F.lit(0.95)), 4).alias("p95_ms"), F.max(t).alias("max_ms"),
+        F.count("*").alias("n"), half_up(F.avg(t), 0).alias("mean_ms"), half_up(F.avg(t) / 1000, 1).alias("mean_s"), F.max(t).alias("max_ms"),
         *[half_up(F.avg(F.coalesce(c, F.lit(0))), 0).alias(f"mean_{c}") for c in _STEPS],
-    )
+    ).crossJoin(quantiles(r.timings, ("total_ms",), {"p50": 0.5, "p95": 0.95})).withColumns(
+        {"median_ms": half_up(F.col("p50_total_ms"), 6), "p95_ms": half_up(F.col("p95_total_ms"), 4)}
+    ).drop("p50_total_ms", "p95_total_ms")
 
 
 @report("s10e_compound_risk", f"""
@@ -373,7 +383,8 @@ _TIMED = ("audit_ms", "leaks_ms", "script_ms", "review_ms", "executables_ms", "d
 
 @report("p2_step_percentiles", "SELECT " + ", ".join(f"{h(f'quantile_cont(COALESCE({c}, 0), {q})', 4)} AS {n}_{c}" for n, q in (("p50", 0.5), ("p95", 0.95)) for c in _TIMED) + " FROM timings")
 def p2(r):
-    return r.timings.agg(*[half_up(F.percentile(F.coalesce(c, F.lit(0)), F.lit(q)), 4).alias(f"{n}_{c}") for n, q in (("p50", 0.5), ("p95", 0.95)) for c in _TIMED])
+    one = quantiles(r.timings, _TIMED, {"p50": 0.5, "p95": 0.95})
+    return one.select([half_up(F.col(c), 4).alias(c) for c in one.columns])
 
 
 @report("p3_findings_by_downloads", f"""

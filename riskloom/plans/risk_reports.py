@@ -218,9 +218,10 @@ def m03(r):
     rows = _on_package(r, v).join(_used(r), F.col("id") == F.col("dependency_id")).drop("dependency_id").withColumn("impact", F.col("n_findings") * F.col("used"))
     best = top(rows, 30, F.desc("impact"), F.col("max_severity").desc_nulls_first(), F.col("id"))
     ids = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(PREFIX), "advisory"))), ", ")
-    lists = r.findings.join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").groupBy("package_id").agg(ids.alias("advisories"))
-    best = best.join(lists, best["id"] == lists["package_id"]).drop("package_id")
-    return best.join(_ranked_dependents(r, 5, best), best["id"] == F.col("dependency_id"), "left").select("name", "repository", "n_findings", "max_severity", "avg_severity", "used", "impact", "advisories", "examples")
+    lists = r.findings.join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").groupBy(F.col("package_id").alias("id")).agg(ids.alias("advisories"))
+    best = best.join(lists, "id")
+    examples = _ranked_dependents(r, 5, best).withColumnRenamed("dependency_id", "id")
+    return best.join(examples, "id", "left").select("name", "repository", "n_findings", "max_severity", "avg_severity", "used", "impact", "advisories", "examples")
 
 
 @report("m05_severe_findings", f"""
@@ -297,7 +298,12 @@ def m10(r):
     v = per_package(r).select(F.col("package_id").alias("dependency_id"), "n", "worst")
     names = r.packages.select(F.col("id").alias("dependency_id"), F.col("name").alias("dep_name"))
     clean = r.dependencies.join(r.findings.select("package_id").distinct(), "package_id", "left_anti")
-    per = clean.join(v, "dependency_id").join(names, "dependency_id").groupBy("package_id").agg(
-        F.count("*").alias("bad_dependencies"), F.max("worst").alias("max_severity"), F.sum("n").alias("n_findings"), F.expr("listagg(concat(dep_name, ' (', n, ' vulns)'), ', ') WITHIN GROUP (ORDER BY concat(dep_name, ' (', n, ' vulns)'))").alias("bad_list")
-    )
-    return top(_on_package(r, per), 50, F.desc("n_findings"), F.col("max_severity").desc_nulls_first(), F.col("id")).select("name", "downloads", "bad_dependencies", "max_severity", "n_findings", "bad_list")
+    rows = clean.join(v, "dependency_id")
+    per = rows.groupBy("package_id").agg(F.count("*").alias("bad_dependencies"), F.max("worst").alias("max_severity"), F.sum("n").alias("n_findings"))
+    order = [F.desc("n_findings"), F.col("max_severity").desc_nulls_first(), F.col("id")]
+    best = top(_on_package(r, per), 50, *order)
+    # The texts are made for the best rows only.
+    wanted = rows.join(best.select(F.col("id").alias("package_id")), "package_id", "left_semi").join(names, "dependency_id")
+    item = "concat(dep_name, ' (', n, ' vulns)')"
+    lists = wanted.groupBy(F.col("package_id").alias("id")).agg(F.expr(f"listagg({item}, ', ') WITHIN GROUP (ORDER BY {item})").alias("bad_list"))
+    return best.join(lists, "id").orderBy(*order).select("name", "downloads", "bad_dependencies", "max_severity", "n_findings", "bad_list")
