@@ -34,11 +34,14 @@ def _as_documents(docs: DataFrame) -> DataFrame:
 
 
 def _owning(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, after the folders of the one before it are gone; its own are noted for the next."""
+    """The stage, after the folders of the one before it are gone (those that ``docs`` doesn't read); its own are noted for the next."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            remove(spark, _left.pop())
+        read = docs.inputFiles() if _left else []
+        for folder in list(_left):
+            if not any(f"/{folder.rsplit('/', 1)[-1]}/" in file for file in read):
+                remove(spark, folder)
+                _left.remove(folder)
         with owned() as mine:
             result = stage(spark, docs, sf_dir)
         _left.extend(mine)
