@@ -1,16 +1,17 @@
 """Look-alike names: five similarity metrics, a weighted score, and the join that finds pairs above a score.
 
-The join is exact. Names meet over an equi-join on byte length (a target stands for every length within
-30 % of its own), then JVM-side bounds on the score drop most pairs, and only the rest reach the Arrow
-function that computes the three metrics Spark has no function for, over arrays of pairs at once.
+The match is exact: names are held against a bounded set of targets in blocks; a bound on the score drops most pairs, and the rest
+are scored over arrays of pairs at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,19 +221,121 @@ def all_scores(pairs: DataFrame, a: str, b: str, min_score: int = 0) -> DataFram
     return rows.filter(F.col("combined") >= min_score)
 
 
-def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, salts: int = 8) -> DataFrame:
+# --- the matcher -----------------------------------------------------------------------------------
+
+_BAG = 64  # character counts fall into so many cells; what cells share is at least what the names share
+
+
+def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of many pairs: as ``osa_distances``, without swaps."""
+    n, width = b.shape
+    steps = np.arange(width + 1, dtype=np.int32)
+    one = np.broadcast_to(steps, (n, width + 1))
+    out, rows = np.where(la == 0, lb, 0).astype(np.int32), np.arange(n)
+    for i in range(1, a.shape[1] + 1):
+        row = np.empty((n, width + 1), np.int32)
+        row[:, 0] = i
+        row[:, 1:] = np.minimum(one[:, 1:] + 1, one[:, :-1] + (a[:, i - 1, None] != b))
+        one = np.minimum.accumulate(row - steps, axis=1) + steps
+        done = la == i
+        out[done] = one[rows[done], lb[done]]
+    return out
+
+
+def _leads(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Code points that the names of each pair start with alike."""
+    most = min(a.shape[1], b.shape[1])
+    same = (a[:, :most] == b[:, :most]) & (np.arange(most) < np.minimum(la, lb)[:, None])
+    return np.logical_and.accumulate(same, axis=1).sum(1)
+
+
+def _prefix(lead: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    score = np.minimum(np.floor((lead / np.maximum(longest, 1) + np.where(lead >= 3, 0.1, 0.0)) * 100 + 0.5), 100)
+    return np.where(longest == 0, 100, score).astype(np.int32)
+
+
+class Targets:
+    """The names that all others are held against, by byte length, with their character counts."""
+
+    def __init__(self, table: pa.Table) -> None:
+        names = table["name"].to_pandas()
+        size = names.str.encode("utf-8").str.len().to_numpy(np.int64)
+        order = np.argsort(size, kind="stable")
+        self.size, self.names = size[order], names.to_numpy()[order]
+        self.ids, self.downloads = table["id"].to_numpy()[order], table["downloads"].to_numpy()[order]
+        self.codes, self.length = _codes(names.iloc[order])
+        self.bags = _bags(self.codes, self.length)
+
+    def near(self, name: np.ndarray, length: int, size: int, bag: np.ndarray, min_score: int) -> np.ndarray:
+        """Targets in the length band whose score can reach ``min_score``, by what the names have in common at most."""
+        a = np.searchsorted(self.size, int(size * (1 - LENGTH_GAP)) - 1)
+        b = np.searchsorted(self.size, int(size / (1 - LENGTH_GAP)) + 1, "right")
+        own, theirs = slice(a, b), self.length[a:b]
+        gap, longest = np.abs(self.size[own] - size), np.maximum(np.maximum(self.size[own], size), 1)
+        common = np.minimum(np.minimum(self.bags[own], bag).sum(1, dtype=np.int64), np.minimum(theirs, length))
+        lead = _leads(np.broadcast_to(name, (b - a, len(name))), np.full(b - a, length), self.codes[own], theirs)
+        # Every edit and swap changes the bag of characters by one at most; matches are common characters.
+        edits = 1 - (np.maximum(theirs, length) - common) / longest
+        jaro = np.where(common > 0, (common / max(length, 1) + common / np.maximum(theirs, 1) + 1) / 3, 0.0)
+        winkler = jaro + np.minimum(lead, 4) * 0.1 * (1 - jaro)
+        apart, wide = np.abs(theirs - length), np.maximum(np.maximum(theirs, length), 1)
+        keys = np.where(apart > 0, (1 - 2 * apart / (5 * wide)) * 0.7 + (1 - apart / wide) * 0.3, 1.0)
+        best = 45 * (edits * 100 + 1) + 25 * (winkler * 100 + 1) + 15 * (keys * 100 + 1) + 15 * _prefix(lead, wide)
+        return a + np.flatnonzero((best >= 100 * min_score) & (gap / longest <= LENGTH_GAP))
+
+
+def _bags(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    cell = np.where(np.arange(codes.shape[1]) < length[:, None], codes % _BAG, _BAG)
+    flat = cell + np.arange(len(codes))[:, None] * (_BAG + 1)
+    counts = np.bincount(flat.ravel().astype(np.int64), minlength=len(codes) * (_BAG + 1)).reshape(len(codes), _BAG + 1)
+    return np.minimum(counts[:, :_BAG], 255).astype(np.uint8)
+
+
+_FOUND = "package_id long, similar_id long, name string, similar_name string, combined int, " + ", ".join(f"{k} int" for k in WEIGHTS)
+
+
+def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75) -> DataFrame:
     """Pairs of a package (id, name, downloads) with one of the ``top`` most downloaded whose names are alike.
 
-    Both in the top: only the pair that starts at the less downloaded one. ``salts`` spreads each name length over as many
-    tasks: names cluster in few lengths.
+    Both in the top: only the pair that starts at the less downloaded one. The targets are a query set of bounded size (``top`` names,
+    some 300 KB at 10,000); every task holds its own names against them in blocks, so nothing is shuffled, and only pairs that a bound
+    from lengths, common characters and the common prefix lets through are scored.
     """
-    best = packages.orderBy(F.desc("downloads"), "id").limit(top).select(F.col("id").alias("similar_id"), F.col("name").alias("similar_name"), F.col("downloads").alias("similar_downloads"), F.octet_length("name").alias("_l"))
-    low, high = F.ceil(F.col("_l") * (1 - LENGTH_GAP)).cast("int"), F.floor(F.col("_l") / (1 - LENGTH_GAP)).cast("int")
-    # One length more on either side: the exact test below decides.
-    targets = best.withColumn("_length", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), high + 1))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    names = packages.join(best.select(F.col("similar_id").alias("id"), F.lit(True).alias("_top")), "id", "left").select("id", "name", "downloads", "_top", F.octet_length("name").alias("_length"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
-    pairs = names.join(targets, ["_length", "_salt"]).filter((F.col("id") != F.col("similar_id")) & (F.col("name") != F.col("similar_name")))
-    gap, longest = F.abs(F.col("_length") - F.col("_l")), F.greatest("_length", "_l")
-    pairs = pairs.filter((longest == 0) | (gap / longest <= LENGTH_GAP)).filter(F.col("_top").isNull() | (F.col("downloads") < F.col("similar_downloads")))
-    scored = all_scores(pairs.select("id", "name", "downloads", "similar_id", "similar_name", "similar_downloads"), "name", "similar_name", min_score)
-    return scored.select(F.col("id").alias("package_id"), "similar_id", "name", "similar_name", "combined", *WEIGHTS)
+    named = packages.filter("name IS NOT NULL").select(F.col("id").cast("long"), "name", F.col("downloads").cast("long"))
+    table = named.orderBy(F.desc("downloads"), "id").limit(top).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets = Targets(table)
+        known = np.sort(targets.ids)
+        for batch in batches:
+            names = batch.column("name").to_pandas()
+            ids, downloads = (batch.column(c).fill_null(0).to_numpy() for c in ("id", "downloads"))
+            codes, length = _codes(names)
+            bags, size = _bags(codes, length), names.str.encode("utf-8").str.len().to_numpy(np.int64)
+            in_top = np.isin(ids, known)
+            mine, other, held = [], [], 0
+            for i in range(len(names)):
+                near = targets.near(codes[i], int(length[i]), int(size[i]), bags[i], min_score)
+                near = near[(targets.ids[near] != ids[i]) & (targets.names[near] != names.iloc[i])]
+                if in_top[i]:
+                    near = near[targets.downloads[near] > downloads[i]]
+                mine.append(np.full(len(near), i))
+                other.append(near)
+                held += len(near)
+                if held >= 20_000 or i == len(names) - 1:
+                    x, y = np.concatenate(mine), np.concatenate(other)
+                    mine, other, held = [], [], 0
+                    pair = codes[x], length[x], targets.codes[y], targets.length[y]
+                    longest = np.maximum(np.maximum(size[x], targets.size[y]), 1)
+                    rate = lambda d: np.where(longest == 0, 100, _round((1 - d / longest) * 100))  # noqa: B023, E731
+                    scores = {
+                        "levenshtein": rate(_distances(*pair)), "osa": rate(osa_distances(*pair)), "jaro_winkler": jaro_winkler_similarities(*pair),
+                        "keyboard": keyboard_similarities(*pair), "prefix": _prefix(_leads(*pair), np.maximum(pair[1], pair[3])),
+                    }
+                    combined = sum(scores[k].astype(np.int64) * w for k, w in WEIGHTS.items()) // 100
+                    good = np.flatnonzero(combined >= min_score)
+                    columns = [ids[x[good]], targets.ids[y[good]], names.to_numpy()[x[good]], targets.names[y[good]], combined[good].astype(np.int32)]
+                    columns += [scores[k][good].astype(np.int32) for k in WEIGHTS]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if c.dtype != object else pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    return named.mapInArrow(run, _FOUND)

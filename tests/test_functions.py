@@ -61,6 +61,28 @@ def test_matcher_equals_all_pairs(spark):
     assert got == want and want
 
 
+def test_matcher_on_names_by_chance(spark):
+    """Nothing that reaches the score is lost to the bounds: 900 names against 300, compared with all pairs."""
+    rng = np.random.default_rng(9)
+    stems = ["".join(rng.choice(list("abcdenorst"), rng.integers(3, 9))) for _ in range(60)]
+    names = []
+    for _ in range(900):
+        x = list(str(rng.choice(stems)) + str(rng.choice(["", "-rs", "_core", "2", "é"])))
+        for _ in range(rng.integers(0, 3)):
+            k = int(rng.integers(len(x)))
+            x[k : k + 1] = [[], [x[k], x[k]], list(rng.choice(list("abcxyz"), 1)), [x[min(k + 1, len(x) - 1)], x[k]]][rng.integers(4)]
+        names.append("".join(map(str, x)))
+    rows = [(k, n, 10_000 - k) for k, n in enumerate(names)]
+    got = {(r.package_id, r.similar_id): (r.combined, r.levenshtein, r.osa, r.jaro_winkler, r.keyboard, r.prefix) for r in fuzzy.lookalikes(spark.createDataFrame(rows, "id long, name string, downloads long"), top=300, min_score=70).collect()}
+    pairs = [
+        (i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(names[:300])
+        if a != b and not (i < 300 and i <= j) and abs(len(a.encode()) - len(b.encode())) / max(len(a.encode()), len(b.encode()), 1) <= 0.3
+    ]
+    scored = fuzzy.all_scores(spark.createDataFrame(pairs, "i long, j long, a string, b string"), "a", "b")
+    want = {(r.i, r.j): (r.combined, r.levenshtein, r.osa, r.jaro_winkler, r.keyboard, r.prefix) for r in scored.filter("combined >= 70").collect()}
+    assert got == want and len(want) > 500
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 4)], "src long, dst long")
     roots = spark.createDataFrame([(1,)], "id long")
