@@ -294,11 +294,11 @@ def _bags(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
 _FOUND = "package_id long, similar_id long, name string, similar_name string, combined int, " + ", ".join(f"{k} int" for k in WEIGHTS)
 
 
-def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75) -> DataFrame:
+def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, task_names: int = 1_000) -> DataFrame:
     """Pairs of a package (id, name, downloads) with one of the ``top`` most downloaded whose names are alike.
 
     Both in the top: only the pair that starts at the less downloaded one. The targets are a query set of bounded size (``top`` names,
-    some 300 KB at 10,000); every task holds its own names against them in blocks, so nothing is shuffled, and only pairs that a bound
+    some 300 KB at 10,000); every task holds its own names against them in blocks, so only the names are shuffled, and only pairs that a bound
     from lengths, common characters and the common prefix lets through are scored.
     """
     named = packages.filter("name IS NOT NULL").select(F.col("id").cast("long"), "name", F.col("downloads").cast("long"))
@@ -338,4 +338,5 @@ def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75) -> D
                     columns += [scores[k][good].astype(np.int32) for k in WEIGHTS]
                     yield pa.RecordBatch.from_arrays([pa.array(c) if c.dtype != object else pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
 
-    return named.mapInArrow(run, _FOUND)
+    # The work is in the comparisons, not in the bytes: tasks of ``task_names`` names, however few bytes those are.
+    return named.repartition(max(1, math.ceil(named.count() / task_names))).mapInArrow(run, _FOUND)
