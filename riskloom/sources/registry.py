@@ -68,7 +68,7 @@ DERIVED |= {
     "raw_downloads": """
         SELECT CAST(p_partkey AS INT) AS package_id, CAST((p_partkey*7919+13) % 5000000 AS BIGINT) AS downloads FROM part WHERE p_partkey % 4 <> 1""",
     "versions": """
-        SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS id, CAST(l_partkey AS INT) AS package_id FROM lineitem""",
+        SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS id, CAST(MAX(l_partkey) AS INT) AS package_id FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "raw_dependencies": """
         SELECT CAST(l_suppkey AS INT) AS package_id, CAST(l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 50 = 0 THEN 8 ELSE 0 END AS INT) AS version_id,
           CAST(l_quantity AS INT) % 3 AS kind FROM lineitem
