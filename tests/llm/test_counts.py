@@ -142,7 +142,7 @@ def test_links_of_near_copies(spark):
             rows.append((g * 100 + k, " ".join(own[: len(own) - rng.randrange(0, 3)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     same(links(docs), brute.link_components(rows))
-    for options in ({"pivots": 0}, {"frequent": 2}, {"pivots": 0, "frequent": 2}, {"shard_bytes": 3_000, "chunk_keys": 500}):
+    for options in ({"pivots": 0}, {"pivots": 0, "frequent": 2}, {"frequent": 2, "shard_bytes": 3_000, "chunk_keys": 500}):
         same(links(docs, **options), brute.link_components(rows))
 
 
