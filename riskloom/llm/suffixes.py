@@ -362,8 +362,10 @@ def _split_large(contexts: DataFrame, length: int, gram: int, hot: int, scratch:
         pieces = pieces.withColumn("before", F.expr(f"rpad(substring(before, 1, high), {reach}, X'00')"))
         pieces = pieces.withColumn("after", F.expr(f"rpad(substring(after, 1, {length} - low), {length}, X'00')"))
         pieces = scratch.keep(pieces, "pieces")
+        sweep(contexts.sparkSession)  # the texts that the first pieces came from
         leaders = pieces.groupBy(*same).agg(F.min(me).alias("leader"), F.count("*").alias("many"))
         led = scratch.keep(pieces.join(leaders, same), "led")
+        scratch.drop(pieces)
         spans.append(led.filter(me != F.col("leader")).select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")))
         left = led.filter(me == F.col("leader")).select(*contexts.columns)
         if size == 1:  # equal keys were equal windows: one is left of each
@@ -430,6 +432,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if n_large:
             more, spans = _split_large(contexts(lambda x: x["often"] > hot), length, gram, hot, scratch)
             parts += more
+            sweep(spark)
         usual = parts[0]
         for part in parts[1:]:
             usual = usual.unionByName(part)
