@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm._arrays import pack, ranges, unpack
 
-CHUNK_KEYS = 2_000_000
+CHUNK_KEYS = 1_000_000
 SHARD_BYTES = 16 << 20
 _SENT = "shard int, chunk long, keys binary, owners binary, info binary"
 _SENT_SCHEMA = pa.schema(
