@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import fingerprints, jaccard, media, mixing, ngrams, packing, secrets, simhash, suffixes, toxicity, warc
+from riskloom.llm import fingerprints, jaccard, media, mixing, negatives, ngrams, packing, secrets, simhash, suffixes, toxicity, warc
 from riskloom.llm._shared import documents, remainder
 
 
@@ -89,13 +89,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 _ALL = (
     op1_kneser_ney, op2_warc_salvage, op3_source_mix, op4_toxicity, op5_order_minhash, op6_jaccard_join, op7_secret_scan, op8_packing, op9_media_columns,
-    op10_suffix_dedup, op13_simhash_links,
+    op10_suffix_dedup, op12_hard_negatives, op13_simhash_links,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": negatives.SQL}
