@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import fingerprints, jaccard, media, mixing, negatives, ngrams, packing, secrets, simhash, suffixes, toxicity, warc
+from riskloom.llm import fingerprints, jaccard, media, mixing, negatives, ngrams, packing, secrets, simhash, suffixes, toxicity, tries, warc
 from riskloom.llm._shared import documents, remainder
 
 
@@ -89,6 +89,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -99,7 +103,7 @@ def op13_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_kneser_ney, op2_warc_salvage, op3_source_mix, op4_toxicity, op5_order_minhash, op6_jaccard_join, op7_secret_scan, op8_packing, op9_media_columns,
-    op10_suffix_dedup, op12_hard_negatives, op13_simhash_links,
+    op10_suffix_dedup, op11_prefix_trie, op12_hard_negatives, op13_simhash_links,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": negatives.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": tries.SQL, "op12_hard_negatives": negatives.SQL}
