@@ -219,3 +219,31 @@ def _edges(r):
 def g01(r):
     """All that the ten most downloaded packages depend on, directly or not."""
     return graph.closure(_edges(r), top(r.packages, 10, F.desc("downloads"), F.col("id")).select("id"))
+
+
+_REACH = "r(src, dst) AS (SELECT package_id, dependency_id FROM dependencies UNION SELECT r.src, d.dependency_id FROM r JOIN dependencies d ON d.package_id = r.dst)"
+_COMPONENTS = "parts AS (SELECT a.src AS id, MIN(a.dst) AS component FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src)"
+_BACK = """back AS (SELECT d.package_id, d.dependency_id FROM dependencies d JOIN parts a ON a.id = d.package_id JOIN parts b ON b.id = d.dependency_id
+      WHERE a.component = b.component AND d.dependency_id > d.package_id)"""
+
+
+@report("g03_strong_components", f"WITH RECURSIVE {_REACH}, {_COMPONENTS} SELECT id, component FROM parts")
+def g03(r):
+    """Packages that depend on each other in cycles, with the smallest package of their cycles' component."""
+    return graph.strong_components(_edges(r))
+
+
+@report("g04_cycle_edges", f"WITH RECURSIVE {_REACH}, {_COMPONENTS}, {_BACK} SELECT package_id, dependency_id FROM back")
+def g04(r):
+    """The dependencies that are set aside so that packages can be scanned in an order."""
+    return graph.cycle_edges(_edges(r)).select(F.col("src").alias("package_id"), F.col("dst").alias("dependency_id"))
+
+
+@report("g05_scan_waves", f"""
+    WITH RECURSIVE {_REACH}, {_COMPONENTS}, {_BACK},
+    kept AS (SELECT d.package_id, d.dependency_id FROM dependencies d LEFT JOIN back b ON b.package_id = d.package_id AND b.dependency_id = d.dependency_id WHERE b.package_id IS NULL),
+    w(id, wave) AS (SELECT id, 0 FROM packages UNION SELECT k.package_id, wave + 1 FROM w JOIN kept k ON k.dependency_id = w.id)
+    SELECT id, CAST(MAX(wave) AS BIGINT) AS wave FROM w GROUP BY id""")
+def g05(r):
+    """Of every package the wave in which it can be scanned: after all that it depends on, without the edges that close cycles."""
+    return graph.waves(r.packages.select("id"), graph.break_cycles(_edges(r)))
