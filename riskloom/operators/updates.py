@@ -60,10 +60,15 @@ SCAN_FLAGS = ("has_executables", "calls_network", "links_native", "spawns_proces
 
 def placeholder_scans(packages: DataFrame, failure: str | None = None) -> DataFrame:
     """A scan row for each package (id) that could not be scanned: skipped ones score 0; with ``failure``, the column that holds the
-    message, they score -1 and the message is kept, cut after 500 bytes."""
+    message, they score -1 and the message is kept, cut after 500 bytes or before the character that byte 500 falls into."""
     if failure:
         text = F.col(failure)
-        cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, 500), "UTF-8")
+        data = text.cast("binary")
+        # Bytes 10xxxxxx go on with a character: step back to where the one that byte 501 belongs to begins.
+        byte = lambda k: F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("int")
+        inside = lambda k: byte(k).between(0x80, 0xBF)
+        end = F.when(~inside(501), 500).when(~inside(500), 499).when(~inside(499), 498).otherwise(497)
+        cut = F.decode(F.substring(data, F.lit(1), end), "UTF-8")
         notes = F.when(F.octet_length(text) > 500, F.concat(cut, F.lit("..."))).otherwise(text)
     else:
         notes = F.lit("Skipped - no repository or private")

@@ -98,12 +98,18 @@ def t05(r):
     return updates.delete_keys(r.dependencies, r.packages.filter("id % 4 = 0").select(F.col("id").alias("package_id")), ["package_id"])
 
 
-@report("t06_placeholders", """
+#: Messages of all lengths, with characters of one to four bytes at byte 500.
+_WHY = "repeat(CASE id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'é' WHEN 2 THEN '€' WHEN 3 THEN '😀' ELSE 'aé€' END, CAST(id % 700 AS INT))"
+
+
+@report("t06_placeholders", f"""
+    WITH f AS (SELECT id, {_WHY} AS why FROM packages WHERE repository <> ''),
+    g AS (SELECT id, why, list_max(list_filter(generate_series(0, 500), lambda k: octet_length(encode(why[1:k])) <= 500)) AS n FROM f WHERE octet_length(encode(why)) > 500)
     SELECT id, 0 AS review_score, 'Skipped - no repository or private' AS review_notes, FALSE AS has_executables, 0 AS findings_count FROM packages WHERE repository = ''
-    UNION ALL SELECT id, -1, repeat('x', CAST(LEAST(id, 500) AS INT)) || CASE WHEN id > 500 THEN '...' ELSE '' END, FALSE, 0 FROM packages WHERE repository <> ''""")
+    UNION ALL SELECT id, -1, why, FALSE, 0 FROM f WHERE octet_length(encode(why)) <= 500 UNION ALL SELECT id, -1, why[1:n] || '...', FALSE, 0 FROM g""")
 def t06(r):
     skipped = updates.placeholder_scans(r.packages.filter("repository = ''"))
-    failed = updates.placeholder_scans(r.packages.filter("repository <> ''").withColumn("why", F.expr("repeat('x', CAST(id AS INT))")), "why")
+    failed = updates.placeholder_scans(r.packages.filter("repository <> ''").withColumn("why", F.expr(_WHY)), "why")
     return skipped.unionByName(failed).select("id", "review_score", "review_notes", "has_executables", "findings_count")
 
 
@@ -134,17 +140,18 @@ def _weight(metric: str, table=None) -> str:
     return f"CASE regexp_extract(v, '/{metric}:(.)', 1) " + " ".join(f"WHEN '{k}' THEN {x}::DOUBLE" for k, x in values.items()) + f" ELSE {rest}::DOUBLE END"
 
 
-_VECTORS = f"SELECT l_orderkey, l_linenumber, {_VECTOR} AS v FROM lineitem WHERE l_linenumber <= 3"
+_VECTORS = f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN {_VECTOR} END AS v FROM lineitem"
 
 
 @report("f03_cvss_scores", f"""
     WITH a AS ({_VECTORS}), b AS (SELECT *, regexp_extract(v, '/S:(.)', 1) = 'C' AS changed, 1 - (1 - {_weight('C')}) * (1 - {_weight('I')}) * (1 - {_weight('A')}) AS lost,
       8.22::DOUBLE * {_weight('AV')} * {_weight('AC')} * (CASE WHEN regexp_extract(v, '/S:(.)', 1) = 'C' THEN {_weight('PR', cvss.PRIVILEGES_CHANGED)} ELSE {_weight('PR', cvss.PRIVILEGES)} END) * {_weight('UI')} AS ease FROM a),
     c AS (SELECT *, CASE WHEN changed THEN 7.52::DOUBLE * (lost - 0.029::DOUBLE) - 3.25::DOUBLE * pow(lost - 0.02::DOUBLE, 15) ELSE 6.42::DOUBLE * lost END AS impact FROM b)
-    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN impact <= 0 THEN 0 ELSE ceil(LEAST(CASE WHEN changed THEN 1.08::DOUBLE * (impact + ease) ELSE impact + ease END, 10) * 10) END AS INT) AS score FROM c""")
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN v IS NULL OR impact <= 0 THEN 0 ELSE ceil(LEAST(CASE WHEN changed THEN 1.08::DOUBLE * (impact + ease) ELSE impact + ease END, 10) * 10) END AS INT) AS score FROM c""")
 def f03(r):
-    lines = r.spark.read.parquet(f"{r.sf_dir}/lineitem.parquet").filter("l_linenumber <= 3")
-    rows = lines.selectExpr("l_orderkey", "l_linenumber", f"{_VECTOR.replace(' // ', ' DIV ')} AS v")
+    """Every seventh line of an order has no vector."""
+    lines = r.spark.read.parquet(f"{r.sf_dir}/lineitem.parquet")
+    rows = lines.selectExpr("l_orderkey", "l_linenumber", f"CASE WHEN l_linenumber < 7 THEN {_VECTOR.replace(' // ', ' DIV ')} END AS v")
     return rows.select("l_orderkey", "l_linenumber", cvss.base_score(F.col("v")).alias("score"))
 
 
