@@ -275,7 +275,9 @@ def mine(embeddings: DataFrame, every: int = 100, **options) -> DataFrame:
                         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                         yield pa.RecordBatch.from_arrays(columns, names=["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"])
 
-        anchors = rows.filter(F.col("vec_id") % every == 0).repartition(F.xxhash64("row"))
+        # The work is in the visits, not in the bytes: a fixed number of tasks, which Spark doesn't merge for being small.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        anchors = rows.filter(F.col("vec_id") % every == 0).repartition(tasks, F.xxhash64("row"))
         found = cut(anchors.mapInArrow(search, _RESULT))
     remove(spark, folder)
     return found
