@@ -269,7 +269,7 @@ def link_components(docs: DataFrame, pivots: int = 2, frequent: int = FREQUENT,
             smallest = own.filter("component IS NOT NULL").groupBy("comp").agg(F.min("first_doc").alias("least"))
             placed = own.join(smallest, "comp", "left").withColumn("component_id", F.coalesce("least", "first_doc"))
         found = narrow.join(placed.select("e1", "e2", "n", "component_id"), ["e1", "e2", "n"], "left")
-        return cut(found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"))
+        return cut(found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
