@@ -5,11 +5,12 @@ Functions take and return DataFrames; nothing is overwritten where it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.cvss import base_score
 from riskloom.functions.scripts import clean_repository, parse_timestamp
+from riskloom.sources.records import read_records
 
 #: Columns of the dump's files: our name, the file's name, type. Files have more columns, in any order.
 PACKAGES_CSV = (
@@ -33,23 +34,25 @@ NORMAL = 0  # kinds: 0 normal, 1 development, 2 build
 
 def read_csv(spark: SparkSession, path: str, columns) -> DataFrame:
     """The given columns of a table with a header, by name; texts may span lines; empty fields are null; a row of another width, and
-    a number that is none, fail the read."""
-    raw = spark.read.options(header=True, mode="FAILFAST", multiLine=True, quote='"', escape='"').csv(path)
+    a number that is none, fail the read. Large files are read by several tasks (see ``records``)."""
+    raw = read_records(spark, path)
     return raw.select([F.col(f"`{theirs}`").cast(kind).alias(ours) for ours, theirs, kind in columns])
 
 
 def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four raw tables of an unpacked dump, from ``<folder>/*/data`` or from the folder itself."""
+    """The four raw tables of an unpacked dump: from the folder itself, or of dated folders ``<folder>/<date>/data`` from the latest
+    that has all four files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def exists(pattern: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+    def lacking(place: str) -> list[str]:
+        return [file for file, _ in FILES.values() if not system.exists(path(f"{place}/{file}"))]
 
-    places = {n: [f"{folder}/{x}{file}" for x in ("", "*/data/") if exists(f"{folder}/{x}{file}")] for n, (file, _) in FILES.items()}
-    missing = [FILES[n][0] for n, found in places.items() if not found]
-    if missing:
-        raise FileNotFoundError(f"not in {folder}: {', '.join(missing)}")
-    return {n: read_csv(spark, found[0], FILES[n][1]) for n, found in places.items()}
+    dated = sorted((str(x.getPath()) for x in system.globStatus(path(f"{folder}/*/data")) or []), reverse=True)
+    for place in (folder, *dated):
+        if not lacking(place):
+            return {n: read_csv(spark, f"{place}/{file}", columns) for n, (file, columns) in FILES.items()}
+    raise FileNotFoundError(f"not in {dated[0] if dated else folder}: {', '.join(lacking(dated[0] if dated else folder))}")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -57,10 +60,13 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 
 def typed_packages(raw: DataFrame, downloads: DataFrame) -> DataFrame:
-    """Packages with parsed times; rows whose times do not parse are left out; missing downloads are 0."""
+    """Packages with parsed times; rows whose times do not parse are left out; of rows with the same id the one updated last stays (then
+    that created last, then the last by name and address); missing downloads are 0."""
     counts = downloads.groupBy(F.col("package_id").alias("id")).agg(F.max("downloads").alias("downloads"))
     rows = raw.select(F.col("id").cast("long"), "name", clean_repository(F.col("repository")).alias("repository"), parse_timestamp(F.col("created_at")).alias("created_at"), parse_timestamp(F.col("updated_at")).alias("updated_at"))
-    rows = rows.filter("created_at IS NOT NULL AND updated_at IS NOT NULL").dropDuplicates(["id"])
+    rows = rows.filter("created_at IS NOT NULL AND updated_at IS NOT NULL")
+    last = F.max(F.struct("updated_at", "created_at", "name", "repository")).alias("x")
+    rows = rows.groupBy("id").agg(last).select("id", "x.name", "x.repository", "x.created_at", "x.updated_at")
     return rows.join(counts, "id", "left").withColumn("downloads", F.coalesce("downloads", F.lit(0).cast("long")))
 
 
@@ -108,34 +114,87 @@ def classify(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def update(stored: dict[str, DataFrame], raw_packages: DataFrame, downloads: DataFrame, dependencies: DataFrame, versions: DataFrame) -> dict[str, DataFrame]:
-    """New tables after an incremental update, and ``counts`` by change. Changed packages get their new row (with new downloads) and all
+    """New tables after an incremental update, and ``counts`` by change (errors: raw rows whose times do not parse). Changed packages get their new row (with new downloads) and all
     their edges anew; edges of unchanged packages stay; edges to unknown packages are left out, as in a full load."""
     marked = classify(stored["packages"], typed_packages(raw_packages, downloads))
-    bad = raw_packages.count() - marked.count()
     changed = marked.filter("change <> 'skip'")
     columns = stored["packages"].columns
     packages = stored["packages"].join(changed.select("id"), "id", "left_anti").select(columns).unionByName(changed.select(columns))
     ids = changed.select(F.col("id").alias("package_id"))
     edges = typed_dependencies(dependencies, versions, packages).join(ids, "package_id", "left_semi")
     kept = stored["dependencies"].join(ids, "package_id", "left_anti")
-    counts = marked.groupBy("change").agg(F.count("*").alias("n")).unionByName(marked.sparkSession.range(1).select(F.lit("error").alias("change"), F.lit(bad).cast("long").alias("n")))
+    unread = parse_timestamp(F.col("created_at")).isNull() | parse_timestamp(F.col("updated_at")).isNull()
+    errors = raw_packages.agg(F.count_if(unread).alias("n")).select(F.lit("error").alias("change"), "n")
+    counts = marked.groupBy("change").agg(F.count("*").alias("n")).unionByName(errors)
     return {"packages": packages, "dependencies": kept.unionByName(edges.select(kept.columns)), "counts": counts}
 
 
-AUDIT = "vulnerabilities STRUCT<list: ARRAY<STRUCT<advisory: STRUCT<id: STRING, cvss: STRING>>>>"
-LEAKS = "ARRAY<STRUCT<RuleID: STRING, Secret: STRING, Fingerprint: STRING, Entropy: DOUBLE>>"
+def _text(x: Column, path: str) -> Column:
+    """The string at a path of a JSON value; null for anything else."""
+    return F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
+
+
+def _number(x: Column, path: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(x, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(x, path, "double"))
+
+
+def _rows(reports: DataFrame, items: Column, row: Column, rejected: Column, kinds: dict[str, str]) -> DataFrame:
+    """One row per item of a report, or one with the reason and the report where it is rejected: one pass, so that findings and the
+    quarantine come from the same look at each report. Empty and missing reports have no rows."""
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    refusal = F.array(F.struct(*none, rejected.alias("rejected"), F.col("report").alias("raw")))
+    found = F.when(F.coalesce(F.trim("report"), F.lit("")) == "", F.slice(refusal, 1, 0)).when(rejected.isNotNull(), refusal).otherwise(F.transform(items, row))
+    return reports.withColumn("_json", F.try_parse_json("report")).select("package_id", F.explode(found).alias("x")).select("package_id", "x.*")
+
+
+def audit_rows(reports: DataFrame) -> DataFrame:
+    """(package_id, advisory, severity, rejected, raw) from audit reports (package_id, report): findings, with ``rejected`` null; and what
+    is none, with the reason: ``not JSON`` for a report, ``no id`` for an item without an advisory id. A report without a list has no findings."""
+    json = F.col("_json")
+    items = F.coalesce(F.try_variant_get(json, "$.vulnerabilities.list", "array<variant>"), F.array().cast("array<variant>"))
+
+    def row(x: Column) -> Column:
+        name = F.regexp_replace(_text(x, "$.advisory.id"), "^RUSTSEC-", "")
+        severity = F.when(name.isNotNull(), base_score(_text(x, "$.advisory.cvss")))
+        lacks = F.when(name.isNull(), "no id")
+        return F.struct(name.alias("advisory"), severity.alias("severity"), lacks.alias("rejected"), F.when(lacks.isNotNull(), F.to_json(x)).alias("raw"))
+
+    return _rows(reports, items, row, F.when(json.isNull(), "not JSON"), {"advisory": "string", "severity": "int"})
+
+
+def leak_rows(reports: DataFrame) -> DataFrame:
+    """(package_id, rule, secret, location, entropy, rejected, raw) from secret reports (package_id, report); missing keys and values of
+    another type get defaults. Reports are rejected as ``not JSON`` or ``not a list``."""
+    json = F.col("_json")
+    items = F.try_variant_get(json, "$", "array<variant>")
+
+    def row(x: Column) -> Column:
+        values = [F.coalesce(_text(x, f"$.{key}"), F.lit(rest)).alias(name) for key, name, rest in (("RuleID", "rule", "unknown"), ("Secret", "secret", ""), ("Fingerprint", "location", ""))]
+        none = F.lit(None).cast("string")
+        return F.struct(*values, F.coalesce(_number(x, "$.Entropy"), F.lit(0.0)).alias("entropy"), none.alias("rejected"), none.alias("raw"))
+
+    reason = F.when(json.isNull(), "not JSON").when(items.isNull(), "not a list")
+    return _rows(reports, items, row, reason, {"rule": "string", "secret": "string", "location": "string", "entropy": "double"})
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    return rows.filter("rejected IS NULL").drop("rejected", "raw")
+
+
+def quarantine(rows: DataFrame) -> DataFrame:
+    """(package_id, rejected, raw): what was not accepted, to be looked at."""
+    return rows.filter("rejected IS NOT NULL").select("package_id", "rejected", "raw")
 
 
 def audit_findings(reports: DataFrame) -> DataFrame:
-    """(package_id, advisory, severity) from audit reports (package_id, report); an empty report has no findings."""
-    found = reports.filter(F.trim("report") != "").select("package_id", F.explode(F.from_json("report", AUDIT)["vulnerabilities"]["list"]).alias("x"))
-    return found.select("package_id", F.regexp_replace("x.advisory.id", "^RUSTSEC-", "").alias("advisory"), base_score(F.col("x.advisory.cvss")).alias("severity"))
+    """(package_id, advisory, severity) of the findings in audit reports."""
+    return accepted(audit_rows(reports))
 
 
 def leak_findings(reports: DataFrame) -> DataFrame:
-    """(package_id, rule, secret, location, entropy) from secret reports (package_id, report); missing keys get defaults."""
-    found = reports.filter(F.trim("report") != "").select("package_id", F.explode(F.from_json("report", LEAKS)).alias("x"))
-    return found.select("package_id", F.coalesce("x.RuleID", F.lit("unknown")).alias("rule"), F.coalesce("x.Secret", F.lit("")).alias("secret"), F.coalesce("x.Fingerprint", F.lit("")).alias("location"), F.coalesce("x.Entropy", F.lit(0.0)).alias("entropy"))
+    """(package_id, rule, secret, location, entropy) of the findings in secret reports."""
+    return accepted(leak_rows(reports))
 
 
 def walk_files(spark: SparkSession, root: str) -> DataFrame:

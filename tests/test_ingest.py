@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import random
+import shutil
+
 import pytest
 
 from riskloom.operators import updates
 from riskloom.plans import catalogue
-from riskloom.sources import dump
+from riskloom.sources import dump, records
 
 CRATES = '''created_at,description,documentation,homepage,id,max_features,max_upload_size,name,readme,repository,updated_at
 2023-05-01 12:06:24.629411+00,"says ""hi"",
@@ -56,6 +60,63 @@ def test_bad_rows_fail(spark, folder):
         dump.read_dump(spark, str(folder / "nowhere"))
 
 
+def test_rows_of_another_width_fail(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("crate_id,downloads\n1,2\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        dump.read_csv(spark, str(tmp_path / "wide.csv"), dump.DOWNLOADS_CSV).collect()
+
+
+FIELDS = ("", "plain", "a,b", "two\nlines", 'say "hi"', "\n\n", "x" * 90, "line\r\nbreak", '"', "päivää\n😀", "  sp ")
+
+
+@pytest.mark.parametrize("split", ["150", "3k", "128m"])
+def test_records_in_splits(spark, tmp_path, split):
+    """As they were written, wherever splits fall; two files with one header."""
+    draw, written = random.Random(7), []
+    for name in ("a.csv", "b.csv"):
+        with (tmp_path / name).open("w", newline="") as f:
+            out = csv.writer(f, lineterminator="\r\n" if name == "b.csv" else "\n")
+            out.writerow(["id", "text, quoted", "other"])
+            rows = [(str(k), draw.choice(FIELDS), draw.choice(FIELDS)) for k in range(400)]
+            out.writerows(rows)
+            written += [tuple(x or None for x in r) for r in rows]
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        shown = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+        got = records.read_records(spark, str(tmp_path))
+        assert got.columns == ["id", "text, quoted", "other"] and shown(got.collect()) == shown(written)
+        assert (spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100) == (split == "150")
+        (tmp_path / "c.csv").write_text("other,header\n1,2\n")
+        with pytest.raises(ValueError, match="different headers"):
+            records.read_records(spark, str(tmp_path))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_latest_of_several_dates(spark, folder):
+    later, broken = folder / "2026-02-01" / "data", folder / "2026-03-01" / "data"
+    shutil.copytree(folder / "2026-01-01" / "data", later)
+    (later / "crate_downloads.csv").write_text("crate_id,downloads\n1,501\n")
+    broken.mkdir(parents=True)
+    (broken / "crates.csv").write_text("id\n1\n")
+    assert [tuple(r) for r in dump.read_dump(spark, str(folder))["downloads"].collect()] == [(1, 501)]
+
+
+def test_repeated_raw_rows(spark):
+    """The row updated last stays, and repeated ones are no errors."""
+    time = "2023-05-0{} 00:00:00+00"
+    raw = spark.createDataFrame([(1, "old", None, time.format(1), time.format(2)), (1, "new", "x", time.format(1), time.format(3)), (1, "new", "x", time.format(1), time.format(3)), (2, "bad", None, "never", time.format(3))], "id int, name string, repository string, created_at string, updated_at string")
+    downloads = spark.createDataFrame([], "package_id int, downloads long")
+    assert [(r.id, r.name) for r in dump.typed_packages(raw, downloads).collect()] == [(1, "new")]
+    stored = {"packages": dump.typed_packages(raw.filter("name = 'old'"), downloads), "dependencies": spark.createDataFrame([], "package_id long, dependency_id long")}
+    none = spark.createDataFrame([], "package_id int, version_id int, kind int"), spark.createDataFrame([], "id int, package_id int")
+    new = dump.update(stored, raw, downloads, *none)
+    assert {r.change: r.n for r in new["counts"].collect()} == {"update": 1, "error": 1}
+
+
 def test_incremental_update(spark, folder):
     stored = {k: spark.createDataFrame(t.collect(), t.schema) for k, t in dump.load(spark, str(folder)).items()}  # the files change
     data = folder / "2026-01-01" / "data"
@@ -77,6 +138,17 @@ def test_scanner_reports(spark):
     assert sorted(map(tuple, dump.leak_findings(leaks).collect())) == [(1, "key", "s", "f", 3.5), (1, "unknown", "", "", 0.0)]
 
 
+def test_rejected_reports(spark):
+    rows = [(1, "{"), (2, '{"vulnerabilities":{"list":[{"advisory":{"id":7}},{"advisory":{"id":"A-1"}},null]}}'), (3, "[]"), (4, None), (5, '{"vulnerabilities":{"list":"x"}}')]
+    found = dump.audit_rows(spark.createDataFrame(rows, "package_id long, report string"))
+    assert sorted(map(tuple, dump.quarantine(found).collect())) == [(1, "not JSON", "{"), (2, "no id", "null"), (2, "no id", '{"advisory":{"id":7}}')]
+    assert [tuple(r) for r in dump.accepted(found).collect()] == [(2, "A-1", 0)]
+    rows = [(1, '{"RuleID":"x"}'), (2, '[{"RuleID":5,"Entropy":"high","Secret":"s"},{"Entropy":2}]'), (3, "nothing"), (4, "  "), (5, "[]")]
+    found = dump.leak_rows(spark.createDataFrame(rows, "package_id long, report string"))
+    assert sorted(map(tuple, dump.quarantine(found).collect())) == [(1, "not a list", '{"RuleID":"x"}'), (3, "not JSON", "nothing")]
+    assert sorted(map(tuple, dump.accepted(found).collect())) == [(2, "unknown", "", "", 2.0), (2, "unknown", "s", "", 0.0)]
+
+
 def test_files_and_metrics(spark, tmp_path):
     (tmp_path / "src" / "inner").mkdir(parents=True)
     (tmp_path / "src" / "inner" / "a.rs").write_bytes(b"fn main() {}")
