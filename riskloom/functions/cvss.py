@@ -21,7 +21,11 @@ PRIVILEGES_CHANGED = ({"N": 0.85, "L": 0.68, "H": 0.50}, 0.85)
 def base_score(vector: Column) -> Column:
     """ceil(10 x base score) of a vector; missing vectors and vectors without impact score 0, missing metrics count as most severe."""
     metrics = F.str_to_map(F.regexp_replace(vector, "^[^/]*/?", ""), F.lit("/"), F.lit(":"))
+    # Inside a lambda the map is a variable: taken apart once a vector, not once a metric and value.
+    return F.coalesce(F.get(F.transform(F.array(metrics), _score), F.lit(0)), F.lit(0)).cast("int")
 
+
+def _score(metrics: Column) -> Column:
     def weight(name: str, table=None) -> Column:
         values, rest = table or WEIGHTS[name]
         out = F.lit(rest)
@@ -35,4 +39,4 @@ def base_score(vector: Column) -> Column:
     needed = F.when(changed, weight("PR", PRIVILEGES_CHANGED)).otherwise(weight("PR", PRIVILEGES))
     ease = 8.22 * weight("AV") * weight("AC") * needed * weight("UI")
     score = F.least(F.when(changed, 1.08 * (impact + ease)).otherwise(impact + ease), F.lit(10.0))
-    return F.coalesce(F.when(impact <= 0, 0).otherwise(F.ceil(score * 10)), F.lit(0)).cast("int")
+    return F.when(impact <= 0, 0).otherwise(F.ceil(score * 10))

@@ -60,6 +60,37 @@ def u09(r):
     return dump.classify(stored, _typed(r)).select("id", "change")
 
 
+_AUDIT_ITEMS = "(SELECT package_id, unnest(CAST(json_extract(report, '$.vulnerabilities.list') AS JSON[])) AS x FROM audit_reports WHERE json_valid(report))"
+
+
+@report("v01_audit_findings", f"""
+    SELECT package_id, regexp_replace(json_extract_string(x, '$.advisory.id'), '^RUSTSEC-', '') AS advisory,
+      CASE WHEN contains(json_extract_string(x, '$.advisory.cvss'), 'S:C') THEN 100 WHEN contains(json_extract_string(x, '$.advisory.cvss'), 'S:U') THEN 98 ELSE 0 END AS severity
+    FROM {_AUDIT_ITEMS} i WHERE json_type(json_extract(x, '$.advisory.id')) = 'VARCHAR'""")
+def v01(r):
+    return dump.audit_findings(r.audit_reports)
+
+
+@report("v02_leak_findings", """
+    WITH i AS (SELECT package_id, unnest(CAST(report AS JSON[])) AS x FROM leak_reports WHERE json_valid(report) AND json_type(report) = 'ARRAY')
+    SELECT package_id, CASE WHEN json_type(x, '$.RuleID') = 'VARCHAR' THEN json_extract_string(x, '$.RuleID') ELSE 'unknown' END AS rule, COALESCE(json_extract_string(x, '$.Secret'), '') AS secret,
+      COALESCE(json_extract_string(x, '$.Fingerprint'), '') AS location, CASE WHEN json_type(x, '$.Entropy') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(json_extract(x, '$.Entropy') AS DOUBLE) ELSE 0 END AS entropy FROM i""")
+def v02(r):
+    return dump.leak_findings(r.leak_reports)
+
+
+@report("v03_rejected_reports", f"""
+    SELECT 'audit' AS scanner, 'not JSON' AS rejected, COUNT(*) AS n, CAST(SUM(length(report)) AS BIGINT) AS characters FROM audit_reports WHERE trim(report) <> '' AND NOT json_valid(report)
+    UNION ALL SELECT 'audit', 'no id', COUNT(*), CAST(SUM(length(CAST(x AS VARCHAR))) AS BIGINT) FROM {_AUDIT_ITEMS} i WHERE json_type(json_extract(x, '$.advisory.id')) <> 'VARCHAR'
+    UNION ALL SELECT 'leaks', CASE WHEN json_valid(report) THEN 'not a list' ELSE 'not JSON' END, COUNT(*), CAST(SUM(length(report)) AS BIGINT) FROM leak_reports
+      WHERE NOT json_valid(report) OR json_type(report) <> 'ARRAY' GROUP BY ALL""")
+def v03(r):
+    """The quarantine of both scanners, by reason."""
+    both = dump.quarantine(dump.audit_rows(r.audit_reports)).withColumn("scanner", F.lit("audit"))
+    both = both.unionByName(dump.quarantine(dump.leak_rows(r.leak_reports)).withColumn("scanner", F.lit("leaks")))
+    return both.groupBy("scanner", "rejected").agg(F.count("*").alias("n"), F.sum(F.char_length("raw")).alias("characters"))
+
+
 _NEW = "SELECT id, name, downloads + 1 AS downloads FROM packages WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, name, downloads FROM packages WHERE id % 100 = 0"
 
 

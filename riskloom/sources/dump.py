@@ -139,43 +139,42 @@ def _number(x: Column, path: str) -> Column:
     return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(x, path, "double"))
 
 
-def _rows(reports: DataFrame, items: Column, row: Column, rejected: Column, kinds: dict[str, str]) -> DataFrame:
-    """One row per item of a report, or one with the reason and the report where it is rejected: one pass, so that findings and the
-    quarantine come from the same look at each report. Empty and missing reports have no rows."""
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
-    refusal = F.array(F.struct(*none, rejected.alias("rejected"), F.col("report").alias("raw")))
-    found = F.when(F.coalesce(F.trim("report"), F.lit("")) == "", F.slice(refusal, 1, 0)).when(rejected.isNotNull(), refusal).otherwise(F.transform(items, row))
-    return reports.withColumn("_json", F.try_parse_json("report")).select("package_id", F.explode(found).alias("x")).select("package_id", "x.*")
+def _items(reports: DataFrame, items: Column, rejected: Column) -> DataFrame:
+    """(package_id, item, rejected, raw): one row per item of a report, or one with the reason and the report where it is rejected. One
+    pass: findings and the quarantine come from the same look at each report. Empty and missing reports have no rows."""
+    refusal = F.struct(F.lit(None).cast("variant").alias("item"), rejected.alias("rejected"), F.col("report").alias("raw"))
+    none = F.lit(None).cast("string")
+    each = F.transform(items, lambda x: F.struct(x.alias("item"), none.alias("rejected"), none.alias("raw")))
+    read = reports.filter(F.trim("report") != "").withColumn("_json", F.try_parse_json("report"))
+    return read.select("package_id", F.explode(F.when(rejected.isNotNull(), F.array(refusal)).otherwise(each)).alias("x")).select("package_id", "x.*")
 
 
 def audit_rows(reports: DataFrame) -> DataFrame:
     """(package_id, advisory, severity, rejected, raw) from audit reports (package_id, report): findings, with ``rejected`` null; and what
     is none, with the reason: ``not JSON`` for a report, ``no id`` for an item without an advisory id. A report without a list has no findings."""
-    json = F.col("_json")
+    json, item = F.col("_json"), F.col("item")
     items = F.coalesce(F.try_variant_get(json, "$.vulnerabilities.list", "array<variant>"), F.array().cast("array<variant>"))
-
-    def row(x: Column) -> Column:
-        name = F.regexp_replace(_text(x, "$.advisory.id"), "^RUSTSEC-", "")
-        severity = F.when(name.isNotNull(), base_score(_text(x, "$.advisory.cvss")))
-        lacks = F.when(name.isNull(), "no id")
-        return F.struct(name.alias("advisory"), severity.alias("severity"), lacks.alias("rejected"), F.when(lacks.isNotNull(), F.to_json(x)).alias("raw"))
-
-    return _rows(reports, items, row, F.when(json.isNull(), "not JSON"), {"advisory": "string", "severity": "int"})
+    rows = _items(reports, items, F.when(json.isNull(), "not JSON"))
+    rows = rows.select("package_id", _text(item, "$.advisory.id").alias("_id"), _text(item, "$.advisory.cvss").alias("_cvss"), "rejected", "raw", "item")
+    lacks = F.when(F.col("rejected").isNull() & F.col("_id").isNull(), "no id")
+    return rows.select(
+        "package_id", F.regexp_replace("_id", "^RUSTSEC-", "").alias("advisory"), F.when(F.col("_id").isNotNull(), base_score(F.col("_cvss"))).alias("severity"),
+        F.coalesce("rejected", lacks).alias("rejected"), F.coalesce("raw", F.when(lacks.isNotNull(), F.to_json(item))).alias("raw"),
+    )
 
 
 def leak_rows(reports: DataFrame) -> DataFrame:
     """(package_id, rule, secret, location, entropy, rejected, raw) from secret reports (package_id, report); missing keys and values of
     another type get defaults. Reports are rejected as ``not JSON`` or ``not a list``."""
-    json = F.col("_json")
+    json, item = F.col("_json"), F.col("item")
     items = F.try_variant_get(json, "$", "array<variant>")
-
-    def row(x: Column) -> Column:
-        values = [F.coalesce(_text(x, f"$.{key}"), F.lit(rest)).alias(name) for key, name, rest in (("RuleID", "rule", "unknown"), ("Secret", "secret", ""), ("Fingerprint", "location", ""))]
-        none = F.lit(None).cast("string")
-        return F.struct(*values, F.coalesce(_number(x, "$.Entropy"), F.lit(0.0)).alias("entropy"), none.alias("rejected"), none.alias("raw"))
-
-    reason = F.when(json.isNull(), "not JSON").when(items.isNull(), "not a list")
-    return _rows(reports, items, row, reason, {"rule": "string", "secret": "string", "location": "string", "entropy": "double"})
+    rows = _items(reports, items, F.when(json.isNull(), "not JSON").when(items.isNull(), "not a list"))
+    fine = F.col("rejected").isNull()
+    value = lambda key, rest: F.when(fine, F.coalesce(_text(item, f"$.{key}"), F.lit(rest)))
+    return rows.select(
+        "package_id", value("RuleID", "unknown").alias("rule"), value("Secret", "").alias("secret"), value("Fingerprint", "").alias("location"),
+        F.when(fine, F.coalesce(_number(item, "$.Entropy"), F.lit(0.0))).alias("entropy"), "rejected", "raw",
+    )
 
 
 def accepted(rows: DataFrame) -> DataFrame:

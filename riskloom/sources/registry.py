@@ -74,6 +74,19 @@ DERIVED |= {
           CAST(l_quantity AS INT) % 3 AS kind FROM lineitem
         UNION ALL SELECT CAST(l_suppkey AS INT) AS package_id, CAST(l_orderkey * 10 + l_linenumber AS INT) AS version_id, 0 AS kind FROM lineitem WHERE l_orderkey % 4 = 0""",
 }
+#: What scanners hand over, with their usual faults: nothing, torn JSON, another shape, ids and values of another type.
+DERIVED |= {
+    "audit_reports": """
+        SELECT l_orderkey * 10 + l_linenumber AS package_id, CASE l_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN '{"vulnerabilities":' WHEN 2 THEN '{"vulnerabilities":{"list":[]}}'
+            WHEN 3 THEN '{"other":1}' WHEN 4 THEN '{"vulnerabilities":{"list":[{"advisory":{"id":' || CAST(l_suppkey AS STRING) || '}}]}}'
+            ELSE '{"vulnerabilities":{"list":[{"advisory":{"id":"RUSTSEC-2020-' || lpad(CAST(l_suppkey AS STRING), 4, '0') || '","cvss":' ||
+              CASE l_suppkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H"' ELSE '"CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"' END ||
+              '}},{"advisory":{"id":"OTHER-' || CAST(l_partkey AS STRING) || '"}}]}}' END AS report FROM lineitem""",
+    "leak_reports": """
+        SELECT event_id AS package_id, CASE event_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN 'no report' WHEN 2 THEN '{"RuleID":"x"}' WHEN 3 THEN '[{},{"RuleID":5,"Entropy":"high"}]'
+            ELSE '[{"RuleID":"' || event_type || '","Secret":"s' || CAST(event_id AS STRING) || '","Fingerprint":"src/' || CAST(user_id AS STRING) || '","Entropy":' ||
+              CAST(event_id % 7 AS STRING) || '.5}]' END AS report FROM events""",
+}
 _BASE = ("part", "orders", "lineitem", "events", "documents", "labels")
 
 
@@ -112,6 +125,7 @@ class Registry:
         sql = DERIVED[name]
         tables = {n: self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet") for n in _mentions(sql, _BASE)}
         tables |= {n: getattr(self, n) for n in _mentions(sql, DERIVED)}
+        sql = sql.replace("{", "{{").replace("}", "}}")
         for n in tables:
             sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", sql)
         return self.spark.sql(sql, **tables)
@@ -159,3 +173,11 @@ class Registry:
     @cached_property
     def raw_dependencies(self) -> DataFrame:
         return self._derive("raw_dependencies")
+
+    @cached_property
+    def audit_reports(self) -> DataFrame:
+        return self._derive("audit_reports")
+
+    @cached_property
+    def leak_reports(self) -> DataFrame:
+        return self._derive("leak_reports")
