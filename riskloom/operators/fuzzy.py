@@ -223,7 +223,26 @@ def all_scores(pairs: DataFrame, a: str, b: str, min_score: int = 0) -> DataFram
 
 # --- the matcher -----------------------------------------------------------------------------------
 
-_BAG = 64  # character counts fall into so many cells; what cells share is at least what the names share
+_BAG, _UNARY = 64, 3  # cells that characters fall into by their code, and how many of a cell are told apart
+
+
+class Bags:
+    """The characters of names as bits, a name a row: bit c of word k is set where more than k characters fall into cell c. What two
+    names share is then at most the number of bits they share, and of what goes beyond ``_UNARY`` the smaller part."""
+
+    def __init__(self, codes: np.ndarray, length: np.ndarray) -> None:
+        cell = np.where(np.arange(codes.shape[1]) < length[:, None], codes % _BAG, _BAG)
+        flat = cell + np.arange(len(codes))[:, None] * (_BAG + 1)
+        counts = np.bincount(flat.ravel().astype(np.int64), minlength=len(codes) * (_BAG + 1)).reshape(len(codes), _BAG + 1)[:, :_BAG]
+        self.words = [np.packbits(counts > k, axis=1, bitorder="little").view(np.uint64).ravel() for k in range(_UNARY)]
+        self.rest = np.maximum(counts - _UNARY, 0).sum(1)
+
+    def shared(self, own: slice, other: Bags, row: int) -> np.ndarray:
+        """Characters that names ``own`` share with a name of ``other`` at most."""
+        common = np.minimum(self.rest[own], other.rest[row])
+        for mine, theirs in zip(self.words, other.words, strict=True):
+            common = common + np.bitwise_count(mine[own] & theirs[row])
+        return common
 
 
 def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -264,33 +283,77 @@ class Targets:
         self.size, self.names = size[order], names.to_numpy()[order]
         self.ids, self.downloads = table["id"].to_numpy()[order], table["downloads"].to_numpy()[order]
         self.codes, self.length = _codes(names.iloc[order])
-        self.bags = _bags(self.codes, self.length)
+        self.bags = Bags(self.codes, self.length)
 
-    def near(self, name: np.ndarray, length: int, size: int, bag: np.ndarray, min_score: int) -> np.ndarray:
-        """Targets in the length band whose score can reach ``min_score``, by what the names have in common at most."""
+    def near(self, names: Names, i: int, min_score: int) -> tuple[np.ndarray, np.ndarray]:
+        """Targets in the length band of name i whose score can reach ``min_score`` by what the names have in common at most, and the
+        most that Jaro-Winkler can be. What the bits alone rule out, most of the band, is never looked at letter by letter."""
+        length, size = int(names.length[i]), int(names.size[i])
         a = np.searchsorted(self.size, int(size * (1 - LENGTH_GAP)) - 1)
         b = np.searchsorted(self.size, int(size / (1 - LENGTH_GAP)) + 1, "right")
-        own, theirs = slice(a, b), self.length[a:b]
-        gap, longest = np.abs(self.size[own] - size), np.maximum(np.maximum(self.size[own], size), 1)
-        common = np.minimum(np.minimum(self.bags[own], bag).sum(1, dtype=np.int64), np.minimum(theirs, length))
-        lead = _leads(np.broadcast_to(name, (b - a, len(name))), np.full(b - a, length), self.codes[own], theirs)
+        theirs, longest = self.length[a:b], np.maximum(np.maximum(self.size[a:b], size), 1)
+        common = np.minimum(self.bags.shared(slice(a, b), names.bags, i), np.minimum(theirs, length))
         # Every edit and swap changes the bag of characters by one at most; matches are common characters.
         edits = 1 - (np.maximum(theirs, length) - common) / longest
         jaro = np.where(common > 0, (common / max(length, 1) + common / np.maximum(theirs, 1) + 1) / 3, 0.0)
-        winkler = jaro + np.minimum(lead, 4) * 0.1 * (1 - jaro)
         apart, wide = np.abs(theirs - length), np.maximum(np.maximum(theirs, length), 1)
         keys = np.where(apart > 0, (1 - 2 * apart / (5 * wide)) * 0.7 + (1 - apart / wide) * 0.3, 1.0)
-        best = 45 * (edits * 100 + 1) + 25 * (winkler * 100 + 1) + 15 * (keys * 100 + 1) + 15 * _prefix(lead, wide)
-        return a + np.flatnonzero((best >= 100 * min_score) & (gap / longest <= LENGTH_GAP))
-
-
-def _bags(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
-    cell = np.where(np.arange(codes.shape[1]) < length[:, None], codes % _BAG, _BAG)
-    flat = cell + np.arange(len(codes))[:, None] * (_BAG + 1)
-    counts = np.bincount(flat.ravel().astype(np.int64), minlength=len(codes) * (_BAG + 1)).reshape(len(codes), _BAG + 1)
-    return np.minimum(counts[:, :_BAG], 255).astype(np.uint8)
-
-
+        fixed = 45 * (edits * 100 + 1) + 15 * (keys * 100 + 1)
+        alike = fixed + 25 * ((jaro + 0.4 * (1 - jaro)) * 100 + 1) + 15 * 100  # as if they began alike
+        some = np.flatnonzero((alike >= 100 * min_score) & (np.abs(self.size[a:b] - size) / longest <= LENGTH_GAP))
+        own = a + some
+        lead = _leads(np.broadcast_to(names.codes[i], (len(some), names.codes.shape[1])), np.full(len(some), length), self.codes[own], theirs[some])
+        winkler = (jaro[some] + np.minimum(lead, 4) * 0.1 * (1 - jaro[some])) * 100 + 1
+        good = np.flatnonzero(fixed[some] + 25 * winkler + 15 * _prefix(lead, wide[some]) >= 100 * min_score)
+        return own[good], winkler[good]
+
+
+class Names:
+    """A batch of names: ids, downloads, code points, byte lengths and bags."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        names = batch.column("name").to_pandas()
+        self.names = names.to_numpy()
+        self.ids, self.downloads = (batch.column(c).fill_null(0).to_numpy() for c in ("id", "downloads"))
+        self.codes, self.length = _codes(names)
+        self.size, self.bags = names.str.encode("utf-8").str.len().to_numpy(np.int64), Bags(self.codes, self.length)
+
+
+def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkler: np.ndarray, min_score: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Those of the pairs (x, y) that reach ``min_score``, and their metrics. The cheap metrics come first; after each, pairs go that
+    cannot reach the score with what is known (a swap is two plain edits)."""
+    kept, scores = np.arange(len(x)), {}
+
+    def pair() -> tuple[np.ndarray, ...]:
+        return names.codes[x[kept]], names.length[x[kept]], targets.codes[y[kept]], targets.length[y[kept]]
+
+    def narrow(most: np.ndarray) -> None:
+        nonlocal kept
+        good = np.flatnonzero(most >= 100 * min_score)
+        kept = kept[good]
+        for k in scores:
+            scores[k] = scores[k][good]
+
+    size = lambda: np.maximum(np.maximum(names.size[x[kept]], targets.size[y[kept]]), 1)
+    p = pair()
+    scores["keyboard"] = keyboard_similarities(*p)
+    scores["prefix"] = _prefix(_leads(*p), np.maximum(p[1], p[3]))
+    edits = _distances(*p)
+    rate = lambda d: np.where(d == 0, 100, _round((1 - d / size()) * 100))
+    scores["levenshtein"] = rate(edits)
+    known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"]
+    narrow(known + 25 * rate(-(-edits // 2)) + 25 * winkler)
+    scores["osa"] = rate(osa_distances(*pair()))
+    known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"] + 25 * scores["osa"]
+    narrow(known + 25 * winkler[kept])
+    scores["jaro_winkler"] = jaro_winkler_similarities(*pair())
+    scores["combined"] = sum(scores[k].astype(np.int64) * w for k, w in WEIGHTS.items()) // 100
+    narrow(100 * scores["combined"])
+    return kept, scores
+
+
+#: Pairs that are scored in one go.
+PAIRS_AT_ONCE = 20_000
 _FOUND = "package_id long, similar_id long, name string, similar_name string, combined int, " + ", ".join(f"{k} int" for k in WEIGHTS)
 
 
@@ -308,35 +371,23 @@ def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, task
         targets = Targets(table)
         known = np.sort(targets.ids)
         for batch in batches:
-            names = batch.column("name").to_pandas()
-            ids, downloads = (batch.column(c).fill_null(0).to_numpy() for c in ("id", "downloads"))
-            codes, length = _codes(names)
-            bags, size = _bags(codes, length), names.str.encode("utf-8").str.len().to_numpy(np.int64)
-            in_top = np.isin(ids, known)
-            mine, other, held = [], [], 0
-            for i in range(len(names)):
-                near = targets.near(codes[i], int(length[i]), int(size[i]), bags[i], min_score)
-                near = near[(targets.ids[near] != ids[i]) & (targets.names[near] != names.iloc[i])]
+            names = Names(batch)
+            in_top = np.isin(names.ids, known)
+            held: list[tuple[np.ndarray, ...]] = []
+            for i in range(len(batch)):
+                near, winkler = targets.near(names, i, min_score)
+                other = (targets.ids[near] != names.ids[i]) & (targets.names[near] != names.names[i])
                 if in_top[i]:
-                    near = near[targets.downloads[near] > downloads[i]]
-                mine.append(np.full(len(near), i))
-                other.append(near)
-                held += len(near)
-                if held >= 20_000 or i == len(names) - 1:
-                    x, y = np.concatenate(mine), np.concatenate(other)
-                    mine, other, held = [], [], 0
-                    pair = codes[x], length[x], targets.codes[y], targets.length[y]
-                    longest = np.maximum(np.maximum(size[x], targets.size[y]), 1)
-                    rate = lambda d: np.where(longest == 0, 100, _round((1 - d / longest) * 100))  # noqa: B023, E731
-                    scores = {
-                        "levenshtein": rate(_distances(*pair)), "osa": rate(osa_distances(*pair)), "jaro_winkler": jaro_winkler_similarities(*pair),
-                        "keyboard": keyboard_similarities(*pair), "prefix": _prefix(_leads(*pair), np.maximum(pair[1], pair[3])),
-                    }
-                    combined = sum(scores[k].astype(np.int64) * w for k, w in WEIGHTS.items()) // 100
-                    good = np.flatnonzero(combined >= min_score)
-                    columns = [ids[x[good]], targets.ids[y[good]], names.to_numpy()[x[good]], targets.names[y[good]], combined[good].astype(np.int32)]
-                    columns += [scores[k][good].astype(np.int32) for k in WEIGHTS]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if c.dtype != object else pa.array(c, pa.string()) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
+                    other &= targets.downloads[near] > names.downloads[i]
+                held.append((np.full(other.sum(), i), near[other], winkler[other]))
+                if sum(len(h[0]) for h in held) >= PAIRS_AT_ONCE or i == len(batch) - 1:
+                    x, y, winkler = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                    kept, scores = _scored(names, targets, x, y, winkler, min_score)
+                    x, y = x[kept], y[kept]
+                    columns = [pa.array(names.ids[x]), pa.array(targets.ids[y]), pa.array(names.names[x], pa.string()), pa.array(targets.names[y], pa.string())]
+                    columns += [pa.array(scores[k].astype(np.int32)) for k in ("combined", *WEIGHTS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
 
     # The work is in the comparisons, not in the bytes: tasks of ``task_names`` names, however few bytes those are.
     return named.repartition(max(1, math.ceil(named.count() / task_names))).mapInArrow(run, _FOUND)
