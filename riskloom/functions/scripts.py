@@ -147,12 +147,17 @@ def parse_timestamp(x: Column) -> Column:
     return F.try_to_timestamp(F.split_part(x, F.lit("+"), F.lit(1))).cast("timestamp_ntz")
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with fixed digits, rounded by its exact binary value (format_string rounds the shortest decimal that reads back)."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def show_number(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(_fixed(n / 1e6, 1), F.lit("M"))).when(n >= 1_000, F.concat(_fixed(n / 1e3, 1), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def show_duration(ms: Column) -> Column:
-    return F.when(ms.isNull(), "—").when(ms >= 1000, F.format_string("%.1fs", ms / 1000.0)).otherwise(F.format_string("%.0fms", ms.cast("double")))
+    return F.when(ms.isNull(), "—").when(ms >= 1000, F.concat(_fixed(ms / 1000.0, 1), F.lit("s"))).otherwise(F.concat(_fixed(ms.cast("double"), 0), F.lit("ms")))
 
 
 def risk_label(score: Column) -> Column:

@@ -10,12 +10,12 @@ from riskloom.operators import fuzzy, graph, updates
 from riskloom.plans.common import report, top
 from riskloom.sources import dump
 
-_SHOWN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+SHOWN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _TIME = "TRY_CAST(split_part({0}, '+', 1) AS TIMESTAMP)"
-_TYPED = f"""(SELECT CAST(id AS BIGINT) AS id, name, COALESCE(trim(repository), '') AS repository, {_TIME.format('created_at')} AS created_at,
+TYPED = f"""(SELECT CAST(id AS BIGINT) AS id, name, COALESCE(trim(repository), '') AS repository, {_TIME.format('created_at')} AS created_at,
     {_TIME.format('updated_at')} AS updated_at, COALESCE(d.downloads, 0) AS downloads
   FROM raw_packages p LEFT JOIN raw_downloads d ON d.package_id = p.id WHERE {_TIME.format('created_at')} IS NOT NULL AND {_TIME.format('updated_at')} IS NOT NULL)"""
-_LATEST = "(SELECT package_id, MAX(id) AS version_id FROM versions GROUP BY package_id)"
+LATEST = "(SELECT package_id, MAX(id) AS version_id FROM versions GROUP BY package_id)"
 
 
 def _typed(r) -> DataFrame:
@@ -28,24 +28,24 @@ def u08(r):
 
 
 @report("u10_full_load_packages", f"""
-    SELECT id, name, repository, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at, downloads FROM {_TYPED}""")
+    SELECT id, name, repository, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at, downloads FROM {TYPED}""")
 def u10(r):
-    times = {c: F.date_format(c, _SHOWN) for c in ("created_at", "updated_at")}
+    times = {c: F.date_format(c, SHOWN) for c in ("created_at", "updated_at")}
     return _typed(r).withColumns(times).select("id", "name", "repository", *times, "downloads")
 
 
 @report("u10_full_load_dependencies", f"""
-    SELECT DISTINCT CAST(l.package_id AS BIGINT) AS package_id, CAST(d.package_id AS BIGINT) AS dependency_id FROM raw_dependencies d JOIN {_LATEST} l ON l.version_id = d.version_id
-    WHERE d.kind = 0 AND l.package_id IN (SELECT id FROM {_TYPED}) AND d.package_id IN (SELECT id FROM {_TYPED})""")
+    SELECT DISTINCT CAST(l.package_id AS BIGINT) AS package_id, CAST(d.package_id AS BIGINT) AS dependency_id FROM raw_dependencies d JOIN {LATEST} l ON l.version_id = d.version_id
+    WHERE d.kind = 0 AND l.package_id IN (SELECT id FROM {TYPED}) AND d.package_id IN (SELECT id FROM {TYPED})""")
 def u10_edges(r):
     return dump.typed_dependencies(r.raw_dependencies, r.versions, _typed(r))
 
 
 @report("u10_dropped_dependencies", f"""
     WITH e AS (SELECT v.package_id AS owner, d.package_id AS target FROM raw_dependencies d LEFT JOIN versions v ON v.id = d.version_id
-      WHERE d.kind = 0 AND (v.id IS NULL OR v.id IN (SELECT version_id FROM {_LATEST}))),
-    x AS (SELECT *, CASE WHEN owner IS NULL THEN 'missing version' WHEN owner NOT IN (SELECT id FROM {_TYPED}) THEN 'missing owner'
-      WHEN target NOT IN (SELECT id FROM {_TYPED}) THEN 'missing dependency' ELSE 'kept' END AS outcome FROM e),
+      WHERE d.kind = 0 AND (v.id IS NULL OR v.id IN (SELECT version_id FROM {LATEST}))),
+    x AS (SELECT *, CASE WHEN owner IS NULL THEN 'missing version' WHEN owner NOT IN (SELECT id FROM {TYPED}) THEN 'missing owner'
+      WHEN target NOT IN (SELECT id FROM {TYPED}) THEN 'missing dependency' ELSE 'kept' END AS outcome FROM e),
     y AS (SELECT CASE WHEN outcome = 'kept' AND row_number() OVER (PARTITION BY owner, target, outcome) > 1 THEN 'duplicate' ELSE outcome END AS outcome FROM x)
     SELECT outcome, COUNT(*) AS n FROM y GROUP BY outcome""")
 def u10_dropped(r):
@@ -54,7 +54,7 @@ def u10_dropped(r):
 
 @report("u09_incremental_changes", f"""
     SELECT i.id, CASE WHEN s.id IS NULL THEN 'insert' WHEN i.updated_at > s.updated_at THEN 'update' ELSE 'skip' END AS change
-    FROM {_TYPED} i LEFT JOIN packages s ON s.id = i.id AND s.id % 7 <> 0""")
+    FROM {TYPED} i LEFT JOIN packages s ON s.id = i.id AND s.id % 7 <> 0""")
 def u09(r):
     stored = r.packages.filter("id % 7 <> 0").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
     return dump.classify(stored, _typed(r)).select("id", "change")

@@ -87,6 +87,18 @@ DERIVED |= {
             ELSE '[{"RuleID":"' || event_type || '","Secret":"s' || CAST(event_id AS STRING) || '","Fingerprint":"src/' || CAST(user_id AS STRING) || '","Entropy":' ||
               CAST(event_id % 7 AS STRING) || '.5}]' END AS report FROM events""",
 }
+#: What reviews are made of: source files (a text each) and a model's replies, some failed, some of odd form.
+DERIVED |= {
+    "source_files": """
+        SELECT doc_id % 97 + 1 AS package_id, CASE doc_id % 7 WHEN 0 THEN 'd' || CAST(doc_id AS STRING) || '/build.rs' WHEN 1 THEN 'd' || CAST(doc_id AS STRING) || '/lib.rs'
+            WHEN 2 THEN 'd' || CAST(doc_id AS STRING) || '/main.rs' ELSE 'src/f' || CAST(doc_id AS STRING) || '.py' END AS path, COALESCE(text, '') AS content FROM documents""",
+    "replies": """
+        SELECT doc_id % 211 AS package_id, CAST((doc_id - doc_id % 211) / 211 AS INT) + 1 AS batch, 12 AS batches,
+          CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'SCORE: ' || CAST(doc_id % 150 AS STRING) || chr(10) || 'SUMMARY:' || chr(10)
+            WHEN 2 THEN 'first' || chr(13) || chr(10) || '  SCORE: ' || CAST(doc_id % 97 AS STRING) || '  ' || chr(10) || ' SUMMARY: of it' || chr(10) || chr(10)
+            WHEN 3 THEN 'SCORE: high' || chr(10) || 'SCORE: 5' || chr(10) ELSE 'SCORE: -' || CAST(doc_id % 9 AS STRING) || chr(10) || 'SUMMARY:' || chr(10) END || COALESCE(text, '') END AS reply,
+          CASE WHEN doc_id % 13 = 0 THEN 'time out ' || CAST(doc_id AS STRING) END AS failure FROM documents""",
+}
 _BASE = ("part", "orders", "lineitem", "events", "documents", "labels")
 
 
@@ -181,3 +193,11 @@ class Registry:
     @cached_property
     def leak_reports(self) -> DataFrame:
         return self._derive("leak_reports")
+
+    @cached_property
+    def source_files(self) -> DataFrame:
+        return self._derive("source_files")
+
+    @cached_property
+    def replies(self) -> DataFrame:
+        return self._derive("replies")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,7 @@ def test_graph(spark):
     assert {r.id for r in graph.closure(edges, roots).collect()} == {1, 2, 3, 4}
     kept = graph.break_cycles(edges)
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "id long")
+    assert {(r.src, r.dst) for r in graph.cycle_edges(edges).collect()} == {(1, 2), (2, 3)}
     wave = {r.id: r.wave for r in graph.waves(nodes, kept).collect()}
     assert len(wave) == 6 and all(wave[r.src] > wave[r.dst] for r in kept.collect())
 
@@ -103,4 +106,37 @@ def test_updates(spark):
 def test_replies(spark):
     got = values(spark, reviews.reply_score, "x\nSCORE: 85\nSUMMARY:\nbad", "SCORE: 400", "none", "SCORE: x")
     assert got == [85, 100, 0, 0]
-    assert reviews.pack_files("h", [("src/x.rs", "x"), ("build.rs", "b")], 1000)[0].index("build.rs") < 10_000
+    assert values(spark, reviews.reply_notes, "SUMMARY:\n\n a\n b\t\n\n", "SUMMARY:\n\n") == ["a\n b", "SUMMARY:\n\n"]
+
+
+def packed(context, files, limit):
+    """Batches of one package's files in plain Python."""
+    size = lambda s: len(s.encode())
+    out, batch = [], ""
+    for path, text in sorted(files, key=lambda f: (next((k for k, n in enumerate(reviews.FIRST_FILES) if f[0].endswith(n)), 9), f[0])):
+        section = f"\n=== FILE: {path} ===\n{text}\n"
+        wide = size(section) > limit - size(context)
+        if batch and (wide or size(context + batch + section) > limit):
+            out.append(context + batch)
+            batch = ""
+        if wide:
+            step = limit - size(context) - reviews.HEADER_RESERVE
+            parts = [text[k : k + step] for k in range(0, len(text), step)]
+            out += [f"{context}\n=== FILE: {path} (Part {k}/{len(parts)}) ===\n{part}\n" for k, part in enumerate(parts, 1)]
+        else:
+            batch += section
+    return out + [context + batch] if batch or not out else out
+
+
+def test_review_batches(spark):
+    draw = random.Random(2)
+    files = [(p, f"{draw.choice(('src/', 'a/', ''))}{k}{draw.choice(('build.rs', 'lib.rs', '.py', 'mod.rs'))}", draw.choice("aé€😀") * draw.choice((0, 1, 40, 300, 900, 2500))) for p in range(6) for k in range(p * 9)]
+    packages = [(p, f"n{p}", "", 10) for p in range(7)]
+    rows = spark.createDataFrame(files, "package_id long, path string, content string"), spark.createDataFrame(packages, "id long, name string, repository string, downloads long")
+    got = {(r.package_id, r.batch): (r.batches, r.content) for r in reviews.review_batches(*rows, 1_000).collect()}
+    want = {}
+    for p in range(7):
+        context = f"=== PACKAGE ===\nName: n{p}\nRepository: \nDownloads: 10\n===============\n\n"
+        batches = packed(context, [f[1:] for f in files if f[0] == p], 1_000)
+        want |= {(p, k): (len(batches), b) for k, b in enumerate(batches, 1)}
+    assert got == want
