@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from riskloom.functions import scripts
@@ -23,6 +24,55 @@ def page(rows: DataFrame, filters: list[Column | None], sorts: dict[str, list[Co
     return rows.orderBy(*sorts.get(sort or "", next(iter(sorts.values())))).offset((max(1, number) - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Sort:
+    """A sort column of a keyset page. ``nulls_last`` as in the reports: unknown values at the end, whatever the direction."""
+
+    column: str
+    descending: bool = False
+    nulls_last: bool = True
+
+    def order(self) -> Column:
+        x = F.col(self.column)
+        if self.descending:
+            return x.desc_nulls_last() if self.nulls_last else x.desc_nulls_first()
+        return x.asc_nulls_last() if self.nulls_last else x.asc_nulls_first()
+
+    def behind(self, value) -> Column:
+        """Rows that stand strictly behind the value in this column."""
+        x = F.col(self.column)
+        if value is None:
+            return F.lit(False) if self.nulls_last else x.isNotNull()
+        later = x < F.lit(value) if self.descending else x > F.lit(value)
+        return later | x.isNull() if self.nulls_last else later
+
+    def same(self, value) -> Column:
+        return F.col(self.column).isNull() if value is None else F.col(self.column) == F.lit(value)
+
+
+def page_after(rows: DataFrame, filters: list[Column | None], order: list[Sort], after: Row | None = None, size: int = PER_PAGE) -> DataFrame:
+    """The page that begins behind ``after``, the last row of the page before (None: the first page). ``order`` ends in a unique column.
+
+    Nothing is skipped over: a page costs a filter on the sort columns, which reaches the scan, and the top rows of what is left,
+    however far back it is; and rows that come or go between two calls shift no page."""
+    given = [f for f in filters if f is not None]
+    if after is not None:
+        parts, equal = [], F.lit(True)
+        for s in order:
+            parts.append(equal & s.behind(after[s.column]))
+            equal = equal & s.same(after[s.column])
+        # The first column alone bounds the page as well; said on its own, it can be pushed into the scan.
+        given += [order[0].behind(after[order[0].column]) | order[0].same(after[order[0].column]), reduce(lambda a, b: a | b, parts)]
+    rows = rows.filter(reduce(lambda a, b: a & b, given)) if given else rows
+    return rows.orderBy(*[s.order() for s in order]).limit(min(MOST_PER_PAGE, max(1, size)))
+
+
+def with_total(page: DataFrame, rows: DataFrame, filters: list[Column | None]) -> DataFrame:
+    """The page with the number of rows on all pages (a one-row count beside it)."""
+    given = [f for f in filters if f is not None]
+    return page.crossJoin((rows.filter(reduce(lambda a, b: a & b, given)) if given else rows).agg(F.count("*").alias("total")))
+
+
 def contains(column: str, text: str | None) -> Column | None:
     """Case-blind search, or no filter."""
     return F.col(column).ilike(f"%{text}%") if text else None
@@ -181,6 +231,49 @@ def w13(r, name=None, least=1000, sort=None, number=1):
     return page(rows, [contains("name", name), at_least("total_ms", least)], by, sort, number).select("id", "name", "total_ms", "worker")
 
 
+#: Every sort key of the packages page, and of the findings page, whose severities are null at times.
+_KEYSETS = {
+    "packages": {f"{c}_{d}": [Sort(c, d == "desc"), Sort("id")] for c in ("downloads", "name", "created_at") for d in ("desc", "asc")},
+    "findings": {
+        "severity": [Sort("severity", True), Sort("id")], "severity_asc": [Sort("severity"), Sort("id")], "severity_nulls_first": [Sort("severity", True, False), Sort("id")],
+        "advisory": [Sort("advisory"), Sort("severity", True), Sort("id")],
+    },
+}
+_KEYSET_PAGES = 3
+
+
+def _keyset_sql(table: str) -> str:
+    def order(keys: list[Sort]) -> str:
+        return ", ".join(f"{s.column} {'DESC' if s.descending else 'ASC'} NULLS {'LAST' if s.nulls_last else 'FIRST'}" for s in keys)
+
+    each = [f"SELECT * FROM (SELECT '{name}' AS sort, id, row_number() OVER (ORDER BY {order(keys)}) AS place FROM t)" for name, keys in _KEYSETS[table].items()]
+    rows = " UNION ALL ".join(each)
+    least = "downloads >= 100" if table == "packages" else "package_id % 2 = 0"
+    return f"WITH t AS (SELECT * FROM {table} WHERE {least}) SELECT sort, id, (SELECT COUNT(*) FROM t) AS total FROM ({rows}) x WHERE place > {PER_PAGE * (_KEYSET_PAGES - 1)} AND place <= {PER_PAGE * _KEYSET_PAGES}"
+
+
+def _third_pages(table: str, rows: DataFrame, least: Column) -> DataFrame:
+    """The third page by each sort key, each page from the last row of the one before, with the total."""
+    out = []
+    for name, order in _KEYSETS[table].items():
+        last = None
+        for _ in range(_KEYSET_PAGES - 1):
+            last = page_after(rows, [least], order, last).select([s.column for s in order]).tail(1)[0]
+        page_ = with_total(page_after(rows, [least], order, last), rows, [least])
+        out.append(page_.select(F.lit(name).alias("sort"), "id", "total"))
+    return reduce(DataFrame.unionAll, out)
+
+
+@report("w14_packages_keyset", _keyset_sql("packages"))
+def w14(r):
+    return _third_pages("packages", r.packages, F.col("downloads") >= 100)
+
+
+@report("w14_findings_keyset", _keyset_sql("findings"))
+def w14_findings(r):
+    return _third_pages("findings", r.findings, F.col("package_id") % 2 == 0)
+
+
 _IP_OK = "list_bool_or(list_transform(regexp_extract_all(text, '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b'), lambda x: " + " AND ".join(f"CAST(split_part(x, '.', {k}) AS INT) <= 255" for k in (1, 2, 3, 4)) + """
       AND NOT (split_part(x, '.', 1)::INT IN (127, 10) OR (split_part(x, '.', 1)::INT = 172 AND split_part(x, '.', 2)::INT BETWEEN 16 AND 31) OR (split_part(x, '.', 1)::INT = 192 AND split_part(x, '.', 2)::INT = 168)
         OR (split_part(x, '.', 1)::INT = 0 AND split_part(x, '.', 2)::INT = 0) OR (split_part(x, '.', 1)::INT = 169 AND split_part(x, '.', 2)::INT = 254))))"""
