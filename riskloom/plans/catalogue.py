@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from riskloom.plans import dumps, ecosystem_reports, ingest, listings, review_reports, risk_reports  # noqa: F401  (each module registers its reports)
+from riskloom.plans import dumps, ecosystem_reports, ingest, listings, names, review_reports, risk_reports  # noqa: F401  (each module registers its reports)
 from riskloom.plans.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "write_reports"]

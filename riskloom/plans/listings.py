@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from riskloom.functions import scripts
-from riskloom.operators import fuzzy, graph, updates
+from riskloom.operators import graph, updates
 from riskloom.plans.common import FLAGS, h, half_up, pc, percent, report, top
 
 PER_PAGE, MOST_PER_PAGE = 50, 100
@@ -298,12 +298,6 @@ def f02(r):
     return docs.select("doc_id", F.round(scripts.byte_entropy(F.col("text")), 6).alias("entropy"))
 
 
-@report("x2_lookalike_names")
-def x2(r):
-    """The matcher over all package names, with the 10,000 most downloaded as targets (a bound of the feature)."""
-    return fuzzy.lookalikes(r.packages, top=10_000, min_score=75)
-
-
 def _edges(r):
     return r.dependencies.select(F.col("package_id").alias("src"), F.col("dependency_id").alias("dst"))
 
