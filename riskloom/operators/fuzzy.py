@@ -261,6 +261,27 @@ def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) ->
     return out
 
 
+def bit_distances(places: np.ndarray, row: np.ndarray, la: np.ndarray, letters: np.ndarray, lb: np.ndarray, swaps: bool) -> np.ndarray:
+    """Levenshtein distances, or with ``swaps`` optimal string alignment, of many pairs, a column of the table as one machine word a pair
+    (Myers' bit vectors, Hyyro's term for swaps). ``places[row, letter]`` has a bit for each place of the letter in the first name, of
+    1 to 64 letters; ``letters`` are those of the second."""
+    one, top = np.uint64(1), (la - 1).astype(np.uint64)
+    up, down = np.full(len(row), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(len(row), np.uint64)
+    distance, out = la.astype(np.int32), np.where(lb == 0, la, 0).astype(np.int32)
+    diagonal = before = np.zeros(len(row), np.uint64)
+    for j in range(letters.shape[1]):
+        match = places[row, letters[:, j]]
+        swapped = (~diagonal & match) << one & before if swaps and j else np.uint64(0)
+        diagonal = ((match & up) + up ^ up) | match | down | swapped
+        right, left = down | ~(diagonal | up), diagonal & up
+        distance = distance + (right >> top & one).astype(np.int32) - (left >> top & one).astype(np.int32)
+        right, left = right << one | one, left << one
+        up, down, before = left | ~(diagonal | right), right & diagonal, match
+        ends = lb == j + 1
+        out[ends] = distance[ends]
+    return out
+
+
 def _leads(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Code points that the names of each pair start with alike."""
     most = min(a.shape[1], b.shape[1])
@@ -284,6 +305,8 @@ class Targets:
         self.ids, self.downloads = table["id"].to_numpy()[order], table["downloads"].to_numpy()[order]
         self.codes, self.length = _codes(names.iloc[order])
         self.bags = Bags(self.codes, self.length)
+        self.alphabet = np.unique(self.codes)
+        self.letters = np.searchsorted(self.alphabet, self.codes)
 
     def near(self, names: Names, i: int, min_score: int) -> tuple[np.ndarray, np.ndarray]:
         """Targets in the length band of name i whose score can reach ``min_score`` by what the names have in common at most, and the
@@ -309,14 +332,19 @@ class Targets:
 
 
 class Names:
-    """A batch of names: ids, downloads, code points, byte lengths and bags."""
+    """A batch of names: ids, downloads, code points, byte lengths, bags, and the places of each letter of an alphabet as bits."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
+    def __init__(self, batch: pa.RecordBatch, alphabet: np.ndarray) -> None:
         names = batch.column("name").to_pandas()
         self.names = names.to_numpy()
         self.ids, self.downloads = (batch.column(c).fill_null(0).to_numpy() for c in ("id", "downloads"))
         self.codes, self.length = _codes(names)
         self.size, self.bags = names.str.encode("utf-8").str.len().to_numpy(np.int64), Bags(self.codes, self.length)
+        self.places = np.zeros((len(names), max(1, len(alphabet))), np.uint64)
+        for j in range(min(64, self.codes.shape[1]) if len(alphabet) else 0):
+            letter = np.minimum(np.searchsorted(alphabet, self.codes[:, j]), len(alphabet) - 1)
+            row = np.flatnonzero((alphabet[letter] == self.codes[:, j]) & (j < self.length))
+            self.places[row, letter[row]] |= np.uint64(1 << j)
 
 
 def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkler: np.ndarray, min_score: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -334,16 +362,23 @@ def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkle
         for k in scores:
             scores[k] = scores[k][good]
 
+    def distances(swaps: bool) -> np.ndarray:
+        p = pair()
+        fits = (p[1] > 0) & (p[1] <= 64)
+        if not fits.all():  # longer than a machine word: by tables
+            return osa_distances(*p) if swaps else _distances(*p)
+        return bit_distances(names.places, x[kept], p[1], targets.letters[y[kept]], p[3], swaps)
+
     size = lambda: np.maximum(np.maximum(names.size[x[kept]], targets.size[y[kept]]), 1)
     p = pair()
     scores["keyboard"] = keyboard_similarities(*p)
     scores["prefix"] = _prefix(_leads(*p), np.maximum(p[1], p[3]))
-    edits = _distances(*p)
+    edits = distances(False)
     rate = lambda d: np.where(d == 0, 100, _round((1 - d / size()) * 100))
     scores["levenshtein"] = rate(edits)
     known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"]
     narrow(known + 25 * rate(-(-edits // 2)) + 25 * winkler)
-    scores["osa"] = rate(osa_distances(*pair()))
+    scores["osa"] = rate(distances(True))
     known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"] + 25 * scores["osa"]
     narrow(known + 25 * winkler[kept])
     scores["jaro_winkler"] = jaro_winkler_similarities(*pair())
@@ -370,8 +405,8 @@ def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = Targets(table)
         known = np.sort(targets.ids)
-        for batch in batches:
-            names = Names(batch)
+        for batch in (b.slice(k, task_names) for b in batches for k in range(0, len(b), task_names)):
+            names = Names(batch, targets.alphabet)
             in_top = np.isin(names.ids, known)
             held: list[tuple[np.ndarray, ...]] = []
             for i in range(len(batch)):

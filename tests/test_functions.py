@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,18 @@ def test_review_batches(spark):
         batches = packed(context, [f[1:] for f in files if f[0] == p], 1_000)
         want |= {(p, k): (len(batches), b) for k, b in enumerate(batches, 1)}
     assert got == want
+
+
+def test_bit_distances():
+    """Against tables, with long names, few letters and many swaps."""
+    draw = random.Random(6)
+    first = ["".join(draw.choice("abc") for _ in range(draw.choice((1, 2, 5, 9, 63, 64)))) for _ in range(400)]
+    second = [draw.choice((a[1:], a[::-1], a[1::-1] + a[2:], "".join(draw.choice("abcd") for _ in range(draw.randrange(70))))) for a in first]
+    (a, la), (b, lb) = fuzzy._codes(pd.Series(first)), fuzzy._codes(pd.Series(second))
+    alphabet = np.unique(b)
+    batch = pa.RecordBatch.from_pydict({"name": first, "id": range(400), "downloads": range(400)})
+    places = fuzzy.Names(batch, alphabet).places
+    for swaps, table in ((False, fuzzy._distances), (True, fuzzy.osa_distances)):
+        got = fuzzy.bit_distances(places, np.arange(400), la, np.searchsorted(alphabet, b), lb, swaps)
+        assert (got == table(a, la, b, lb)).all()
+    assert [fuzzy.osa_distance(x, y) for x, y in zip(first, second, strict=True)] == got.tolist()
