@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import cvss, scripts
 from riskloom.operators import graph, updates
+from riskloom.operators.tables import new_folder
 from riskloom.plans.common import report, top
 from riskloom.sources import dump
+from riskloom.sources.buckets import BucketTable
 
 SHOWN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _TIME = "TRY_CAST(split_part({0}, '+', 1) AS TIMESTAMP)"
@@ -129,6 +131,28 @@ def t05(r):
     return updates.delete_keys(r.dependencies, r.packages.filter("id % 4 = 0").select(F.col("id").alias("package_id")), ["package_id"])
 
 
+@report("t07_append_metrics", "SELECT id, package_id, total_ms, worker FROM timings")
+def t07(r):
+    """Measurements appended to a table in three goes, each new files beside the old ones."""
+    folder = new_folder(r.spark, "metrics")
+    for k in range(3):
+        updates.append_new_file(r.timings.filter(F.pmod("id", F.lit(3)) == k).select("id", "package_id", "total_ms", "worker"), folder)
+    return r.spark.read.parquet(folder)
+
+
+@report("t08_bucket_changes", f"""
+    SELECT id, name, downloads FROM packages WHERE id % 3 <> 0 AND id % 100 <> 1 UNION ALL SELECT id, name, downloads FROM ({_NEW}) n WHERE id % 100 <> 1
+    UNION ALL SELECT id + 2000000, name, downloads FROM packages WHERE id % 50 = 0""")
+def t08(r):
+    """An upsert, a deletion and an insert that skips known keys, on a table of buckets in the shared folder."""
+    stored, new = _rows(r)
+    table = BucketTable.create(stored, new_folder(r.spark, "table"), ["id"], 16)
+    table.upsert(new)
+    table.delete(stored.filter("id % 100 = 1").select("id"))
+    table.insert_new(stored.filter("id % 50 = 0").withColumn("id", F.col("id") + 2_000_000).unionByName(stored.filter("id % 100 = 2")))
+    return table.read()
+
+
 #: Messages of all lengths, with characters of one to four bytes at byte 500.
 _WHY = "repeat(CASE id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'é' WHEN 2 THEN '€' WHEN 3 THEN '😀' ELSE 'aé€' END, CAST(id % 700 AS INT))"
 
