@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -167,16 +168,24 @@ def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
 
+#: Arrays that a worker holds mapped at once: each takes a file descriptor, and a shard has some twelve.
+OPEN_ARRAYS = 256
+
+
 class Files:
-    """The arrays of a model's folder, mapped when first used."""
+    """The arrays of a model's folder, mapped when first used; beyond ``OPEN_ARRAYS`` the one that was not used for longest is closed.
+    Shards are visited in order, so a model of any number of shards needs no more; what is mapped again is in the page cache."""
 
     def __init__(self, folder: str) -> None:
         self.folder = mounted(folder)
-        self.open: dict[tuple[str, str], np.ndarray] = {}
+        self.open: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
     def get(self, name: str, kind: str) -> np.ndarray:
         if (name, kind) not in self.open:
+            if len(self.open) >= OPEN_ARRAYS:
+                self.open.popitem(last=False)
             self.open[name, kind] = _mapped(self.folder, name, kind)
+        self.open.move_to_end((name, kind))
         return self.open[name, kind]
 
     def find(self, name: str, hashes: np.ndarray) -> np.ndarray:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import resource
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from riskloom.llm._shared import Scratch
@@ -39,6 +42,29 @@ def test_kneser_ney_in_many_shards(corpus, order, monkeypatch):
         assert got[r.doc_id, r.n_tokens] == pytest.approx(r.score, rel=1e-9)
 
 
+def test_many_shards_with_few_files_open(corpus, monkeypatch):
+    """Some 1,300 arrays of 110 shards under a limit of 100 more descriptors than there are now."""
+    model = ngrams.train(corpus.limit(60), shard_bytes=1_000)
+    assert model.shards > 100
+    texts = [r.text or "" for r in corpus.limit(60).select("text").collect()]
+    data, offsets = ngrams.texts_of(pa.array(texts))
+
+    def scores():
+        scorer = ngrams.Scorer(model)
+        tokens = ngrams._tokens(scorer.vocabulary, data, offsets)
+        return scorer.log10(tokens.context, tokens.word).sum(), len(scorer.files.open)
+
+    want, mapped = scores()
+    now, limits = len(os.listdir("/proc/self/fd")), resource.getrlimit(resource.RLIMIT_NOFILE)
+    monkeypatch.setattr(ngrams, "OPEN_ARRAYS", 60)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (now + 100, limits[1]))
+    try:
+        got, few = scores()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert got == want and few == 60 < mapped <= 256
+
+
 def test_probabilities_sum_to_one(spark, tmp_path):
     """Over the vocabulary, the end and one unknown word, after any context."""
     import numpy as np
