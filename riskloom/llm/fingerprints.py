@@ -1,6 +1,6 @@
 """Document fingerprints by order MinHash (operator 5), with DataFrame functions only.
 
-The elements of a text are its k-word sequences, numbered by occurrence (the j-th equal one is another
+The elements of a text are its sequences of k units, numbered by occurrence (the j-th equal one is another
 element), so repeats count. A hash deals the elements to ``bins`` equal classes. In each class the
 ``width`` elements with the smallest hashes are selected, put back in text order, and hashed as a tuple:
 one signature entry. Equal entries need the same elements in the same order, so likeness, the share of
@@ -8,12 +8,16 @@ equal entries among the classes that either text fills, falls with edit distance
 overlap of the sets. (One hash split into classes stands for as many independent hashes; each element is
 hashed twice, whatever the number of entries.)
 
+Units are words (between runs of space and U+0009 to U+000D; a text that begins or ends with such a run has an empty word there).
+Of words of ``LONG_WORDS`` characters and more, as in scripts without spaces, each character is a unit.
+
 All of it is higher-order functions over arrays of longs that hold (hash, position), sorted natively; a
 text never leaves its row, so nothing is shuffled for a fingerprint.
 
-Edge cases: a null or empty text has the single element of an empty word; texts under k words have one
-element; positions are exact up to 2**24 words and wrap beyond (only order inside an entry could then
-differ); equal texts have equal fingerprints.
+Edge cases: a null or empty text has the single element of an empty word; texts under k units have one
+element; positions are exact up to 2**24 units and wrap beyond (only order inside an entry could then
+differ); equal texts have equal fingerprints, so repeated rows and copies do; ties of doc_id go by a hash
+of the text; an empty table gives an empty one; columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm._shared import Scratch, cut, sweep
 
+LONG_WORDS = 24
 _POSITION = (1 << 24) - 1
 _HASH = ~_POSITION
 
@@ -39,6 +44,13 @@ def _range(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
 
+def _units(text: Column) -> Column:
+    words = F.split(text, "[\\x20\\x09-\\x0D]+")
+    long = lambda x: F.char_length(x) >= LONG_WORDS
+    apart = lambda w: F.flatten(F.transform(w, lambda x: F.when(long(x), F.split(x, "")).otherwise(F.array(x))))
+    return _let(words, lambda w: F.when(F.exists(w, long), apart(w)).otherwise(w))
+
+
 def fingerprint(text: Column, k: int = 3, bins: int = 64, width: int = 2, seed: int = 5) -> Column:
     """array<int>: an entry per class that the text fills; the top bits of an entry are its class."""
     bits = int(math.log2(bins))
@@ -76,7 +88,7 @@ def fingerprint(text: Column, k: int = 3, bins: int = 64, width: int = 2, seed:
 
         return F.transform(firsts, entry)
 
-    return _let(_let(_let(F.split(F.coalesce(text, F.lit("")), " "), packed), numbered), entries)
+    return _let(_let(_let(_units(F.coalesce(text, F.lit(""))), packed), numbered), entries)
 
 
 def likeness(a: Column, b: Column, bins: int = 64) -> Column:

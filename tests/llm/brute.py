@@ -109,7 +109,8 @@ def order_minhash(text: str | None, k: int = 3, bins: int = 64, width: int = 2,
     """Entries by class: the ``width`` smallest occurrence-numbered k-word elements of the class, in text order, hashed as a tuple."""
     low, bits = (1 << 24) - 1, bins.bit_length() - 1
     signed = lambda x, n: x - (1 << n) if x >> (n - 1) else x
-    own = (text or "").split(" ")
+    own = re.split(r"[\x20\x09-\x0D]+", text or "")
+    own = [x for w in own for x in (w if len(w) >= 24 else [w])]
     elements = [(spark_hash(seed.to_bytes(4, "little"), *own[i : i + k]) & ~low, i) for i in range(max(1, len(own) - k + 1))]
     seen, numbered = Counter(), []
     for e, i in elements:

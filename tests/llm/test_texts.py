@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import json
+import random
 import zlib
 from collections import defaultdict
 
@@ -210,6 +211,21 @@ def test_fingerprints(corpus, rows):
     assert all(len(x) == 1 for x in prints.values())
 
 
+def test_fingerprints_of_other_scripts_and_lines(spark):
+    """Half of each text is changed: without spaces, a word a line, with tabs."""
+    draw = random.Random(9)
+    chinese = "".join(chr(draw.randrange(0x4E00, 0x5000)) for _ in range(400))
+    lines, tabs = ("".join(f"{x}{draw.randrange(900)}" for x in sep * 200) for sep in ("\n", "\t"))
+    texts = [chinese, lines, tabs, "😀" * 30]
+    docs = spark.createDataFrame([(9 - k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    for k, t in enumerate(texts):
+        r = got[9 - k]
+        assert r.fingerprint == "".join(f"{e:08x}" for e in (x & 0xFFFFFFFF for x in brute.order_minhash(t)))
+        assert k == 3 or 0.05 < r.near_edited < 0.7
+    assert all(r.near_next < 0.1 for r in got.values())
+
+
 def test_fingerprints_feel_order(spark):
     words = [f"w{k}" for k in range(400)]
     moved = words[200:] + words[:200]
