@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def insert_new(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """``stored`` and those rows whose key it lacks, one per key."""
-    return stored.unionByName(rows.dropDuplicates(key).join(stored.select(key), key, "left_anti").select(stored.columns))
+def _one_each(rows: DataFrame, key: list[str], last: str | None) -> DataFrame:
+    """One row per key: with ``last``, a column, the one that is greatest in it (then in all others), else any."""
+    if last is None:
+        return rows.dropDuplicates(key)
+    others = [c for c in rows.columns if c not in (*key, last)]
+    best = rows.groupBy(*key).agg(F.max(F.struct(last, *others)).alias("_x"))
+    return best.select(*[F.col(c) if c in key else F.col(f"_x.`{c}`") for c in rows.columns])
 
 
-def upsert(stored: DataFrame, rows: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
-    """New rows win over stored ones of their key; columns in ``keep`` retain the stored value."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(rows.select(stored.columns).withColumn("_new", F.lit(1)))
+def insert_new(stored: DataFrame, rows: DataFrame, key: list[str], last: str | None = None) -> DataFrame:
+    """``stored`` and those rows whose key it lacks, one per key: the last by a column, where one is named."""
+    return stored.unionByName(_one_each(rows, key, last).join(stored.select(key), key, "left_anti").select(stored.columns))
+
+
+def upsert(stored: DataFrame, rows: DataFrame, key: list[str], keep: list[str] | None = None, last: str | None = None) -> DataFrame:
+    """New rows win over stored ones of their key; columns in ``keep`` retain the stored value. Of several new rows with a key the last
+    by a column wins, where one is named."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(_one_each(rows, key, last).select(stored.columns).withColumn("_new", F.lit(1)))
     by_key = Window.partitionBy(*key)
     for c in keep or []:
         both = both.withColumn(c, F.coalesce(F.max(F.when(F.col("_new") == 0, F.col(c))).over(by_key), F.col(c)))

@@ -102,6 +102,9 @@ def test_updates(spark):
     new = spark.createDataFrame([(2, "B", 21), (3, "c", 30)], "id long, name string, at long")
     assert sorted(map(tuple, updates.upsert(old, new, ["id"], keep=["at"]).collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 30)]
     assert sorted(map(tuple, updates.insert_new(old, new, ["id"]).collect())) == [(1, "a", 10), (2, "b", 20), (3, "c", 30)]
+    twice = spark.createDataFrame([(2, "B", 21), (2, "C", 23), (2, "D", 22), (3, "c", 30), (3, "d", 30)], "id long, name string, at long").repartition(3)
+    assert sorted(map(tuple, updates.upsert(old, twice, ["id"], last="at").collect())) == [(1, "a", 10), (2, "C", 23), (3, "d", 30)]
+    assert sorted(map(tuple, updates.insert_new(old, twice, ["id"], last="at").collect())) == [(1, "a", 10), (2, "b", 20), (3, "d", 30)]
 
 
 def test_replies(spark):

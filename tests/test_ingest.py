@@ -8,6 +8,7 @@ import shutil
 
 import pytest
 
+from riskloom.__main__ import main
 from riskloom.operators import updates
 from riskloom.plans import catalogue
 from riskloom.sources import dump, records
@@ -163,6 +164,15 @@ def test_report_runner(spark, sf_dir, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "w04_top_ten")).count() == 10
 
 
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    assert main(["--list"]) == 0 and "u03_package_count" in capsys.readouterr().out.split()
+    assert main([sf_dir, str(tmp_path / "out"), "u03_package_count"]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "u03_package_count")).count() == 1
+    for wrong in (["tables"], [sf_dir, str(tmp_path), "no_such_report"]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+
+
 def test_placeholders(spark):
     rows = spark.createDataFrame([(1, "ä" * 400), (2, "short")], "id long, why string")
     got = {r.id: r for r in updates.placeholder_scans(rows, "why").collect()}
