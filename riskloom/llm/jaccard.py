@@ -20,7 +20,8 @@ at least 3/4. Sets are equal when 128 bits of them and their sizes agree. Up to
 
 Edge cases: null, empty and wordless texts have the empty set and link with nothing; texts under five words have one shingle,
 the whole sequence; repeated rows are equal sets; null ids never name a component unless all its ids are null; other columns
-are ignored. ``docs`` must come from files or a checkpoint (a task that runs again must see the same rows).
+are ignored; ties of frequency go by the shingle's hash; an empty table gives no rows. A text is read whole, in some 100 bytes of a
+worker's memory for each of its own: one of 10 MB takes a GB. ``docs`` must come from files or a checkpoint (a task that runs again must see the same rows).
 """
 
 from __future__ import annotations

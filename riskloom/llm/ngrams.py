@@ -24,7 +24,8 @@ word. Discounts of each length follow the counts of counts; where those are too
 order - 1 begin marks, which are never predicted.
 
 Edge cases: null and empty texts are the end token alone; words not seen in training are the unknown word; without training texts
-every token is as likely as any other; repeated rows are scored apart; an empty table gives no rows; other columns are ignored.
+every token is as likely as any other; repeated rows are scored apart; equal counts need no order; an empty table gives no rows; other
+columns are ignored. A text is read whole, in some 100 bytes of a worker's memory for each of its own: one of 10 MB takes a GB.
 """
 
 from __future__ import annotations

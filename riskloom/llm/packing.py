@@ -10,7 +10,8 @@ each time) and packed again, and the better packing stays. The result carries it
 counts (at most ``capacity`` rows) are all that reaches the driver.
 
 Edge cases: a null or empty text is the end id alone; a text of any length is cut, never dropped;
-repeated rows are separate documents; an empty table packs into nothing; other columns are ignored.
+repeated rows are separate documents; of pieces of equal length any may go first, so sequence numbers may differ
+between runs, bin counts don't; an empty table packs into nothing; other columns are ignored.
 """
 
 from __future__ import annotations

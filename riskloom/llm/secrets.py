@@ -14,7 +14,8 @@ are code points. Matches that fail the rule's smallest length are dropped after
 define it.
 
 Edge cases: null texts count as empty; empty texts have no spans; texts of any length are read whole;
-repeated rows give repeated results; other columns are carried along untouched.
+repeated rows give repeated results; spans of equal start stand in the order of the rules; an empty table gives
+no rows; other columns are carried along untouched (one named like a result column is replaced by it).
 """
 
 from __future__ import annotations

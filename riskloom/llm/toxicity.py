@@ -12,8 +12,9 @@ and the recursions step through all the sequences of a slice at once. The model
 weight table (``BUCKETS`` floats), whatever the input's size.
 
 Edge cases: a null or empty text has no tokens and gets the score of zero expected toxic tokens; a
-sample without both labels gives score 0 for every row; repeated rows are scored alike; other columns
-of the input are carried along untouched.
+sample without both labels gives score 0 for every row; repeated rows are scored alike, and nothing depends
+on ties; a text of any length is scored whole, in a worker's memory; an empty table gives no rows; other
+columns of the input are carried along untouched.
 """
 
 from __future__ import annotations
