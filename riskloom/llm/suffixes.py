@@ -365,10 +365,14 @@ def _split_large(contexts: DataFrame, length: int, gram: int, hot: int, scratch:
         pieces = scratch.keep(pieces, "pieces")
         sweep(contexts.sparkSession)  # the texts that the first pieces came from
         leaders = pieces.groupBy(*same).agg(F.min(me).alias("leader"), F.count("*").alias("many"))
-        led = scratch.keep(pieces.join(leaders, same), "led")
+        # What stood before and after is needed of the leaders only from here on.
+        led = pieces.join(leaders, same).withColumn("_leads", me == F.col("leader"))
+        sides = [F.when(F.col("_leads"), F.col(c)).alias(c) for c in ("before", "after")]
+        led = led.select(*[c for c in contexts.columns if c not in ("before", "after")], *sides, "_leads")
+        led = scratch.keep(led, "led")
         scratch.drop(pieces)
-        spans.append(led.filter(me != F.col("leader")).select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")))
-        left = led.filter(me == F.col("leader")).select(*contexts.columns)
+        spans.append(led.filter(~F.col("_leads")).select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")))
+        left = led.filter("_leads").select(*contexts.columns)
         if size == 1:  # equal keys were equal windows: one is left of each
             return [*small, left], spans
         large = scratch.keep(left.groupBy("gram").count().filter(F.col("count") > hot).select("gram"), "large")
