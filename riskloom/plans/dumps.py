@@ -22,6 +22,8 @@ def _from_files(r, read) -> DataFrame:
         table = tables[name]
         named = [(F.col(ours) if ours in table.columns else F.lit(None).cast("string")).alias(theirs) for ours, theirs, _ in columns]
         table.select(named).write.options(**_OPTIONS).csv(f"{folder}/2026-01-02/data/{file}")
+    # A later date of which only one file has come yet: not to be taken.
+    r.raw_downloads.limit(0).toDF("crate_id", "downloads").write.options(**_OPTIONS).csv(f"{folder}/2026-01-03/data/crate_downloads.csv")
     result = cut(read(folder))
     remove(r.spark, folder)
     return result
@@ -95,3 +97,27 @@ def u09_dependencies(r):
     UNION ALL SELECT 'error', COUNT(*) FROM raw_packages WHERE id NOT IN (SELECT id FROM {TYPED})""")
 def u09_counts(r):
     return _update(r)["counts"]
+
+
+@report("i04_walked_folders", "SELECT COALESCE(source, '__HIVE_DEFAULT_PARTITION__') AS source, CAST(SUM(octet_length(encode(COALESCE(text, ''))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
+def i04(r):
+    """Bytes of all files below a folder, by inner folder: the texts of each source, a line end after each."""
+    folder = new_folder(r.spark, "files")
+    docs = r.spark.read.parquet(f"{r.sf_dir}/documents.parquet").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("source").text(folder)
+    inner = F.url_decode(F.regexp_extract("path", "/source=([^/]*)/[^/]*$", 1))
+    result = cut(dump.walk_files(r.spark, folder).groupBy(inner.alias("source")).agg(F.sum("size").alias("bytes")))
+    remove(r.spark, folder)
+    return result
+
+
+@report("i05_report_file", "SELECT package_id, MAX(id) AS version_id FROM versions GROUP BY package_id")
+def i05(r):
+    """A report as the runner writes it to a file, read back."""
+    from riskloom.plans.catalogue import write_reports  # which knows all reports, these too
+
+    folder = new_folder(r.spark, "reports")
+    (name,) = write_reports(r.spark, r.sf_dir, folder, ["u08_latest_versions"])
+    result = cut(dump.read_csv(r.spark, f"{folder}/{name}", (("package_id", "package_id", "int"), ("version_id", "version_id", "int"))))
+    remove(r.spark, folder)
+    return result
