@@ -46,7 +46,7 @@ from riskloom.llm._shared import cut, mounted, new_folder, remainder, sweep, wri
 from riskloom.llm._text import Words, mix64, slices, texts_of
 
 END = np.uint64(0x5DEECE66D)  # the hash that stands for the end of a text
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 22 << 20
 FLUSH = 3_000_000  # keys that a task holds before it sends them on
 ORDER = 3
 _LOW = np.uint64(0xFFFFFFFF)
