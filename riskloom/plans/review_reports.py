@@ -67,7 +67,7 @@ _SIZE = "CASE WHEN doc_id % 4 = 0 THEN 8388608 + doc_id % 3 - 1 ELSE n_chars END
 
 
 @report("f06_source_files", f"""
-    SELECT doc_id, (regexp_extract(split_part(p, '/', -1), '^.+\.([^.]+)$', 1) IN ({', '.join(f"'{x}'" for x in scripts.SOURCE_EXTENSIONS)}) OR split_part(p, '/', -1) IN ('Makefile', 'Dockerfile'))
+    SELECT doc_id, (regexp_extract(split_part(p, '/', -1), '^.+\\.([^.]+)$', 1) IN ({', '.join(f"'{x}'" for x in scripts.SOURCE_EXTENSIONS)}) OR split_part(p, '/', -1) IN ('Makefile', 'Dockerfile'))
       AND NOT list_bool_or(list_transform(string_split(p, '/'), lambda x: starts_with(x, '.') OR x IN ('target', 'node_modules'))) AND s <= {scripts.MAX_SOURCE_BYTES} AS is_source
     FROM (SELECT doc_id, {_PATH} AS p, {_SIZE} AS s FROM documents)""")
 def f06(r):
