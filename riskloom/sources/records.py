@@ -32,18 +32,23 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _along(lines: DataFrame) -> tuple[dict[tuple[str, int], tuple[bool, bool]], list[str]]:
-    """For each (file, split): whether it begins, and ends, inside a text; and the files' first lines."""
+    """For each (file, split): whether it begins, and ends, inside a text; and the distinct first lines of the files.
+
+    Per split only numbers are added up, so no task sorts its lines: a sort that spills would not keep them in the file's order.
+    A first line is known by its hash and then looked up."""
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    rows = lines.groupBy("file", "split").agg((F.sum(quotes) % 2).alias("odd"), F.first("value").alias("line")).collect()
-    out, heads = {}, []
+    line = F.xxhash64("value")
+    rows = lines.groupBy("file", "split").agg((F.sum(quotes) % 2).alias("odd"), F.first(line).alias("line")).collect()
+    out, heads = {}, set()
     for _, splits in groupby(sorted(rows, key=lambda r: (r["file"], r["split"])), key=lambda r: r["file"]):
         inside = False
         for k, r in enumerate(splits):
             if k == 0:
-                heads.append(r["line"])
+                heads.add(r["line"])
             out[r["file"], r["split"]] = (inside, inside != bool(r["odd"]))
             inside = inside != bool(r["odd"])
-    return out, heads
+    # Good files have one header in up to four forms (with a mark of its encoding, with a carriage return): a few are enough to tell.
+    return out, [lines.filter(line == h).select("value").first()[0] for h in sorted(heads)[:5]]
 
 
 class _Split:

@@ -97,6 +97,24 @@ def test_records_in_splits(spark, tmp_path, split):
             spark.conf.unset(key)
 
 
+def test_headers_of_many_files_when_memory_is_short(spark, tmp_path):
+    """Several files a task, and sorts that spill every hundred rows."""
+    for k in range(12):
+        (tmp_path / f"v{k:02}.csv").write_text("id,crate_id\n" + "".join(f"{k * 1000 + i},{i % 7}\n" for i in range(1000)))
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    environment, often = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    environment.set(often, "100")
+    try:
+        got = records.read_records(spark, str(tmp_path))
+        assert got.columns == ["id", "crate_id"] and sorted(int(r.id) for r in got.collect()) == list(range(12_000))
+    finally:
+        environment.remove(often)
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_latest_of_several_dates(spark, folder):
     later, broken = folder / "2026-02-01" / "data", folder / "2026-03-01" / "data"
     shutil.copytree(folder / "2026-01-01" / "data", later)
