@@ -19,6 +19,7 @@ columns of the input are carried along untouched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -208,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars:
     """Fits on at most ``max_rows`` labelled texts of at most ``max_chars``, and of at most ``max_bytes`` in all: those with the
     smallest hash of doc_id.
 
-    The bounds are the classifier's only limits; scoring has none. The chosen ids are at most ``max_rows``, so they can be
+    The bounds are the classifier's only limits; scoring has none. One task fits the sample; no text comes to the driver. The chosen ids are at most ``max_rows``, so they can be
     broadcast (and summed up in one task), and only chosen texts are moved.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -220,10 +221,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars:
     so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = sizes.withColumn("_sum", so_far).filter(F.col("_sum") <= max_bytes).select("doc_id", "toxic")
     texts = texts.join(F.broadcast(taken), "doc_id")
-    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")
-    if not len(sample):
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = sample.repartition(1).mapInArrow(_fit_sample, _CHAIN).collect()
+    if not found:
         return fit(pa.array([], pa.string()), np.zeros(0, bool))
-    return fit(sample["text"].combine_chunks(), np.asarray(sample["toxic"].to_numpy()) > 0)
+    numbers = {c: np.frombuffer(zlib.decompress(found[0][c])) for c in ("table", "edges", "curve")}
+    return Chain(numbers["table"], found[0]["bias"], numbers["edges"].reshape(2, 2), numbers["curve"])
+
+
+_CHAIN = "table binary, bias double, edges binary, curve binary"
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chain of the sample, which is bounded, as one row: texts and features stay in a worker, and the driver gets weights only."""
+    held = [b for b in batches if len(b)]
+    if held:
+        sample = pa.Table.from_batches(held).sort_by("doc_id")
+        chain = fit(sample["text"].combine_chunks(), np.asarray(sample["toxic"].to_numpy()) > 0)
+        packed = [pa.array([zlib.compress(np.asarray(x, float).tobytes(), 1)]) for x in (chain.table, chain.edges, chain.curve)]
+        yield pa.RecordBatch.from_arrays([packed[0], pa.array([float(chain.bias)]), *packed[1:]], names=["table", "bias", "edges", "curve"])
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:

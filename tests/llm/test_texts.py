@@ -185,6 +185,16 @@ def test_more_empty_tables(spark, empty):
         assert result.count() == 0
 
 
+def test_toxicity_is_fitted_in_a_worker(spark, sf_dir, monkeypatch):
+    """The driver gets weights, neither texts nor features."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = toxicity.fit  # workers import their own
+    monkeypatch.setattr(toxicity, "fit", lambda *a: (_ for _ in ()).throw(AssertionError("fitted in the driver")))
+    chain = queries.toxicity_model(spark, docs, sf_dir)
+    monkeypatch.setattr(toxicity, "fit", want)
+    assert chain.table.shape == (toxicity.BUCKETS,) and chain.table.any() and chain.edges.shape == (2, 2) and chain.curve.shape == (3,)
+
+
 def test_toxicity_of_odd_rows(spark, corpus):
     chain = toxicity.fit(__import__("pyarrow").array(["bad vile word here"] * 20 + ["nice calm day"] * 40), np.arange(60) < 20)
     got = toxicity.score(corpus, chain).collect()
