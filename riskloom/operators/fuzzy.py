@@ -235,14 +235,15 @@ class Bags:
         flat = cell + np.arange(len(codes))[:, None] * (_BAG + 1)
         counts = np.bincount(flat.ravel().astype(np.int64), minlength=len(codes) * (_BAG + 1)).reshape(len(codes), _BAG + 1)[:, :_BAG]
         self.words = [np.packbits(counts > k, axis=1, bitorder="little").view(np.uint64).ravel() for k in range(_UNARY)]
-        self.rest = np.maximum(counts - _UNARY, 0).sum(1)
+        self.rest = np.maximum(counts - _UNARY, 0).sum(1).astype(np.uint32)
 
     def shared(self, own: slice, other: Bags, row: int) -> np.ndarray:
         """Characters that names ``own`` share with a name of ``other`` at most."""
-        common = np.minimum(self.rest[own], other.rest[row])
+        bits = np.zeros(own.stop - own.start, np.uint8)
         for mine, theirs in zip(self.words, other.words, strict=True):
-            common = common + np.bitwise_count(mine[own] & theirs[row])
-        return common
+            if theirs[row]:
+                bits += np.bitwise_count(mine[own] & theirs[row])
+        return bits + np.minimum(self.rest[own], other.rest[row]) if other.rest[row] else bits
 
 
 def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -282,13 +283,6 @@ def bit_distances(places: np.ndarray, row: np.ndarray, la: np.ndarray, letters:
     return out
 
 
-def _leads(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Code points that the names of each pair start with alike."""
-    most = min(a.shape[1], b.shape[1])
-    same = (a[:, :most] == b[:, :most]) & (np.arange(most) < np.minimum(la, lb)[:, None])
-    return np.logical_and.accumulate(same, axis=1).sum(1)
-
-
 def _prefix(lead: np.ndarray, longest: np.ndarray) -> np.ndarray:
     score = np.minimum(np.floor((lead / np.maximum(longest, 1) + np.where(lead >= 3, 0.1, 0.0)) * 100 + 0.5), 100)
     return np.where(longest == 0, 100, score).astype(np.int32)
@@ -307,28 +301,64 @@ class Targets:
         self.bags = Bags(self.codes, self.length)
         self.alphabet = np.unique(self.codes)
         self.letters = np.searchsorted(self.alphabet, self.codes)
-
-    def near(self, names: Names, i: int, min_score: int) -> tuple[np.ndarray, np.ndarray]:
-        """Targets in the length band of name i whose score can reach ``min_score`` by what the names have in common at most, and the
-        most that Jaro-Winkler can be. What the bits alone rule out, most of the band, is never looked at letter by letter."""
-        length, size = int(names.length[i]), int(names.size[i])
-        a = np.searchsorted(self.size, int(size * (1 - LENGTH_GAP)) - 1)
-        b = np.searchsorted(self.size, int(size / (1 - LENGTH_GAP)) + 1, "right")
-        theirs, longest = self.length[a:b], np.maximum(np.maximum(self.size[a:b], size), 1)
-        common = np.minimum(self.bags.shared(slice(a, b), names.bags, i), np.minimum(theirs, length))
+        self.columns = np.ascontiguousarray(self.codes.T[:3])
+        self.kinds, kind = np.unique(np.stack([self.length, self.size], 1), axis=0, return_inverse=True)
+        self.kind, self.rooms = kind.ravel(), {}
+
+    def room(self, length: int, size: int, min_score: int) -> Room:
+        """What names of these lengths need. Few lengths occur, so it is worked out once for each."""
+        if (length, size, min_score) not in self.rooms:
+            self.rooms[length, size, min_score] = Room(self, length, size, min_score)
+        return self.rooms[length, size, min_score]
+
+    def near(self, names: Names, i: int, min_score: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Targets in the length band of name i whose score can reach ``min_score`` by what the names have in common at most, the most
+        that Jaro-Winkler can be, and the common prefix. What the bits alone rule out, most of the band, is never looked at letter by letter."""
+        room = self.room(int(names.length[i]), int(names.size[i]), min_score)
+        common = self.bags.shared(room.band, names.bags, i)
+        letters, possible, alike = names.codes[i, : names.length[i]], common >= room.need[0], True
+        for need, column, letter in zip(room.need[1:], self.columns, letters, strict=False):
+            alike = alike & (column[room.band] == letter)
+            possible |= alike & (common >= need)
+        some = np.flatnonzero(possible)
+        own, common = room.band.start + some, common[some]
+        kind = self.kind[own]
+        same = np.zeros((len(own), min(len(letters), self.codes.shape[1]) + 1), bool)
+        np.equal(self.codes[own, : same.shape[1] - 1], letters[: same.shape[1] - 1], out=same[:, :-1])
+        lead = np.minimum(same.argmin(1), self.length[own])
+        jaro = room.jaro[kind, common]
+        winkler = (jaro + np.minimum(lead, 4) * 0.1 * (1 - jaro)) * 100 + 1
+        good = np.flatnonzero(room.fixed[kind, common] + 25 * winkler + 15 * _prefix(lead, room.wide[kind]) >= 100 * min_score)
+        return own[good], winkler[good], lead[good]
+
+
+class Room:
+    """For names of one length: the targets in their length band, the fewest common characters with which each can reach the score (by
+    whether the names begin with none, one, two, or three and more letters alike), and by kind of target (length and size) and number
+    of common characters the most of what doesn't depend on the common prefix."""
+
+    def __init__(self, targets: Targets, length: int, size: int, min_score: int) -> None:
+        a = np.searchsorted(targets.size, int(size * (1 - LENGTH_GAP)) - 1)
+        b = np.searchsorted(targets.size, int(size / (1 - LENGTH_GAP)) + 1, "right")
+        theirs, sizes = targets.kinds[:, 0, None], targets.kinds[:, 1, None]
+        most = np.minimum(theirs, length)
+        common = np.minimum(np.arange(most.max(initial=0) + 1), most)
+        longest = np.maximum(np.maximum(sizes, size), 1)
         # Every edit and swap changes the bag of characters by one at most; matches are common characters.
         edits = 1 - (np.maximum(theirs, length) - common) / longest
-        jaro = np.where(common > 0, (common / max(length, 1) + common / np.maximum(theirs, 1) + 1) / 3, 0.0)
+        self.jaro = np.where(common > 0, (common / max(length, 1) + common / np.maximum(theirs, 1) + 1) / 3, 0.0)
         apart, wide = np.abs(theirs - length), np.maximum(np.maximum(theirs, length), 1)
         keys = np.where(apart > 0, (1 - 2 * apart / (5 * wide)) * 0.7 + (1 - apart / wide) * 0.3, 1.0)
-        fixed = 45 * (edits * 100 + 1) + 15 * (keys * 100 + 1)
-        alike = fixed + 25 * ((jaro + 0.4 * (1 - jaro)) * 100 + 1) + 15 * 100  # as if they began alike
-        some = np.flatnonzero((alike >= 100 * min_score) & (np.abs(self.size[a:b] - size) / longest <= LENGTH_GAP))
-        own = a + some
-        lead = _leads(np.broadcast_to(names.codes[i], (len(some), names.codes.shape[1])), np.full(len(some), length), self.codes[own], theirs[some])
-        winkler = (jaro[some] + np.minimum(lead, 4) * 0.1 * (1 - jaro[some])) * 100 + 1
-        good = np.flatnonzero(fixed[some] + 25 * winkler + 15 * _prefix(lead, wide[some]) >= 100 * min_score)
-        return own[good], winkler[good]
+        self.fixed, self.wide = 45 * (edits * 100 + 1) + 15 * (keys * 100 + 1), wide.ravel()
+        winkler = lambda lead: 25 * ((self.jaro + lead * 0.1 * (1 - self.jaro)) * 100 + 1)
+        begins = [winkler(k) + 15 * _prefix(np.array(k), wide) for k in range(3)] + [winkler(4) + 15 * 100]
+        inside = np.abs(sizes - size) / longest <= LENGTH_GAP
+        self.band, self.need = slice(int(a), int(b)), []
+        for begin in begins:  # more in common is never less of a score
+            enough = (self.fixed + begin >= 100 * min_score) & inside
+            need = np.where(enough.any(1), enough.argmax(1), np.iinfo(np.int64).max)[targets.kind[a:b]]
+            # As narrow as the counts of bits where that can hold it: no name has 255 letters in common then.
+            self.need.append(np.minimum(need, 255).astype(np.uint8) if most.max(initial=0) < 255 else need)
 
 
 class Names:
@@ -347,7 +377,7 @@ class Names:
             self.places[row, letter[row]] |= np.uint64(1 << j)
 
 
-def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkler: np.ndarray, min_score: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkler: np.ndarray, lead: np.ndarray, min_score: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Those of the pairs (x, y) that reach ``min_score``, and their metrics. The cheap metrics come first; after each, pairs go that
     cannot reach the score with what is known (a swap is two plain edits)."""
     kept, scores = np.arange(len(x)), {}
@@ -370,14 +400,14 @@ def _scored(names: Names, targets: Targets, x: np.ndarray, y: np.ndarray, winkle
         return bit_distances(names.places, x[kept], p[1], targets.letters[y[kept]], p[3], swaps)
 
     size = lambda: np.maximum(np.maximum(names.size[x[kept]], targets.size[y[kept]]), 1)
-    p = pair()
-    scores["keyboard"] = keyboard_similarities(*p)
-    scores["prefix"] = _prefix(_leads(*p), np.maximum(p[1], p[3]))
+    scores["prefix"] = _prefix(lead, np.maximum(names.length[x], targets.length[y]))
     edits = distances(False)
     rate = lambda d: np.where(d == 0, 100, _round((1 - d / size()) * 100))
     scores["levenshtein"] = rate(edits)
-    known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"]
-    narrow(known + 25 * rate(-(-edits // 2)) + 25 * winkler)
+    known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["prefix"] + 25 * rate(-(-edits // 2)) + 25 * winkler
+    narrow(known + 15 * 100)
+    scores["keyboard"] = keyboard_similarities(*pair())
+    narrow(known[kept] + 15 * scores["keyboard"])
     scores["osa"] = rate(distances(True))
     known = 20 * scores["levenshtein"].astype(np.int64) + 15 * scores["keyboard"] + 15 * scores["prefix"] + 25 * scores["osa"]
     narrow(known + 25 * winkler[kept])
@@ -409,16 +439,19 @@ def lookalikes(packages: DataFrame, top: int = 10_000, min_score: int = 75, task
             names = Names(batch, targets.alphabet)
             in_top = np.isin(names.ids, known)
             held: list[tuple[np.ndarray, ...]] = []
+            pairs = 0
             for i in range(len(batch)):
-                near, winkler = targets.near(names, i, min_score)
+                near, *known_of = targets.near(names, i, min_score)
                 other = (targets.ids[near] != names.ids[i]) & (targets.names[near] != names.names[i])
                 if in_top[i]:
                     other &= targets.downloads[near] > names.downloads[i]
-                held.append((np.full(other.sum(), i), near[other], winkler[other]))
-                if sum(len(h[0]) for h in held) >= PAIRS_AT_ONCE or i == len(batch) - 1:
-                    x, y, winkler = (np.concatenate(c) for c in zip(*held, strict=True))
-                    held = []
-                    kept, scores = _scored(names, targets, x, y, winkler, min_score)
+                near, *known_of = (c[other] for c in (near, *known_of))
+                held.append((np.full(len(near), i), near, *known_of))
+                pairs += len(near)
+                if pairs >= PAIRS_AT_ONCE or i == len(batch) - 1:
+                    x, y, winkler, lead = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held, pairs = [], 0
+                    kept, scores = _scored(names, targets, x, y, winkler, lead, min_score)
                     x, y = x[kept], y[kept]
                     columns = [pa.array(names.ids[x]), pa.array(targets.ids[y]), pa.array(names.names[x], pa.string()), pa.array(targets.names[y], pa.string())]
                     columns += [pa.array(scores[k].astype(np.int32)) for k in ("combined", *WEIGHTS)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -159,3 +160,25 @@ def test_bit_distances():
         got = fuzzy.bit_distances(places, np.arange(400), la, np.searchsorted(alphabet, b), lb, swaps)
         assert (got == table(a, la, b, lb)).all()
     assert [fuzzy.osa_distance(x, y) for x, y in zip(first, second, strict=True)] == got.tolist()
+
+
+def test_bounds_of_the_matcher():
+    """No pair at the score is left out, for odd names too; what lengths need is worked out once for each."""
+    draw = random.Random(3)
+    base = ["".join(draw.choice("ab-é😀z") for _ in range(draw.choice((0, 1, 2, 3, 4, 9, 20, 70, 300)))) for _ in range(60)]
+    names = base + [a[:k] + draw.choice("abq") + a[k + 1 :] for a in base for k in (0, 1, 2, 3, len(a) // 2)]
+    table = pa.table({"name": names, "id": range(len(names)), "downloads": range(len(names))})
+    targets, batch = fuzzy.Targets(table), fuzzy.Names(table.to_batches()[0], np.zeros(0, np.uint32))
+    for i in range(0, len(names), 7):
+        near, _, lead = targets.near(batch, i, 75)
+        assert [os.path.commonprefix([names[i], targets.names[k]]) for k in near] == [names[i][:n] for n in lead]
+        size = lambda x: len(x.encode())
+        for k in set(range(len(names))) - set(near.tolist()):
+            a, b = names[i], targets.names[k]
+            if not a or not b or abs(size(a) - size(b)) / max(size(a), size(b)) > fuzzy.LENGTH_GAP or max(len(a), len(b)) > 64:
+                continue
+            begin = len(os.path.commonprefix([a, b])) / max(len(a), len(b))
+            rest = 20 * fuzzy.osa_similarity(a, b) + 25 * fuzzy.osa_similarity(a, b) + 25 * fuzzy.jaro_winkler_similarity(a, b) + 15 * fuzzy.keyboard_similarity(a, b)
+            assert rest + 15 * min(100, (begin + (0.1 if begin * max(len(a), len(b)) >= 2.5 else 0)) * 100 - 1) < 100 * 76
+    lengths = {(len(names[i]), len(names[i].encode()), 75) for i in range(0, len(names), 7)}
+    assert set(targets.rooms) == lengths
