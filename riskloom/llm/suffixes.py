@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm._lists import Lists, place_of, write_lists
 from riskloom.llm._repeated import Extracted, with_repeats
-from riskloom.llm._shared import Scratch, cut, sweep
+from riskloom.llm._shared import Scratch, cut, remove, sweep
 from riskloom.llm._text import BYTE_CODES, mix64, powers, slices, texts_of
 
 LENGTH = 100
@@ -245,7 +246,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("_hash"))
 
 
-_FOUND = "_id long, _hash long, found array<struct<place:long,low:int,high:int,gram:long,often:long>>"
+_FOUND = "_id long, _hash long, found array<struct<place:long,low:int,high:int,often:long>>"
 
 
 def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> DataFrame:
@@ -263,8 +264,8 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> Data
         row, place, low, high = owners
         order = np.lexsort((place, row))
         edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(info)))]).astype(np.int32)
-        columns = [place.astype(np.int64), low.astype(np.int32), high.astype(np.int32), keys.view(np.int64), often.astype(np.int64)]
-        found = pa.StructArray.from_arrays([pa.array(x[order]) for x in columns], names=["place", "low", "high", "gram", "often"])
+        columns = [place.astype(np.int64), low.astype(np.int32), high.astype(np.int32), often.astype(np.int64)]
+        found = pa.StructArray.from_arrays([pa.array(x[order]) for x in columns], names=["place", "low", "high", "often"])
         lists = pa.ListArray.from_arrays(pa.array(edges), found)
         some = pa.array(np.diff(edges) > 0)
         return info.append_column("found", lists).filter(some)
@@ -275,30 +276,35 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> Data
 _CONTEXT = "_id long, _hash long, gram long, place long, low int, high int, before binary, after binary"
 
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each anchor listed in ``found``: as many before it as its windows reach, and behind."""
+def _contexts(texts: DataFrame, lists: Lists, large: bool, length: int, gram: int) -> DataFrame:
+    """The bytes around each anchor in the texts' lists that is ``large`` or not: as many before it as its windows reach, and behind.
+    Rows that are equal give equal contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = length - gram
         for batch in batches:
+            row, (place, low, high, is_large) = lists.of(batch)
+            wanted = np.flatnonzero(is_large == large)
+            if not len(wanted):
+                continue
             data, offsets = texts_of(batch.column("text"))
-            ids, hashes, lists = batch.column("_id"), batch.column("_hash"), batch.column("found")
-            for i in range(len(batch)):
-                found = lists[i].values
-                place, low, high, gram_hash = (found.field(x).to_numpy(zero_copy_only=False) for x in ("place", "low", "high", "gram"))
-                raw = np.zeros(offsets[i + 1] - offsets[i] + reach + length, np.uint8)
-                raw[reach : reach + offsets[i + 1] - offsets[i]] = data[offsets[i] : offsets[i + 1]]
-                for a in range(0, len(place), 20_000):
-                    p = place[a : a + 20_000, None] + reach
-                    before, after = raw[p - 1 - np.arange(reach)], raw[p + np.arange(length)]
-                    before[np.arange(reach) >= high[a : a + 20_000, None]] = 0
-                    after[np.arange(length) >= length - low[a : a + 20_000, None]] = 0
-                    n = len(before)
-                    fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, hashes[i].as_py())), pa.array(gram_hash[a : a + n]), pa.array(place[a : a + n]), pa.array(low[a : a + n]), pa.array(high[a : a + n]), fixed(before), fixed(after)],
-                        names=["_id", "_hash", "gram", "place", "low", "high", "before", "after"],
-                    )
+            raw = np.zeros(len(data) + reach + length, np.uint8)
+            raw[reach : reach + len(data)] = data
+            behind, ahead = (np.lib.stride_tricks.sliding_window_view(raw, n) for n in (reach, length))
+            ids, hashes = (batch.column(c).to_numpy() for c in _KEY)
+            for a in range(0, len(wanted), 20_000):
+                w = wanted[a : a + 20_000]
+                p = offsets[row[w]] + place[w]
+                before, after = behind[p][:, ::-1].copy(), ahead[p + reach]
+                before[np.arange(reach) >= high[w, None]] = 0
+                after[np.arange(length) >= length - low[w, None]] = 0
+                # Windows reach at least ``gram`` bytes behind the anchor, so its string is there whole.
+                gram_hash = mix64((BYTE_CODES[after[:, :gram]] * powers(gram)[0]).sum(1, dtype=np.uint64)).view(np.int64)
+                fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row[w]]), pa.array(hashes[row[w]]), pa.array(gram_hash), pa.array(place[w]), pa.array(low[w].astype(np.int32)), pa.array(high[w].astype(np.int32)), fixed(before), fixed(after)],
+                    names=["_id", "_hash", "gram", "place", "low", "high", "before", "after"],
+                )
 
     return texts.mapInArrow(run, _CONTEXT)
 
@@ -324,8 +330,13 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
             ids, hashes, gram, place, low, high = (table[c].to_numpy() for c in ("_id", "_hash", "gram", "place", "low", "high"))
             n = len(ids)
             before, after = (texts_of(table[c])[0].reshape(n, -1) for c in ("before", "after"))
+            order = np.lexsort((place, hashes, ids))
+            same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (ids, hashes, place, low)])
             rank = np.empty(n, np.int64)
-            rank[np.lexsort((place, hashes, ids))] = np.arange(n)
+            rank[order] = np.arange(n)
+            if same.any():  # contexts of equal rows: one is left
+                kept = np.sort(order[np.append(True, ~same)])
+                ids, hashes, gram, place, low, high, rank, before, after = (x[kept] for x in (ids, hashes, gram, place, low, high, rank, before, after))
             row, offset = repeated_windows(gram, before, after, low, high, rank, length)
             return _spans(ids[row], hashes[row], place[row] - offset)
 
@@ -382,26 +393,29 @@ def _split_large(contexts: DataFrame, length: int, gram: int, hot: int, scratch:
         pieces, size = left.join(large, "gram", "left_semi").select(*contexts.columns), size // 2
 
 
-def _result(texts: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed from texts with their ``spans`` of window starts."""
+def _result(texts: DataFrame, lists: Lists, length: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the texts that have a list of window starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row, (first, last) = lists.of(batch)
+            if not len(row):
+                continue
             data, offsets = texts_of(batch.column("text"))
+            rows, begin = np.unique(row, return_index=True)
             removed, spans, digests = [], [], []
-            for i in range(len(batch)):
+            for i, a, b in zip(rows.tolist(), begin.tolist(), np.append(begin[1:], len(row)).tolist(), strict=True):
                 own = data[offsets[i] : offsets[i + 1]]
-                found = batch.column("spans")[i].values
                 steps = np.zeros(len(own) + 1, np.int64)
-                np.add.at(steps, found.field("first").to_numpy(zero_copy_only=False), 1)
-                np.add.at(steps, found.field("last").to_numpy(zero_copy_only=False) + length, -1)
+                np.add.at(steps, first[a:b], 1)
+                np.add.at(steps, last[a:b] + length, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 digests.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(np.diff(offsets)[rows]), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("doc_id", *_KEY, place_of(), "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, **sizes) -> DataFrame:
@@ -422,20 +436,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         sweep(spark)
         led = found.join(first.select("k._id", "k._hash", "copies"), _KEY).dropDuplicates(_KEY)
         led = led.select(*_KEY, F.filter("found", lambda x: x["often"] > F.col("copies")).alias("found")).filter("size(found) > 0")
-        led = scratch.keep(led, "led")
+        kind = "short" if length < 1 << 15 else "int"
+        narrow = lambda x: F.struct(x["place"].alias("place"), x["low"].cast(kind).alias("low"), x["high"].cast(kind).alias("high"), (x["often"] > hot).alias("large"))
+        led = scratch.keep(led.select(*_KEY, F.transform("found", narrow).alias("found")), "led")
         scratch.drop(found)
-
-        def contexts(wanted) -> DataFrame:
-            lists = led.select(*_KEY, F.filter("found", wanted).alias("found")).filter("size(found) > 0")
-            return _contexts(searched.select(*_KEY, "text").dropDuplicates(_KEY).join(lists, _KEY), length, gram)
-
-        # 3. and 4.
         of_all = lambda x: F.coalesce(F.sum(x), F.lit(0))
-        large = F.size(F.filter("found", lambda x: x["often"] > hot))
-        n, n_large = led.agg(of_all(F.size("found")), of_all(large)).first()
-        parts, spans = [contexts(lambda x: x["often"] <= hot)], []
+        n, n_large = led.agg(of_all(F.size("found")), of_all(F.size(F.filter("found", lambda x: x["large"])))).first()
+        lists = write_lists(led, "found", n, scratch.folder("lists"))
+        scratch.drop(led)
+        keyed = searched.select(*_KEY, place_of(), "text")
+        # 3. and 4.
+        parts, spans = [_contexts(keyed, lists, False, length, gram)], []
         if n_large:
-            more, spans = _split_large(contexts(lambda x: x["often"] > hot), length, gram, hot, scratch)
+            more, spans = _split_large(_contexts(keyed, lists, True, length, gram), length, gram, hot, scratch)
             parts += more
             sweep(spark)
         usual = parts[0]
@@ -445,7 +458,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         for part in spans:
             settled = settled.unionByName(part)
         spans = scratch.keep(settled.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+        remove(spark, lists.folder)
         sweep(spark)
+        lists = write_lists(spans, "spans", spans.agg(of_all(F.size("spans"))).first()[0], scratch.folder("lists"))
         # A copy of an earlier text goes whole; texts without repeats stay as they are; only the rest is read again.
         marked = keys.join(first.select("_sha", "k"), "_sha", "left").join(spans.select(*_KEY, F.lit(True).alias("_some")), _KEY, "left")
         copy = F.col("k").isNotNull() & (F.struct(*_KEY) != F.col("k"))
@@ -454,4 +469,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.when(copy, one).otherwise(zero).alias("n_spans"),
             F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex("_sha"))).alias("kept_sha256"),
         )
-        return cut(plain.unionByName(_result(searched.join(spans, _KEY), length)))
+        return cut(plain.unionByName(_result(searched, lists, length)))

@@ -66,10 +66,15 @@ def owned() -> Iterator[list[str]]:
 
 
 class Scratch:
-    """The intermediate tables of one computation: ``keep`` writes one, ``drop`` removes one early, leaving the ``with`` removes the rest."""
+    """The intermediate tables of one computation: ``keep`` writes one, ``drop`` removes one early, leaving the ``with`` removes the rest.
+    ``folder`` is one for other files, which go then too."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folders = spark, {}
+        self.spark, self.folders, self.others = spark, {}, []
+
+    def folder(self, purpose: str) -> str:
+        self.others.append(new_folder(self.spark, purpose))
+        return self.others[-1]
 
     def keep(self, df: DataFrame, purpose: str = "step") -> DataFrame:
         table, folder = written(df, purpose)
@@ -85,6 +90,8 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
+        for folder in self.others:
+            remove(self.spark, folder)
         self.drop(*[table for table, _ in self.folders.values()])
 
 

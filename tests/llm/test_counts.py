@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm._shared import Scratch
 from riskloom.llm import jaccard, mixing, ngrams, queries, secrets, suffixes
@@ -269,6 +270,57 @@ def test_repeats_of_repeated_rows(spark):
     same(got, brute.remove_repeats(rows))
 
 
+def test_repeats_move_no_texts(spark):
+    """What is shuffled and spilled to disk is less than the texts: anchors and their contexts go over the network, texts don't."""
+    import random
+
+    rng = random.Random(5)
+    shared = ["".join(chr(rng.randrange(33, 127)) for _ in range(150)) for _ in range(3)]
+    rows = [(k, "".join(chr(rng.randrange(33, 127)) for _ in range(6000)) + shared[k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+
+    def moved() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = moved()
+    got = suffixes.remove_repeats(docs, hot=20).collect()
+    assert sum(r.n_removed for r in got) >= 297 * 150
+    assert moved() - before < sum(len(t) for _, t in rows)
+
+
+def test_repeats_of_repeated_rows_in_large_groups(spark):
+    """Rows that are equal in id and text count as one in groups that are split, too."""
+    text = "".join(chr(97 + int(c, 16)) for c in hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest())
+    rows = [(k // 3, f"{k // 3:03d}" + text[: 120 + k // 3]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (1, 4, 1000):
+        same(suffixes.remove_repeats(docs, hot=hot).collect(), brute.remove_repeats(rows))
+
+
+def test_lists_by_key(spark, tmp_path):
+    """Lists come back by key in their order, with keys that share a hash, keys without a list, and shards without one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm import _lists
+
+    values = spark.range(2000).selectExpr("id % 300 as _id", "id % 7 as _hash", "id as v").groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("v"))).alias("l"))
+    lists = _lists.write_lists(values, "l", 2000, f"file://{tmp_path}/lists", shard_values=9)
+    want = {(r._id, r._hash): [x.v for x in r.l] for r in values.collect()}
+    asked = spark.createDataFrame([*want, (5000, 1), (-1, -1)], "_id long, _hash long").select("*", _lists.place_of())
+    batch = asked.toArrow().combine_chunks().to_batches()[0]
+    row, (v,) = lists.of(batch)
+    keys = list(zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash")), strict=True))
+    got = {k: v[row == i].tolist() for i, k in enumerate(keys)}
+    assert got == want | {(5000, 1): [], (-1, -1): []}
+    hashes = np.array([1, 4, 4, 4, 9])
+    stored = [hashes, np.arange(5), np.arange(5)]
+    assert _lists._find(stored, [np.array([4, 4, 9, 4, 10, 0]), np.array([3, 1, 4, 7, 4, 0]), np.array([3, 1, 4, 3, 4, 0])]).tolist() == [3, 1, 4, -1, -1, -1]
+    assert lists.of(pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["_at", "_id", "_hash"]))[0].tolist() == []
+
+
 def test_secret_matching_is_linear():
     """Runs that begin many matches and end none: a megabyte takes seconds, not hours."""
     import time
