@@ -288,23 +288,25 @@ def _contexts(texts: DataFrame, lists: Lists, large: bool, length: int, gram: in
             if not len(wanted):
                 continue
             data, offsets = texts_of(batch.column("text"))
-            raw = np.zeros(len(data) + reach + length, np.uint8)
-            raw[reach : reach + len(data)] = data
-            behind, ahead = (np.lib.stride_tricks.sliding_window_view(raw, n) for n in (reach, length))
             ids, hashes = (batch.column(c).to_numpy() for c in _KEY)
-            for a in range(0, len(wanted), 20_000):
-                w = wanted[a : a + 20_000]
-                p = offsets[row[w]] + place[w]
-                before, after = behind[p][:, ::-1].copy(), ahead[p + reach]
-                before[np.arange(reach) >= high[w, None]] = 0
-                after[np.arange(length) >= length - low[w, None]] = 0
-                # Windows reach at least ``gram`` bytes behind the anchor, so its string is there whole.
-                gram_hash = mix64((BYTE_CODES[after[:, :gram]] * powers(gram)[0]).sum(1, dtype=np.uint64)).view(np.int64)
-                fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[w]]), pa.array(hashes[row[w]]), pa.array(gram_hash), pa.array(place[w]), pa.array(low[w].astype(np.int32)), pa.array(high[w].astype(np.int32)), fixed(before), fixed(after)],
-                    names=["_id", "_hash", "gram", "place", "low", "high", "before", "after"],
-                )
+            for i, j in slices(offsets):
+                own = wanted[slice(*np.searchsorted(row[wanted], [i, j]))]
+                raw = np.zeros(offsets[j] - offsets[i] + reach + length, np.uint8)
+                raw[reach:-length] = data[offsets[i] : offsets[j]]
+                behind, ahead = (np.lib.stride_tricks.sliding_window_view(raw, n) for n in (reach, length))
+                for a in range(0, len(own), 10_000):
+                    w = own[a : a + 10_000]
+                    p = offsets[row[w]] - offsets[i] + place[w]
+                    before, after = behind[p][:, ::-1].copy(), ahead[p + reach]
+                    before[np.arange(reach) >= high[w, None]] = 0
+                    after[np.arange(length) >= length - low[w, None]] = 0
+                    # Windows reach at least ``gram`` bytes behind the anchor, so its string is there whole.
+                    gram_hash = mix64((BYTE_CODES[after[:, :gram]] * powers(gram)[0]).sum(1, dtype=np.uint64)).view(np.int64)
+                    fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row[w]]), pa.array(hashes[row[w]]), pa.array(gram_hash), pa.array(place[w]), pa.array(low[w].astype(np.int32)), pa.array(high[w].astype(np.int32)), fixed(before), fixed(after)],
+                        names=["_id", "_hash", "gram", "place", "low", "high", "before", "after"],
+                    )
 
     return texts.mapInArrow(run, _CONTEXT)
 
@@ -375,15 +377,12 @@ def _split_large(contexts: DataFrame, length: int, gram: int, hot: int, scratch:
         pieces = pieces.withColumn("after", F.expr(f"rpad(substring(after, 1, {length} - low), {length}, X'00')"))
         pieces = scratch.keep(pieces, "pieces")
         sweep(contexts.sparkSession)  # the texts that the first pieces came from
-        leaders = pieces.groupBy(*same).agg(F.min(me).alias("leader"), F.count("*").alias("many"))
-        # What stood before and after is needed of the leaders only from here on.
-        led = pieces.join(leaders, same).withColumn("_leads", me == F.col("leader"))
-        sides = [F.when(F.col("_leads"), F.col(c)).alias(c) for c in ("before", "after")]
-        led = led.select(*[c for c in contexts.columns if c not in ("before", "after")], *sides, "_leads")
-        led = scratch.keep(led, "led")
+        leaders = scratch.keep(pieces.groupBy(*same).agg(F.min(me).alias("leader")), "leaders")
+        others = pieces.join(leaders, same).filter(me != F.col("leader"))
+        spans.append(scratch.keep(others.select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")), "others"))
         scratch.drop(pieces)
-        spans.append(led.filter(~F.col("_leads")).select(*_KEY, (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last")))
-        left = led.filter("_leads").select(*contexts.columns)
+        # One row a class goes on, however many equal rows its first text has.
+        left = leaders.select("*", "leader.*").select(*contexts.columns)
         if size == 1:  # equal keys were equal windows: one is left of each
             return [*small, left], spans
         large = scratch.keep(left.groupBy("gram").count().filter(F.col("count") > hot).select("gram"), "large")
@@ -457,7 +456,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         settled = _sorted_groups(usual.repartition(max(1, -(-n // 100_000)), "gram"), length)
         for part in spans:
             settled = settled.unionByName(part)
-        spans = scratch.keep(settled.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+        spans = scratch.keep(settled.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
         remove(spark, lists.folder)
         sweep(spark)
         lists = write_lists(spans, "spans", spans.agg(of_all(F.size("spans"))).first()[0], scratch.folder("lists"))
