@@ -44,6 +44,7 @@ from riskloom.llm._text import BYTE_CODES, mix64, powers, slices, texts_of
 
 LENGTH = 100
 GRAM = 40
+CHUNK_KEYS = 500_000  # anchors that a task holds before it sends them on
 SHALLOW = 2  # eight-byte characters that multikey quicksort reads before the tries take over
 
 
@@ -254,7 +255,7 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> Data
 
     def extract(batch: pa.RecordBatch) -> Iterator[Extracted]:
         data, offsets = texts_of(batch.column("text"))
-        for i, j in slices(offsets, 1 << 20):
+        for i, j in slices(offsets, 1 << 18):
             text, gram_hash, place, first, last = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
             wide = np.uint32 if not len(place) or place.max() < 1 << 32 else np.uint64
             owners = [text.astype(np.uint32), place.astype(wide), (place - last).astype(np.uint16), (place - first).astype(np.uint16)]
@@ -270,7 +271,7 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> Data
         some = pa.array(np.diff(edges) > 0)
         return info.append_column("found", lists).filter(some)
 
-    return with_repeats(texts, extract, finish, _FOUND, **sizes)
+    return with_repeats(texts, extract, finish, _FOUND, **{"chunk_keys": CHUNK_KEYS} | sizes)
 
 
 _CONTEXT = "_id long, _hash long, gram long, place long, low int, high int, before binary, after binary"
