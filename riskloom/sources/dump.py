@@ -33,10 +33,12 @@ NORMAL = 0  # kinds: 0 normal, 1 development, 2 build
 
 
 def read_csv(spark: SparkSession, path: str, columns) -> DataFrame:
-    """The given columns of a table with a header, by name; texts may span lines; empty fields are null; a row of another width, and
-    a number that is none, fail the read. Large files are read by several tasks (see ``records``)."""
+    """The given columns of a table with a header, by name; texts may span lines; empty fields are null, but quoted ones are empty texts
+    (where numbers stand, null too); a row of another width, and a number that is none, fail the read. Large files are read by several
+    tasks (see ``records``)."""
     raw = read_records(spark, path)
-    return raw.select([F.col(f"`{theirs}`").cast(kind).alias(ours) for ours, theirs, kind in columns])
+    field = lambda theirs, kind: F.col(f"`{theirs}`") if kind == "string" else F.nullif(F.col(f"`{theirs}`"), F.lit("")).cast(kind)
+    return raw.select([field(theirs, kind).alias(ours) for ours, theirs, kind in columns])
 
 
 def read_dump(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ and the width of some row fails). Lines end in a line feed, with or without a ca
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -142,9 +143,11 @@ def records(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of CSV files with a header, as strings: empty fields are null, a row of another width fails the read."""
+    """All columns of CSV files with a header, as strings: empty fields are null, quoted ones are empty texts; a row of another width
+    fails the read."""
     rows, header = records(spark, path)
-    options = {"mode": "FAILFAST", "quote": '"', "escape": '"', "multiLine": "true"}
+    # Spark takes a field for null that reads as its null value. By default that is the empty text, quoted or not; here no text is.
+    options = {"mode": "FAILFAST", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": f"null-{uuid.uuid4().hex}", "emptyValue": ""}
     names = spark.createDataFrame([(header,)], "h string").select(F.from_csv("h", ", ".join(f"c{k} string" for k in range(header.count(",") + 1)), {"quote": '"', "escape": '"'})).first()[0]
     names = [n for n in names if n is not None]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)

@@ -6,12 +6,14 @@ import csv
 import random
 import shutil
 
+import duckdb
 import pytest
 
 from riskloom.__main__ import main
 from riskloom.operators import updates
-from riskloom.plans import catalogue
+from riskloom.plans import catalogue, dumps
 from riskloom.sources import dump, records
+from riskloom.sources.registry import Registry
 
 CRATES = '''created_at,description,documentation,homepage,id,max_features,max_upload_size,name,readme,repository,updated_at
 2023-05-01 12:06:24.629411+00,"says ""hi"",
@@ -97,6 +99,34 @@ def test_records_in_splits(spark, tmp_path, split):
             spark.conf.unset(key)
 
 
+def test_empty_texts_are_no_nulls(spark, tmp_path):
+    """A quoted empty field is an empty text, in a number's place null; one without quotes is null."""
+    (tmp_path / "e.csv").write_text('id,text,number\n1,"",""\n2,,\n"3","","7"\n"4",,8\n"",x,""\n')
+    rows = dump.read_csv(spark, str(tmp_path / "e.csv"), (("id", "id", "int"), ("text", "text", "string"), ("number", "number", "long"))).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, "", None), (2, None, None), (3, "", 7), (4, None, 8), (None, "x", None)]
+
+
+@pytest.mark.parametrize("split", ["3k", "128m"])
+def test_dump_texts_as_its_sql_says(spark, sf_dir, tmp_path, split):
+    """Empty, missing and odd texts go to files and come back as they were."""
+    texts = ["", None, "\r", '"', '""', "\n", " ", "a\r\n\rb\n", "NULL", '\\"', "x" * 300]
+    docs = spark.createDataFrame([(k, texts[k % len(texts)], "en", "s", 1) for k in range(180)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("part", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("part", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = dumps.i01(Registry(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = con.sql(catalogue.ORACLE_SQL["i01_dump_texts"]).fetchall()
+    assert sum(r[3] == 0 for r in want) > 10 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_headers_of_many_files_when_memory_is_short(spark, tmp_path):
     """Several files a task, and sorts that spill every hundred rows."""
     for k in range(12):
