@@ -2,6 +2,7 @@
 
 1. A task gathers the 64-bit keys of its rows in chunks of about ``chunk_keys``, sorts each chunk, and sends the distinct keys
    with their counts to shards of the key range, as compressed arrays. A key that a third of all rows have is one entry a chunk.
+   Keys are taken to be spread evenly over the range: hashes that were chosen by their size must be scrambled first.
    What belongs to a key (row, place) goes with it if the chunk has the key once.
 2. A shard adds up the counts and answers each chunk: which of its keys occur more than once, how often, and what belongs to them.
 3. What belongs to keys that a chunk has several times is wanted in any case; it travels past the shards as one value a chunk,
@@ -35,6 +36,11 @@ _SENT_SCHEMA = pa.schema(
 Extracted = tuple[np.ndarray, list[np.ndarray], pa.RecordBatch]
 
 
+def _way(chunk: int, shards: int) -> int:
+    """The shard that a chunk's rows pass by: neighbours take different ones, whatever the number of shards."""
+    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % shards
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -80,7 +86,7 @@ def with_repeats(
                 pack(keys[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]], *(x[before[s] : before[s + 1]] for x in alone)) for s in some
             ]
             info = _ipc(pa.Table.from_batches([x[2] for x in held]))
-            out = [[*some, chunk % shards], [chunk] * (len(some) + 1), [*blobs, None]]
+            out = [[*some, _way(chunk, shards)], [chunk] * (len(some) + 1), [*blobs, None]]
             out += [[*[None] * len(some), x] for x in (pack(*several), info)]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SENT_SCHEMA, strict=True)], schema=_SENT_SCHEMA)
 

@@ -259,7 +259,8 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int, **sizes) -> Data
             text, gram_hash, place, first, last = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
             wide = np.uint32 if not len(place) or place.max() < 1 << 32 else np.uint64
             owners = [text.astype(np.uint32), place.astype(wide), (place - last).astype(np.uint16), (place - first).astype(np.uint16)]
-            yield gram_hash, owners, pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in _KEY], names=_KEY)
+            # An anchor has the smallest hash of its window, and small ones would nearly all fall to the first shard.
+            yield mix64(gram_hash), owners, pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in _KEY], names=_KEY)
 
     def finish(info: pa.Table, keys: np.ndarray, often: np.ndarray, owners: list[np.ndarray]) -> pa.Table:
         row, place, low, high = owners

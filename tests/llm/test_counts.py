@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm._shared import Scratch
-from riskloom.llm import jaccard, mixing, ngrams, queries, secrets, suffixes
+from riskloom.llm import _arrays, _repeated, jaccard, mixing, ngrams, queries, secrets, suffixes
 from tests.llm import brute
 
 
@@ -299,6 +299,29 @@ def test_repeats_of_repeated_rows_in_large_groups(spark):
         same(suffixes.remove_repeats(docs, hot=hot).collect(), brute.remove_repeats(rows))
 
 
+def test_anchors_fall_evenly_to_shards(monkeypatch):
+    """An anchor has the smallest hash of its window; no shard gets much more than its share of them, though."""
+    import random
+
+    import numpy as np
+
+    rng, taken = random.Random(9), []
+    monkeypatch.setattr(suffixes, "with_repeats", lambda rows, extract, *rest, **sizes: taken.append(extract))
+    suffixes._repeated_anchors(None, 100, 40)
+    texts = ["".join(chr(rng.randrange(33, 127)) for _ in range(20_000)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(range(20)), pa.array(texts)], names=["_id", "_hash", "text"])
+    keys = np.sort(np.concatenate([x[0] for x in taken[0](batch)]))
+    share = np.diff(_arrays.ranges(keys, 16)) / len(keys)
+    assert len(keys) > 10_000 and 0.05 < share.min() and share.max() < 0.08
+
+
+@pytest.mark.parametrize("shards", [1, 13, 52, 64])
+def test_chunks_pass_by_all_shards(shards):
+    """The rows of chunks, which go past the shards, are dealt evenly to them, also where their number is a power of two."""
+    of = Counter(_repeated._way((partition << 32) + k, shards) for partition in range(shards * 4) for k in range(2))
+    assert len(of) == shards and set(of.values()) == {8}
+
+
 def test_lists_by_key(spark, tmp_path):
     """Lists come back by key in their order, with keys that share a hash, keys without a list, and shards without one."""
     import numpy as np
